@@ -24,7 +24,7 @@ FAILURES = (
     "agent_crash",
     "timeout",
     "sql_execution_failure",
-    "engine_failure",
+    "trino_failure",
     "validation_failure",
 )
 

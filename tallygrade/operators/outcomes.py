@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 RESULT = ["case_id", "evaluator", "score", "passed", "applicable", "reason", "error", "details"]
 
-NO_DETAILS = F.lit(None).cast("map<string,string>")
-
 
 def result(df: DataFrame, evaluator: Column | str, score: Column, applicable: Column,
            reason: Column, error: Column | None = None, details: Column | None = None) -> DataFrame:
@@ -27,7 +25,7 @@ def result(df: DataFrame, evaluator: Column | str, score: Column, applicable: Co
         applicable.alias("applicable"),
         reason.cast("string").alias("reason"),
         (error if error is not None else F.lit(None)).cast("string").alias("error"),
-        (details if details is not None else NO_DETAILS).alias("details"),
+        (details if details is not None else F.lit(None).cast("map<string,string>")).alias("details"),
     )
 
 

@@ -75,7 +75,7 @@ def page(items: DataFrame, order: str, offset: int | None = None, limit: int | N
     return out if limit is None else out.limit(limit)
 
 
-def verified_ids(per_engine: DataFrame, pushed: bool = False, pushed_engine: str = "dataverse") -> DataFrame:
+def verified_ids(per_engine: DataFrame, pushed: bool = False, pushed_engine: str = "pushed") -> DataFrame:
     """(db_id, id) verified on every engine that lists the database.
 
     per_engine: engine, db_id, id. With the pushed layout only that engine counts,

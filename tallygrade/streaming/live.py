@@ -142,8 +142,8 @@ def job_status(events: DataFrame) -> DataFrame:
 def kept_jobs(jobs: DataFrame, newest: int = KEPT_JOBS) -> DataFrame:
     """All running jobs and the newest finished ones.
 
-    The cut-off is the time of the last job kept: one aggregate of the newest times,
-    then a filter, so finished jobs are not ranked in one task.
+    Every task keeps its own newest few and only those meet (top-k), so the
+    finished jobs are not ranked in one task.
     """
     running = jobs.filter(F.col("status") == "running")
     finished = jobs.filter(F.col("status") != "running")
