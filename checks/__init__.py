@@ -47,5 +47,5 @@ def check(columns: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from checks import comparisons  # noqa: F401
+    from checks import comparisons, figures, live, questions, replies, shifts, statements, tables, texts  # noqa: F401
 

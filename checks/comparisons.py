@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from checks import Tables, check
-from tallygrade.functions.cells import tag_number, tag_text, tag_timestamp
+from tallygrade.functions.cells import tag_number, tag_text, tag_timestamp, with_cells
 from tallygrade.functions.grading import parse_grading
 from tallygrade.operators import bags
 from tallygrade.operators.columns import (
@@ -53,27 +53,30 @@ def expected_rows(o: DataFrame) -> DataFrame:
 def generated_rows(o: DataFrame) -> DataFrame:
     k = F.col("k")
     first = F.col("pos") == 0
-    key, day = tag_number(F.col("o_orderkey")), tag_timestamp(F.col("o_orderdate"))
     price = F.when((k == 2) & first, F.col("o_totalprice") + 1).when(k == 3, F.col("next_price")).otherwise(
         F.col("o_totalprice")
     )
-    money = tag_text(F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
-    iso = tag_text(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-    vals = (
-        F.when(k == 0, F.array(money, key, iso))
-        .when(k == 4, F.array(key, tag_text(F.col("o_orderstatus")), day, tag_number(price)))
-        .when(k == 6, F.array(key, day))
-        .otherwise(F.array(key, day, tag_number(price)))
-    )
     copies = F.when((k == 1) & (F.col("pos") == F.col("n") - 1), 0).when((k == 5) & first, 2).otherwise(1)
-    return (
-        o.filter(k != 7)
-        .withColumn("copies", copies)
-        .filter("copies > 0")
-        .select("case_id", F.lit("g").alias("side"), F.col("pos").cast("long").alias("row_id"), vals.alias("vals"),
-                F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"))
-        .drop("_copy")
+    raw = o.filter(k != 7).withColumns(
+        {
+            "price": price,
+            "money": F.concat(F.lit("$"), F.format_number("o_totalprice", 2)),
+            "iso": F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+            "copies": copies,
+        }
+    )
+    cells = with_cells(raw, ["o_orderkey", "o_orderdate", "price", "o_orderstatus", "money", "iso"], "c")
+    slots = (
+        F.when(k == 0, F.array(*map(F.lit, (5, 1, 6))))
+        .when(k == 4, F.array(*map(F.lit, (1, 4, 2, 3))))
+        .when(k == 6, F.array(*map(F.lit, (1, 2))))
+        .otherwise(F.array(*map(F.lit, (1, 2, 3))))
     )
+    vals = F.transform(slots, lambda i: F.element_at("c", i))
+    return cells.filter("copies > 0").select(
+        "case_id", F.lit("g").alias("side"), F.col("pos").cast("long").alias("row_id"),
+        vals.alias("vals"), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"),
+    ).drop("_copy")
 
 
 def graded_cases(t: Tables, rows: DataFrame) -> DataFrame:

@@ -22,8 +22,6 @@ ISO_MOMENT = (
     r"(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?"
     r"\s*(Z|[+-]\d{2}(?::?\d{2})?)?$"
 )
-MIDNIGHT = r"^00:00(:00(\.0+)?)?$"
-UTC_MARKS = ("", "Z", "+00", "+00:00", "+0000")
 # All characters str.strip() removes.
 BLANKS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
@@ -56,36 +54,32 @@ def clean_number(v: Column, digits: int = 6) -> Column:
 
 def parse_number(text: Column) -> Column:
     """The double in a stripped text, or NULL: plain, scientific, money or thousands."""
-    marked = text.rlike(MARKED_NUMBER) & text.rlike("[$€£₪,]")
-    negative = F.concat(
-        F.regexp_extract(text, MARKED_NUMBER, 1), F.regexp_extract(text, MARKED_NUMBER, 2)
-    ).contains("-")
-    magnitude = F.concat(
-        F.replace(F.regexp_extract(text, MARKED_NUMBER, 3), F.lit(","), F.lit("")),
-        F.regexp_extract(text, MARKED_NUMBER, 4),
-    ).try_cast("double")
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double")).when(
-        marked, F.when(negative, -magnitude).otherwise(magnitude)
+    marked = text.rlike("[$€£₪,]") & text.rlike(MARKED_NUMBER)
+    bare = F.concat(
+        F.when(text.contains("-"), "-").otherwise(""), F.regexp_replace(text, r"[-+$€£₪,\s]", "")
     )
+    return F.when(text.rlike(PLAIN_NUMBER), text).when(marked, bare).try_cast("double")
 
 
 def iso_moment(text: Column) -> Column:
     """``YYYY-MM-DD[ HH:MM:SS[.f]][offset]`` of an ISO text, or NULL.
 
-    Midnight in UTC is the plain date; other offsets stay as written.
+    Midnight in UTC is the plain date; other offsets stay as written. Each rule is
+    one replacement on `date clock|zone`, so the text is never taken apart twice.
     """
-    day = F.regexp_extract(text, ISO_MOMENT, 1)
-    clock = F.regexp_extract(text, ISO_MOMENT, 2)
-    zone = F.regexp_extract(text, ISO_MOMENT, 3)
-    utc = zone.isin(*UTC_MARKS)
-    full = F.when(clock == "", "00:00:00").otherwise(F.regexp_replace(clock, r"\.0+$", ""))
-    full = F.when(F.length(full) == 5, F.concat(full, F.lit(":00"))).otherwise(full)
-    return F.when(
-        text.rlike(ISO_MOMENT),
-        F.when(utc & ((clock == "") | clock.rlike(MIDNIGHT)), day).otherwise(
-            F.concat(day, F.lit(" "), full, F.when(utc, "").otherwise(zone))
-        ),
+    rules = (
+        (ISO_MOMENT, "$1 $2|$3"),
+        (r"\|(Z|\+00(:?00)?)?$", ""),  # UTC needs no mark
+        (r" (00:00(:00(\.0+)?)?)?$", ""),  # midnight
+        (r"\.0+(\||$)", "$1"),  # a fraction of zero
+        (r" (\d\d:\d\d)(\||$)", " $1:00$2"),
+        (r" \|", " 00:00:00|"),
+        (r"\|", ""),
     )
+    moment = text
+    for pattern, new in rules:
+        moment = F.regexp_replace(moment, pattern, new)
+    return F.when(text.rlike(ISO_MOMENT), moment)
 
 
 def tag_number(v: Column, digits: int = 6) -> Column:
@@ -96,28 +90,47 @@ def tag_number(v: Column, digits: int = 6) -> Column:
     )
 
 
+# Texts that do not begin like this are neither a number nor a date.
+STARTS = r"^[-+$€£₪.\d]"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _tag_stripped(text: Column, number: Column, digits: int) -> Column:
+    return F.coalesce(
+        tag_number(number, digits),
+        F.concat(F.lit("t:"), F.when(text.rlike(STARTS), iso_moment(text))),
+        F.concat(F.lit("t:"), F.lower(text)),
+    )
+
+
 def tag_text(c: Column, digits: int = 6) -> Column:
     """Tag a text: number, else ISO moment, else stripped lower case.
 
-    The patterns are tried only on texts that begin like a number or a date.
+    For single expressions; with_cells does the same for whole tables in steps that
+    stay in generated code.
     """
-    text = strip(c)
-    plain = F.concat(F.lit("t:"), F.lower(text))
-    return F.when(
-        text.rlike(r"^[-+$€£₪.\d]"),
-        F.coalesce(
-            tag_number(parse_number(text), digits),
-            F.concat(F.lit("t:"), iso_moment(text)),
-            plain,
+    return _let(
+        strip(c),
+        lambda text: _let(
+            F.when(text.rlike(STARTS), parse_number(text)),
+            lambda number: _tag_stripped(text, number, digits),
         ),
-    ).otherwise(plain)
+    )
 
 
 def tag_timestamp(c: Column) -> Column:
     """Tag a timestamp: the date at midnight, else with seconds and any fraction."""
     text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    text = F.regexp_replace(F.regexp_replace(text, r"\.0+$", ""), r" 00:00:00$", "")
-    return F.concat(F.lit("t:"), text)
+    short = (
+        F.when(text.endswith(" 00:00:00.000000"), F.substring(text, 1, 10))
+        .when(text.endswith(".000000"), F.substring(text, 1, 19))
+        .otherwise(text)
+    )
+    return F.concat(F.lit("t:"), short)
 
 
 def cell(c: Column, dtype: T.DataType, digits: int = 6) -> Column:
@@ -139,7 +152,30 @@ def cell(c: Column, dtype: T.DataType, digits: int = 6) -> Column:
     return F.concat(F.lit("t:"), F.lower(strip(c.cast("string"))))
 
 
-def cells(df: DataFrame, columns: Iterable[str], digits: int = 6) -> Column:
-    """The canonical row of df as ARRAY<STRING>, one tagged cell per column."""
+def with_cells(df: DataFrame, columns: Iterable[str], out: str = "vals", digits: int = 6) -> DataFrame:
+    """Add `out`, the canonical row as ARRAY<STRING>: one tagged cell per column.
+
+    Texts are stripped, then read as numbers, then tagged, each in a projection of
+    its own: every pattern is tried once per cell and the plan stays small.
+    """
+    columns = list(columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    return F.array(*[cell(F.col(f"`{c}`"), types[c], digits) for c in columns])
+    texts = {
+        i: c for i, c in enumerate(columns) if isinstance(types[c], T.StringType)
+    }
+    if texts:
+        df = df.withColumns({f"_text{i}": strip(F.col(f"`{c}`")) for i, c in texts.items()})
+        df = df.withColumns(
+            {
+                f"_number{i}": F.when(F.col(f"_text{i}").rlike(STARTS), parse_number(F.col(f"_text{i}")))
+                for i in texts
+            }
+        )
+    tagged = [
+        _tag_stripped(F.col(f"_text{i}"), F.col(f"_number{i}"), digits)
+        if i in texts
+        else cell(F.col(f"`{c}`"), types[c], digits)
+        for i, c in enumerate(columns)
+    ]
+    helpers = [f"_{kind}{i}" for i in texts for kind in ("text", "number")]
+    return df.withColumn(out, F.array(*tagged)).drop(*helpers)

@@ -67,7 +67,7 @@ def parse_answer(text: Column) -> Column:
     """STRUCT<status, sql, summary, error> of an answer in JSON or prose."""
     m = _map(text)
     is_object = m.isNotNull()
-    sql = F.when(is_object, _bind(m, find_sql)).otherwise(sql_from_text(text))
+    sql = F.when(is_object, _bind(m, lambda v: find_sql(v))).otherwise(sql_from_text(text))
     stated = F.when(is_object, _plain(m, "error"))
     error = F.when(stated.isNull() & sql.isNull(), "agent returned no SQL").otherwise(stated)
     summary = F.when(is_object, F.coalesce(*[_plain(m, k) for k in TEXT_KEYS])).otherwise(text)

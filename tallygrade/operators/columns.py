@@ -36,8 +36,9 @@ def fingerprints(rows: DataFrame, bucket: bool = False) -> DataFrame:
         *place,
         # a hash passes over NULLs, so they get a mark (no tagged cell is empty)
         F.xxhash64(F.transform("vals", lambda v: F.coalesce(v, F.lit("")))).alias("_row"),
-        F.posexplode("vals").alias("col", "v"),
-    )
+        # outer: the size filter an inner explode adds would compute the cells twice
+        F.posexplode_outer("vals").alias("col", "v"),
+    ).filter(F.col("col").isNotNull())
     once = F.xxhash64(*place, F.col("v"), F.col("v").isNull())
     twice = F.xxhash64(F.lit("second"), *place, F.col("v"), F.col("v").isNull())
     same = F.xxhash64(F.lit("row"), F.col("_row"), F.col("v"), F.col("v").isNull())
@@ -88,8 +89,8 @@ def containing_columns(distinct_rows: DataFrame) -> DataFrame:
     a generated column keeps the bits all its values agree on, so no pair of
     columns is written out per value. Columns are masked in chunks of 62.
     """
-    cells = distinct_rows.select("case_id", "side", F.posexplode("vals").alias("col", "v"))
-    cells = cells.distinct()
+    cells = distinct_rows.select("case_id", "side", F.posexplode_outer("vals").alias("col", "v"))
+    cells = cells.filter(F.col("col").isNotNull()).distinct()
     chunk = F.floor(F.col("col") / MASK_COLUMNS).cast("int")
     held = (
         cells.filter(F.col("side") == "e")

@@ -242,14 +242,19 @@ def composite_scores(averages: DataFrame, weights: dict[str, float] | None = Non
                      run: str = "run_id") -> DataFrame:
     """Weighted mean of the rounded averages of the evaluators that judged anything."""
     weights = check_weights(weights or WEIGHTS)
-    weight = F.lit(None).cast("double")
-    for name, value in weights.items():
-        weight = F.when(F.col("evaluator") == name, F.lit(float(value))).otherwise(weight)
-    w = F.when(F.col("evaluated") > 0, weight)
-    total = F.sum(w)
-    score = F.sum(w * F.col("average")) / F.when(total > 0, total)
-    return averages.groupBy(run).agg(
-        F.coalesce(F.round(score, 4), F.lit(0.0)).alias("composite_score")
+
+    def of(name: str, value: str) -> Column:
+        return F.max(F.when((F.col("evaluator") == name) & (F.col("evaluated") > 0), F.col(value)))
+
+    # One term per evaluator in a fixed order: sums of doubles depend on it.
+    terms = averages.groupBy(run).agg(*[of(n, "average").alias(f"_{n}") for n in weights])
+    total, score = F.lit(0.0), F.lit(0.0)
+    for name, w in weights.items():
+        judged = F.col(f"_{name}").isNotNull()
+        total = total + F.when(judged, F.lit(float(w))).otherwise(0.0)
+        score = score + F.coalesce(F.lit(float(w)) * F.col(f"_{name}"), F.lit(0.0))
+    return terms.select(
+        run, F.coalesce(F.round(score / F.when(total > 0, total), 4), F.lit(0.0)).alias("composite_score")
     )
 
 

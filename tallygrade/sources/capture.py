@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallygrade.functions.cells import cells
+from tallygrade.functions.cells import with_cells
 from tallygrade.session import cut
 
 SHAPE = (
@@ -24,11 +24,13 @@ def result_rows(df: DataFrame, case: Column, side: str, columns: Sequence[str],
 
     position: the place of each row in its result, where order matters.
     """
-    return df.select(
-        case.alias("case_id"),
+    place = (position if position is not None else F.lit(None)).cast("long")
+    placed = df.withColumns({"_case": case, "_place": place})
+    return with_cells(placed, columns, "_vals", digits).select(
+        F.col("_case").alias("case_id"),
         F.lit(side).alias("side"),
-        (position if position is not None else F.lit(None)).cast("long").alias("row_id"),
-        cells(df, columns, digits).alias("vals"),
+        F.col("_place").alias("row_id"),
+        F.col("_vals").alias("vals"),
     )
 
 
@@ -84,9 +86,8 @@ def capture(spark: SparkSession, run: Callable[[SparkSession], DataFrame], case_
         plain = df.toDF(*[f"c{i}" for i in range(len(names))])
         limited = plain.limit(max_rows + 1) if max_rows else plain
         seen = cut(
-            limited.select(
-                F.monotonically_increasing_id().alias("_at"),
-                cells(limited, limited.columns, digits).alias("vals"),
+            with_cells(limited, limited.columns, "vals", digits).select(
+                F.monotonically_increasing_id().alias("_at"), "vals"
             ),
             "captured",
         )
