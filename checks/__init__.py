@@ -33,13 +33,13 @@ def check(columns: str, sql: str | None = None):
     def register(build: Callable[[Tables], DataFrame]):
         def query(spark: SparkSession, folder: str) -> DataFrame:
             df = build(Tables(spark, folder))
-            return df.select(*[F.col(n).cast(t).alias(n) for n, t in spec])
+            return df.select(*[F.col(f"`{n}`").cast(t).alias(n) for n, t in spec])
 
         query.__name__ = build.__name__
         query.__doc__ = build.__doc__
         QUERIES[build.__name__] = query
         if sql is not None:
-            casts = ", ".join(f"CAST({n} AS {SQL_TYPES[t]}) AS {n}" for n, t in spec)
+            casts = ", ".join(f'CAST("{n}" AS {SQL_TYPES[t]}) AS "{n}"' for n, t in spec)
             ORACLES[build.__name__] = f"SELECT {casts} FROM ({sql}) AS answer"
         return build
 

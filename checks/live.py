@@ -1 +1,210 @@
-"""placeholder"""
+"""Live state: the events table as the events of running jobs."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from checks import Tables, check
+from tallygrade.session import shared_folder
+from tallygrade.streaming import live
+
+
+def stream(t: Tables) -> DataFrame:
+    """The events file read as a stream, with TIMESTAMP times."""
+    raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.col("event_id"))
+
+
+def batch(t: Tables) -> DataFrame:
+    return t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.col("event_id"))
+
+
+def totals_of(df: DataFrame) -> DataFrame:
+    """The final table of a streaming aggregate with few rows (one per run)."""
+    name = f"live_{uuid.uuid4().hex}"
+    query = df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def appended(df: DataFrame) -> DataFrame:
+    """The rows an append stream wrote."""
+    root = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    live.continue_load(df, f"{root}/out", f"{root}/checkpoint")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/out")
+
+
+def run_events(e: DataFrame) -> DataFrame:
+    return e.select(
+        (F.col("user_id") % 10).alias("run_id"), (F.col("event_id") % 700).alias("case_id"),
+        F.when(F.col("event_type") == "purchase", "case_done").otherwise("note").alias("event"),
+        (F.col("event_id") % 1000).alias("total"), "ts", "seq",
+    )
+
+
+@check(
+    "run_id bigint, completed bigint, total bigint",
+    "SELECT user_id % 10 AS run_id, count_if(event_type = 'purchase') AS completed, max(event_id % 1000) AS total FROM events GROUP BY 1",
+)
+def live_progress(t: Tables) -> DataFrame:
+    """Completed and total items per run, as a stream."""
+    return totals_of(live.progress(run_events(stream(t))))
+
+
+@check("run_id bigint, case_id bigint", "SELECT DISTINCT user_id % 10 AS run_id, event_id % 700 AS case_id FROM events WHERE event_type = 'purchase'")
+def live_finished_cases(t: Tables) -> DataFrame:
+    """Finished cases as they come, each once, as a stream."""
+    return appended(live.finished_cases(run_events(stream(t)), "400 days")).select("run_id", "case_id")
+
+
+@check(
+    "run_id bigint, evaluator string, average double, evaluated bigint",
+    """SELECT user_id % 10 AS run_id, event_type AS evaluator, coalesce(round(avg(CASE WHEN event_id % 3 > 0 THEN (event_id % 2)::DOUBLE END), 4), 0) AS average,
+    count_if(event_id % 3 > 0) AS evaluated FROM events GROUP BY ALL""",
+)
+def live_averages(t: Tables) -> DataFrame:
+    """Running averages per evaluator, as a stream."""
+    results = stream(t).select(
+        (F.col("user_id") % 10).alias("run_id"), F.col("event_type").alias("evaluator"),
+        (F.col("event_id") % 2).cast("double").alias("score"), (F.col("event_id") % 3 > 0).alias("applicable"),
+    )
+    return totals_of(live.running_averages(results))
+
+
+WAITS = """w AS (SELECT user_id AS q, event_id AS s, CASE event_type WHEN 'click' THEN 'wait_start' WHEN 'view' THEN 'wait_end' WHEN 'error' THEN CASE WHEN event_id % 40 < 20 THEN 'stop' ELSE 'note' END ELSE 'note' END AS ev,
+  CASE WHEN event_id % 2 = 0 THEN 'agent' ELSE 'llm_judge' END AS stage, event_id % 3 + 1 AS retry FROM events)"""
+
+
+def wait_events(e: DataFrame) -> DataFrame:
+    kind = F.col("event_type")
+    event = (
+        F.when(kind == "click", "wait_start").when(kind == "view", "wait_end")
+        .when((kind == "error") & (F.col("event_id") % 40 < 20), "stop").otherwise("note")
+    )
+    return e.select(
+        F.col("user_id").alias("question_id"), event.alias("event"),
+        F.when(F.col("event_id") % 2 == 0, "agent").otherwise("llm_judge").alias("stage"),
+        (F.col("event_id") % 3 + 1).alias("retry"), F.lit("busy").alias("error"), "ts", "seq",
+    )
+
+
+@check(
+    "question_id bigint, waiting boolean, stage string, retry bigint, retries bigint, stopped boolean, stop_refused boolean",
+    f"""WITH {WAITS}, g AS (SELECT q, arg_max(ev, s) FILTER (ev LIKE 'wait%') AS last_ev, arg_max(stage, s) FILTER (ev LIKE 'wait%') AS st, arg_max(retry, s) FILTER (ev LIKE 'wait%') AS r,
+      count_if(ev = 'wait_start') AS n, min(s) FILTER (ev = 'wait_start') AS f, max(s) FILTER (ev = 'stop') AS stop, max(s) FILTER (ev LIKE 'wait%') AS lw FROM w GROUP BY q),
+    x AS (SELECT *, coalesce(stop > f, false) AS stopped, coalesce(last_ev = 'wait_start', false) AND NOT coalesce(stop > f AND stop > lw, false) AS waiting FROM g)
+    SELECT q AS question_id, waiting, CASE WHEN waiting THEN st END AS stage, CASE WHEN waiting THEN r END AS retry, n AS retries, stopped,
+      stop IS NOT NULL AND NOT stopped AS stop_refused FROM x""",
+)
+def questions_waiting(t: Tables) -> DataFrame:
+    """Which questions wait out a rate limit, and which stops count."""
+    return live.question_waits(wait_events(batch(t)))
+
+
+@check(
+    "question_id bigint, agent bigint, judge bigint, total bigint",
+    f"""WITH {WAITS} SELECT q AS question_id, nullif(count_if(stage = 'agent'), 0) AS agent, nullif(count_if(stage = 'llm_judge'), 0) AS judge, count(*) AS total FROM w WHERE ev = 'wait_start' GROUP BY q""",
+)
+def retries_per_stage(t: Tables) -> DataFrame:
+    """Retries of each question by stage."""
+    r = live.retries_by_stage(wait_events(batch(t)))
+    at = lambda k: F.try_element_at("retries", F.lit(k))
+    return r.select("question_id", at("agent").alias("agent"), at("llm_judge").alias("judge"), "total")
+
+
+@check(
+    "question_id bigint, stage string, failures bigint, outcome string, retry_at string, label string",
+    """WITH f AS (SELECT event_id // 7 AS q, event_type AS stage, event_id AS s, ts, event_id % 11 = 0 AS stop, 'busy ' || event_id AS err FROM events WHERE event_type IN ('click', 'view')),
+    g AS (SELECT q, stage, count_if(NOT stop) AS n, bool_or(stop) AS st, max(ts) FILTER (NOT stop) AS lt, arg_max(err, s) FILTER (NOT stop) AS err FROM f GROUP BY ALL),
+    o AS (SELECT *, CASE WHEN st AND n > 0 THEN 'stopped' WHEN n > 2 THEN 'exhausted' WHEN n > 0 THEN 'retry' END AS outcome FROM g)
+    SELECT q AS question_id, stage, n AS failures, outcome, CASE WHEN outcome = 'retry' THEN strftime(lt + to_seconds(20 * pow(2, n - 1)), '%Y-%m-%d %H:%M:%S') END AS retry_at,
+      CASE outcome WHEN 'stopped' THEN 'rate_limited: ' || stage || ' (retries stopped by the user)'
+        WHEN 'exhausted' THEN 'rate_limited: ' || stage || ' (still rate limited after 2 retries: ' || err || ')' END AS label FROM o""",
+)
+def retry_plans(t: Tables) -> DataFrame:
+    """What follows a rate-limited call: another try at a time, or giving up."""
+    e = batch(t).filter(F.col("event_type").isin("click", "view"))
+    failures = e.select(
+        F.floor(F.col("event_id") / 7).alias("question_id"), F.col("event_type").alias("stage"),
+        F.concat(F.lit("busy "), F.col("event_id").cast("string")).alias("error"), "ts", "seq", (F.col("event_id") % 11 == 0).alias("stop"),
+    )
+    return live.retry_plan(failures, max_retries=2).withColumn("retry_at", F.date_format("retry_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def job_events(e: DataFrame) -> DataFrame:
+    k = F.col("event_id") % 97
+    status = F.when(k == 5, "completed").when(k == 7, "failed").otherwise("running")
+    return e.select(
+        F.col("user_id").alias("job_id"), status.alias("status"), F.when(k == 7, F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"), "ts", "seq"
+    )
+
+
+JOBS = """j AS (SELECT user_id AS job, event_id AS s, ts, CASE event_id % 97 WHEN 5 THEN 'completed' WHEN 7 THEN 'failed' ELSE 'running' END AS st,
+  CASE WHEN event_id % 97 = 7 THEN 'e' || event_id END AS err FROM events),
+js AS (SELECT job, arg_max(st, s) AS status, arg_max_null(err, s) FILTER (st <> 'running') AS error, min(ts) AS created, max(ts) FILTER (st <> 'running') AS finished FROM j GROUP BY job)"""
+
+
+@check(
+    "job_id bigint, status string, error string, created_at string, finished_at string",
+    f"WITH {JOBS} SELECT job AS job_id, status, error, strftime(created, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(finished, '%Y-%m-%d %H:%M:%S.%f') AS finished_at FROM js",
+)
+def job_states(t: Tables) -> DataFrame:
+    """The newest status of each job, its error and times."""
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return live.job_status(job_events(batch(t))).select("job_id", "status", "error", shown("created_at"), shown("finished_at"))
+
+
+@check(
+    "job_id bigint, status string",
+    """WITH d AS (SELECT event_id AS job_id, ts, CASE WHEN event_id % 3 = 0 THEN 'running' ELSE 'completed' END AS status FROM events)
+    SELECT job_id, status FROM d WHERE status = 'running' UNION ALL SELECT job_id, status FROM (SELECT * FROM d WHERE status <> 'running' ORDER BY ts DESC, job_id DESC LIMIT 200)""",
+)
+def jobs_kept(t: Tables) -> DataFrame:
+    """All running jobs and the 200 newest finished ones."""
+    status = F.when(F.col("event_id") % 3 == 0, "running").otherwise("completed")
+    return live.kept_jobs(batch(t).select(F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"), status.alias("status")))
+
+
+@check("event_type string, n bigint, low bigint", "SELECT event_type, count(*) AS n, min(event_id) AS low FROM events GROUP BY 1")
+def continued_load(t: Tables) -> DataFrame:
+    """A load that goes on where it stopped: a second call finds nothing new."""
+    root = f"{shared_folder(t.spark)}/load-{uuid.uuid4().hex}"
+    for _ in range(2):
+        live.continue_load(stream(t).select("event_id", "event_type"), f"{root}/out", f"{root}/checkpoint")
+    loaded = t.spark.read.parquet(f"{root}/out")
+    return loaded.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("low"))
+
+
+@check(
+    "key bigint, value string",
+    "SELECT user_id AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY 1 HAVING max(ts) > (SELECT max(ts) FROM events) - INTERVAL 6 HOUR",
+)
+def fresh_cache_entries(t: Tables) -> DataFrame:
+    """The newest cached value per key, unless it is too old."""
+    entries = batch(t).select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), "ts", "seq")
+    newest = entries.agg(F.max("ts").alias("now"))
+    # One row with the time of the last event stands for the clock.
+    now = newest.withColumn("one", F.lit(1))
+    dated = entries.withColumn("one", F.lit(1)).join(F.broadcast(now), "one")
+    latest = live.fresh_entries(dated.select("key", "value", "ts", "seq"), F.lit("1970-01-01").cast("timestamp"), 0)
+    return latest.withColumn("one", F.lit(1)).join(F.broadcast(now), "one").filter(
+        F.col("ts") > F.col("now") - F.make_dt_interval(hours=F.lit(6))
+    )
+
+
+@check("key bigint", "SELECT DISTINCT user_id AS key FROM events")
+def keys_loaded_once(t: Tables) -> DataFrame:
+    """Each key is loaded once per time to live, as a stream."""
+    entries = stream(t).select(F.col("user_id").alias("key"), "ts")
+    return appended(live.first_in_ttl(entries, "400 days")).select("key")
+
+
+@check("key string", "SELECT DISTINCT event_type || user_id AS key FROM events WHERE user_id % 5 <> 0")
+def new_question_keys(t: Tables) -> DataFrame:
+    """Question keys nobody decided yet, each once, as a stream joined to a table."""
+    keyed = lambda e: e.select(F.concat("event_type", F.col("user_id").cast("string")).alias("key"), "ts", "user_id")
+    saved = keyed(batch(t)).filter("user_id % 5 = 0").select("key").distinct()
+    return appended(live.new_decisions(keyed(stream(t)), saved, "400 days")).select("key")

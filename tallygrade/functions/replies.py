@@ -47,27 +47,75 @@ def sql_from_text(text: Column) -> Column:
     return F.coalesce(block, F.when(text.rlike(SQL_START), strip(text)))
 
 
-def find_sql(m: Column, depth: int = 0) -> Column:
-    """SQL in a parsed object: the first known key that looks like SQL, then nested objects."""
-    found = []
-    for key in SQL_KEYS:
-        value = _plain(m, key)
-        looks = value.rlike(SQL_START) | value.rlike(SQL_BLOCK)
-        found.append(F.when(looks, F.coalesce(sql_from_text(value), strip(value))))
-    if depth < MAX_DEPTH:
-        for key in NESTED_KEYS:
-            inner = _bind(_map(_at(m, key)), lambda v: find_sql(v, depth + 1))
-            found.append(
-                F.when(_at(m, key).startswith("{"), inner).otherwise(sql_from_text(_at(m, key)))
-            )
-    return F.coalesce(*found)
+def _sql_under_keys(m: Column) -> Column:
+    """The first known key of an object whose value looks like SQL."""
+
+    def read(key: Column) -> Column:
+        value = F.try_element_at(m, key)
+        looks = (value.rlike(SQL_START) | value.rlike(SQL_BLOCK)) & ~value.rlike(r"^\s*[\[{]")
+        return F.when(looks, F.coalesce(sql_from_text(value), strip(value)))
+
+    found = F.transform(F.array(*map(F.lit, SQL_KEYS)), read)
+    return F.get(F.filter(found, lambda x: x.isNotNull()), 0)
+
+
+def _nested(nodes: Column) -> Column:
+    """The values under the nested keys of all nodes, with the path that leads to each."""
+
+    def below(n: Column) -> Column:
+        return F.transform(
+            F.array(*map(F.lit, NESTED_KEYS)),
+            lambda key, i: F.struct(
+                F.concat(n["path"], F.array(i)).alias("path"), F.try_element_at(n["m"], key).alias("raw")
+            ),
+        )
+
+    found = F.filter(F.flatten(F.transform(nodes, below)), lambda c: c["raw"].isNotNull())
+    return F.transform(
+        found,
+        lambda c: F.struct(
+            c["path"].alias("path"), c["raw"].alias("raw"),
+            F.when(c["raw"].startswith("{"), _map(c["raw"])).alias("m"),
+        ),
+    )
+
+
+def find_sql(m: Column) -> Column:
+    """SQL in a parsed object: its own keys first, then nested objects, to a depth of 3.
+
+    Objects are opened level by level; the paths sort as a walk from the top would
+    meet them.
+    """
+    top = F.array(
+        F.struct(
+            F.expr("cast(array() as array<int>)").alias("path"),
+            F.lit(None).cast("string").alias("raw"), m.alias("m"),
+        )
+    )
+
+    def candidates(nodes: Column) -> Column:
+        return F.transform(
+            nodes,
+            lambda n: F.struct(
+                n["path"].alias("path"),
+                F.when(n["m"].isNull(), sql_from_text(n["raw"])).otherwise(_sql_under_keys(n["m"])).alias("sql"),
+            ),
+        )
+
+    def open_level(nodes: Column, seen: list[Column], depth: int) -> Column:
+        seen = [*seen, candidates(nodes)]
+        if depth == MAX_DEPTH:
+            return F.array_min(F.filter(F.concat(*seen), lambda c: c["sql"].isNotNull()))["sql"]
+        return _bind(_nested(nodes), lambda below: open_level(below, seen, depth + 1))
+
+    return _bind(top, lambda nodes: open_level(nodes, [], 0))
 
 
 def parse_answer(text: Column) -> Column:
     """STRUCT<status, sql, summary, error> of an answer in JSON or prose."""
     m = _map(text)
     is_object = m.isNotNull()
-    sql = F.when(is_object, _bind(m, lambda v: find_sql(v))).otherwise(sql_from_text(text))
+    sql = F.when(is_object, find_sql(m)).otherwise(sql_from_text(text))
     stated = F.when(is_object, _plain(m, "error"))
     error = F.when(stated.isNull() & sql.isNull(), "agent returned no SQL").otherwise(stated)
     summary = F.when(is_object, F.coalesce(*[_plain(m, k) for k in TEXT_KEYS])).otherwise(text)

@@ -141,18 +141,20 @@ def match_questions(translated: DataFrame, verified: DataFrame, position: str) -
     """
     build = last_per_key(
         verified.select(
-            "db_id", question_key(F.col("question")).alias("_key"), "question_id", "SQL",
-            F.coalesce("grading_method", F.lit("")).alias("grading_method"), position,
+            "db_id", question_key(F.col("question")).alias("_key"), "question_id",
+            F.col("SQL").alias("_verified"),
+            F.coalesce("grading_method", F.lit("")).alias("grading_method"),
+            F.col(position).alias("_position"),
         ),
         ["db_id", "_key"],
-        F.col(position),
-    ).drop(position)
+        F.col("_position"),
+    )
     joined = translated.withColumn("_key", question_key(F.col("question"))).join(build, ["db_id", "_key"])
-    same = comparable_sql(F.col("sql")) == comparable_sql(F.col("SQL"))
+    same = comparable_sql(F.col("sql")) == comparable_sql(F.col("_verified"))
     return joined.select(
         "db_id", "question", "split", "question_id", "grading_method",
-        F.when(same, joined["sql"]).otherwise(joined["SQL"]).alias("gold_sql"),
-        F.when(~same, joined["sql"]).alias("original_sql"),
+        F.when(same, F.col("sql")).otherwise(F.col("_verified")).alias("gold_sql"),
+        F.when(~same, F.col("sql")).alias("original_sql"),
         F.when(same, "bundle").otherwise("bird_verified").alias("gold_source"),
     )
 

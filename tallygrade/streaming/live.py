@@ -6,8 +6,6 @@ row per job, question or key. The same functions work on a batch DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,20 +168,17 @@ def new_decisions(questions: DataFrame, saved: DataFrame, late: str = "1 hour")
     return unseen.dropDuplicates(["key"])
 
 
-def batch_writer(path: str, key: str | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink that may see a batch twice: each batch overwrites its own folder."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
-
-    return write
-
-
 def continue_load(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Load what came since the last call, then stop."""
+    """Load what came since the last call, then stop.
+
+    The file sink commits each batch in its log, so a batch that is tried again
+    after a failure is not loaded twice.
+    """
     query = (
-        stream.writeStream.foreachBatch(batch_writer(target))
+        stream.writeStream.format("parquet")
+        .option("path", target)
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
