@@ -249,17 +249,14 @@ COMPARISON = r"^([^=<>]+) (=|<>) ([^=<>]+)$"
 
 def _token(text: Column, s: Column) -> Column:
     """A predicate or expression in its normal form; `a = b` has its sides in one order."""
-    left = _named(F.regexp_extract(text, COMPARISON, 1), s)
-    op = F.regexp_extract(text, COMPARISON, 2)
-    right = _named(F.regexp_extract(text, COMPARISON, 3), s)
     symmetric = text.rlike(COMPARISON) & ~text.rlike(r"\b(and|or|not|between|in|is|like|ilike)\b")
-    pair = F.transform(
-        F.array(F.struct(left.alias("l"), right.alias("r"))),
-        lambda p: F.when(
-            p["l"] > p["r"], F.concat(p["r"], F.lit(" "), op, F.lit(" "), p["l"])
-        ).otherwise(F.concat(p["l"], F.lit(" "), op, F.lit(" "), p["r"])),
-    )[0]
-    return F.when(symmetric, pair).otherwise(_named(text, s))
+    sides = F.when(
+        symmetric, F.array(F.regexp_extract(text, COMPARISON, 1), F.regexp_extract(text, COMPARISON, 3))
+    ).otherwise(F.array(text))
+    named = F.array_sort(F.transform(sides, lambda x: _named(x, s)))
+    op = F.concat(F.lit(" "), F.regexp_extract(text, COMPARISON, 2), F.lit(" "))
+    return F.aggregate(named, F.lit(None).cast("string"),
+                       lambda acc, x: F.when(acc.isNull(), x).otherwise(F.concat(acc, op, x)))
 
 
 def _list(text: Column) -> Column:
@@ -280,27 +277,38 @@ ORDER_ITEM = r"^(.+?)(?: (asc|desc))?(?: nulls (?:first|last))?$"
 
 def clause_tokens(s: Column) -> Column:
     """ARRAY of (clause, token) of a flat statement; empty for any other."""
-    tag = lambda clause, tokens: F.transform(
-        tokens, lambda t: F.struct(F.lit(clause).alias("clause"), t.alias("token"))
-    )
-    norm = lambda tokens: F.transform(tokens, lambda t: _token(t, s))
+
+    def tag(clause: str, raw: Column) -> Column:
+        return F.transform(
+            raw,
+            lambda t: F.struct(F.lit(clause).alias("clause"), t.alias("raw"), F.lit("").alias("tail")),
+        )
+
+    outputs = lambda items: F.transform(items, lambda g: _output(g, s))
     joined = F.flatten(F.transform(s["sources"], lambda x: predicates(x["on"], s["pieces"])))
     order = F.transform(
         _list(s["order"]),
-        lambda o: F.concat(
-            _token(_output(F.regexp_extract(o, ORDER_ITEM, 1), s), s),
-            F.when(F.regexp_extract(o, ORDER_ITEM, 2) == "desc", " desc").otherwise(" asc"),
+        lambda o: F.struct(
+            F.lit("order").alias("clause"),
+            _output(F.regexp_extract(o, ORDER_ITEM, 1), s).alias("raw"),
+            F.when(F.regexp_extract(o, ORDER_ITEM, 2) == "desc", " desc").otherwise(" asc").alias("tail"),
         ),
     )
-    tokens = F.concat(
-        tag("select", norm(s["items"]["expr"])),
+    raw = F.concat(
+        tag("select", s["items"]["expr"]),
         tag("from", s["sources"]["name"]),
-        tag("join", norm(joined)),
-        tag("where", norm(predicates(s["where"], s["pieces"]))),
-        tag("group", F.transform(_list(s["group"]), lambda g: _token(_output(g, s), s))),
-        tag("having", norm(predicates(s["having"], s["pieces"]))),
-        tag("order", order),
-        tag("limit", norm(_list(s["limit"]))),
+        tag("join", joined),
+        tag("where", predicates(s["where"], s["pieces"])),
+        tag("group", outputs(_list(s["group"]))),
+        tag("having", predicates(s["having"], s["pieces"])),
+        order,
+        tag("limit", _list(s["limit"])),
+    )
+    tokens = F.transform(
+        raw,
+        lambda x: F.struct(
+            x["clause"].alias("clause"), F.concat(_token(x["raw"], s), x["tail"]).alias("token")
+        ),
     )
     return F.when(s["flat"], tokens).otherwise(
         F.expr("cast(array() as array<struct<clause:string,token:string>>)")
@@ -359,6 +367,8 @@ def order_keys(s: Column, columns: Column) -> Column:
     expression written the same way.
     """
     names = F.transform(columns, F.lower)
+    open_text = lambda x: _unmark(x, s["pieces"], s["depth"])
+    exprs = F.transform(s["items"]["expr"], open_text)
     aligned = (F.size(s["items"]) == F.size(columns)) & ~F.exists(
         s["items"], lambda x: x["expr"].rlike(r"(^|\.)\*$")
     )
@@ -368,10 +378,8 @@ def order_keys(s: Column, columns: Column) -> Column:
         number = F.when(key.rlike(r"^\d+$"), key.try_cast("int") - 1)
         once = F.size(F.filter(names, lambda n: n == key)) == 1
         by_name = F.when(key.rlike(r"^[a-z_]\w*$") & once, F.array_position(names, key).cast("int") - 1)
-        by_text = F.when(
-            aligned & F.exists(s["items"], lambda x: x["expr"] == key),
-            F.array_position(s["items"]["expr"], key).cast("int") - 1,
-        )
+        spot = F.array_position(exprs, open_text(key)).cast("int")
+        by_text = F.when(aligned & (spot > 0), spot - 1)
         found = F.coalesce(number, by_name, by_text)
         return F.when((found >= 0) & (found < F.size(columns)), found)
 

@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 from tallygrade.functions import statements as S
 from tallygrade.operators.bags import bag_difference
 from tallygrade.operators.outcomes import blank, result
+from tallygrade.session import cut
 
 # Fixed value: differing items listed per clause.
 SHOWN_ITEMS = 10
 
 
 def parsed(cases: DataFrame) -> DataFrame:
-    """cases (case_id, expected_sql, generated_sql) with both statements taken apart: e, g."""
-    return S.take_apart(S.take_apart(cases, "expected_sql", "e"), "generated_sql", "g")
+    """cases (case_id, expected_sql, generated_sql) with both statements taken apart: e, g.
+
+    Written once and read by every score: a filter on what was found would else be
+    pushed through all steps of the parsing and repeat them.
+    """
+    both = S.take_apart(S.take_apart(cases, "expected_sql", "e"), "generated_sql", "g")
+    return cut(both, "statements")
 
 
 def exact_match(statements: DataFrame) -> DataFrame:
