@@ -23,6 +23,7 @@ from tallygrade.operators.columns import (
 from tallygrade.operators.compare import compare, gate
 from tallygrade.operators.outcomes import execution_match, with_order_policy
 from tallygrade.operators.positions import same_positions, tie_runs
+from tallygrade.session import cut
 
 # ---------------------------------------------------------------- graded orders
 
@@ -104,7 +105,8 @@ def graded_cases(t: Tables, rows: DataFrame) -> DataFrame:
 
 def graded(t: Tables) -> tuple[DataFrame, DataFrame]:
     o = base_orders(t)
-    rows = expected_rows(o).unionByName(generated_rows(o))
+    # Captured once, like any result that is to be compared.
+    rows = cut(expected_rows(o).unionByName(generated_rows(o)), "captured")
     return graded_cases(t, rows), rows
 
 
@@ -337,6 +339,7 @@ def subset_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
     rows = o.select("case_id", F.lit("e").alias("side"), "row_id", F.array("ok", "pr", "s").alias("vals")).unionByName(
         o.filter((F.col("row_id") < 3) & (k != 4)).select("case_id", F.lit("g").alias("side"), "row_id", g.alias("vals"))
     )
+    rows = cut(rows, "captured")
     counts = rows.groupBy("case_id").agg(F.count_if(F.col("side") == "e").alias("ne"), F.count_if(F.col("side") == "g").alias("ng"))
     method = F.when(F.col("case_id") % 3 == 0, "subset,=,3").when(F.col("case_id") % 3 == 1, "subset, >= ,2").otherwise("subset")
     shape = lambda n: F.struct(F.lit(True).alias("ok"), F.lit(3).alias("n_cols"), F.col(n).alias("n_rows"),
@@ -407,6 +410,7 @@ def ordered_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
     rows = o.select("case_id", F.lit("e").alias("side"), (F.row_number().over(by_e) - 1).cast("long").alias("row_id"), vals.alias("vals")).unionByName(
         o.select("case_id", F.lit("g").alias("side"), (F.row_number().over(by_g) - 1).cast("long").alias("row_id"), vals.alias("vals"))
     )
+    rows = cut(rows, "captured")
     n = rows.groupBy("case_id").agg(F.count_if(F.col("side") == "e").alias("n"))
     shape = F.struct(F.lit(True).alias("ok"), F.lit(2).alias("n_cols"), F.col("n").alias("n_rows"),
                      F.lit(False).alias("cut"), F.lit(None).cast("long").alias("total"))
@@ -500,6 +504,7 @@ def flag_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
         F.inline(F.array(F.struct(F.lit("e").alias("side"), F.col("e").alias("vals")),
                          F.struct(F.lit("g").alias("side"), F.col("g").alias("vals")))),
     ).withColumn("row_id", F.lit(None).cast("long"))
+    rows = cut(rows, "captured")
     n = rows.groupBy("case_id").agg(F.count_if(F.col("side") == "e").alias("n"))
     shape = F.struct(F.lit(True).alias("ok"), F.lit(2).alias("n_cols"), F.col("n").alias("n_rows"),
                      F.lit(False).alias("cut"), F.lit(None).cast("long").alias("total"))

@@ -25,10 +25,9 @@ NOT_FLAT = (
     r"\b(union|intersect|except|minus|with|over|window|lateral|unnest|values|pivot|qualify"
     r"|fetch|within|tablesample|into|top|distinct on|grouping|rollup|cube)\b|[\"`\[\];]"
 )
-CLAUSES = (
-    r"^select (?:all )?(distinct )?(.+?)(?: from (.+?))?(?: where (.+?))?(?: group by (.+?))?"
-    r"(?: having (.+?))?(?: order by (.+?))?(?: limit (\S+))?(?: offset (\S+))?$"
-)
+# Clauses after the select list, in the order they must come.
+KEYWORDS = ("from", "where", "group by", "having", "order by", "limit", "offset")
+CLAUSE_START = r"\s(?=(?:" + "|".join(KEYWORDS) + r")\s)"
 JOINER = r",\s*|\s(?:(?:natural|left|right|full|inner|cross|outer|anti|semi)\s)*join\s"
 SOURCE = (
     r"^([\w$]+(?:\.[\w$-]+)*)(?:\s(?:as\s)?(?!on\b|using\b)(\w+))?(?:\son\s(.+)|\susing\s.+)?$"
@@ -157,15 +156,26 @@ def take_apart(df: DataFrame, sql: str, out: str) -> DataFrame:
     df = df.withColumn("_pieces", F.map_concat(*maps, "_k"))
     depth = sum((F.when(F.size(m) > 0, 1).otherwise(0) for m in maps), F.lit(1))
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(t, CLAUSES, i)
+    df = df.withColumn("_parts", F.split(t, CLAUSE_START))
+
+    def part(keyword: str) -> Column:
+        found = F.get(F.filter("_parts", lambda p: p.startswith(keyword + " ")), 0)
+        return F.coalesce(F.substring(found, len(keyword) + 2, 1 << 30), F.lit(""))
 
+    rank = F.lit(None).cast("int")
+    ranks = F.transform(
+        F.slice("_parts", 2, 1 << 20),
+        lambda p: F.coalesce(*[F.when(p.startswith(k + " "), i) for i, k in enumerate(KEYWORDS)], rank),
+    )
+    head = F.regexp_replace(part("select"), r"^all\s", "")
     df = df.withColumns(
         {
             "_depth": depth,
-            "_distinct": part(1) != "",
-            "_select": part(2), "_from": part(3), "_where": part(4), "_group": part(5),
-            "_having": part(6), "_order": part(7), "_limit": part(8),
+            "_distinct": head.startswith("distinct "),
+            "_select": F.regexp_replace(head, r"^distinct\s", ""),
+            "_from": part("from"), "_where": part("where"), "_group": part("group by"),
+            "_having": part("having"), "_order": part("order by"), "_limit": part("limit"),
+            "_in_order": F.array_sort(F.array_distinct(ranks)) == ranks,
         }
     )
     sources = F.transform(
@@ -195,7 +205,9 @@ def take_apart(df: DataFrame, sql: str, out: str) -> DataFrame:
         }
     )
     flat = (
-        F.col(t).rlike(CLAUSES)
+        F.col(t).startswith("select ")
+        & F.col("_in_order")
+        & ~F.col("_limit").contains(" ")
         & ~F.col("_whole").rlike(NOT_FLAT)
         & (F.size(F.regexp_extract_all("_whole", F.lit(r"\bselect\b"), F.lit(0))) == 1)
         & ~F.col(t).rlike(r"[()]|\bcase\b")
@@ -210,7 +222,7 @@ def take_apart(df: DataFrame, sql: str, out: str) -> DataFrame:
         F.col("_order").alias("order"), F.col("_limit").alias("limit"),
         F.col("_pieces").alias("pieces"), F.col(lits).alias("literals"), F.col("_depth").alias("depth"),
     ]
-    drop = ["_raw", t, lits, *maps, "_k", "_next", "_whole", "_pieces", "_depth", "_distinct", "_select",
+    drop = ["_raw", t, lits, *maps, "_k", "_next", "_whole", "_pieces", "_depth", "_distinct", "_select", "_parts", "_in_order",
             "_from", "_where", "_group", "_having", "_order", "_limit", "_sources", "_items", "_joiners"]
     return df.withColumn(out, F.struct(*keep)).drop(*drop)
 

@@ -192,8 +192,23 @@ def match_subsets(rows: DataFrame, cases: DataFrame, group_cells: int = M.GROUP_
         "case_id", F.lit("expected_column_not_found_in_generated").alias("reason"), none.alias("mapping")
     )
     live = live.withColumn("bucket", F.lit(None).cast("long"))
-    to_search = planned.filter(~missing)
-    found = M.search(live, to_search, subset=True, group_cells=group_cells).select(
+    # One option per column: nothing to search, only the rows to look up.
+    chosen = F.array_sort(
+        F.transform("options", lambda o: F.struct(o["col"].alias("e"), o["options"][0]["col"].alias("g")))
+    )
+    plain = F.forall("options", lambda o: o["n"] == 1) & (
+        F.size(F.array_distinct(F.transform("options", lambda o: o["options"][0]["col"]))) == F.size("options")
+    )
+    open_ended = planned.filter(~missing)
+    direct = open_ended.filter(plain).select("case_id", F.transform(chosen, lambda x: x["g"]).alias("mapping"))
+    checked = direct.join(M.agreement(live, direct, bucket=False, subset=True), "case_id").select(
+        "case_id", F.when(F.col("agrees"), F.col("mapping")).alias("mapping")
+    )
+    found = checked
+    to_search = open_ended.filter(~plain)
+    if not to_search.isEmpty():
+        found = found.unionByName(M.search(live, to_search, subset=True, group_cells=group_cells))
+    found = found.select(
         "case_id",
         F.when(F.col("mapping").isNull(), "generated_rows_not_in_expected").alias("reason"),
         "mapping",
