@@ -35,6 +35,10 @@ def statements(t: Tables) -> DataFrame:
     )
 
 
+def parsed(t: Tables) -> DataFrame:
+    return sqlscore.parsed(statements(t), t.spark.sparkContext.defaultParallelism)
+
+
 PARTS = f"p AS (SELECT p_partkey AS c, p_partkey % {len(WORDINGS)} AS k, lower(p_brand) AS b, p_brand AS br, p_size AS z, p_partkey % 50 = 0 AS no_gold FROM part)"
 
 
@@ -55,7 +59,7 @@ def normalised_sql(t: Tables) -> DataFrame:
 )
 def sql_exact_match(t: Tables) -> DataFrame:
     """Statements that differ only in names, space, comments and NULL order are the same."""
-    return sqlscore.exact_match(sqlscore.parsed(statements(t)))
+    return sqlscore.exact_match(parsed(t))
 
 
 TOKENS = """tk AS (
@@ -79,7 +83,7 @@ TOKENS = """tk AS (
 @check("case_id bigint, side string, clause string, token string", f"WITH {PARTS}, {TOKENS} SELECT c AS case_id, side, clause, token FROM tk")
 def clause_items(t: Tables) -> DataFrame:
     """The items of each clause, with aliases resolved and comparisons in one order."""
-    return sqlscore.clause_items(sqlscore.parsed(statements(t)))
+    return sqlscore.clause_items(parsed(t))
 
 
 F1 = """n AS (SELECT c, clause, token, count_if(side = 'e') AS e, count_if(side = 'g') AS g FROM tk GROUP BY ALL),
@@ -90,7 +94,7 @@ f AS (SELECT c, clause, round(2 * sum(least(e, g)) / (sum(e) + sum(g)), 4) AS f1
 @check("case_id bigint, clause string, f1 double, missing string, extra string", f"WITH {PARTS}, {TOKENS}, {F1} SELECT c AS case_id, clause, f1, missing, extra FROM f")
 def clause_scores(t: Tables) -> DataFrame:
     """F1 of each clause with what is missing and what is extra."""
-    s = sqlscore.clause_scores(sqlscore.clause_items(sqlscore.parsed(statements(t))))
+    s = sqlscore.clause_scores(sqlscore.clause_items(parsed(t)))
     return s.withColumns({c: F.concat_ws("|", c) for c in ("missing", "extra")})
 
 
@@ -102,7 +106,7 @@ def clause_scores(t: Tables) -> DataFrame:
 )
 def component_match(t: Tables) -> DataFrame:
     """The mean clause score with its rules of applicability."""
-    return sqlscore.component_match(sqlscore.parsed(statements(t)))
+    return sqlscore.component_match(parsed(t))
 
 
 def schema_of_tables(t: Tables) -> DataFrame:
@@ -119,7 +123,7 @@ def schema_of_tables(t: Tables) -> DataFrame:
 )
 def schema_validity(t: Tables) -> DataFrame:
     """Only tables and columns that exist are named."""
-    out = sqlscore.schema_validity(sqlscore.parsed(statements(t)), schema_of_tables(t))
+    out = sqlscore.schema_validity(parsed(t), schema_of_tables(t))
     named = lambda k: F.coalesce(F.try_element_at("details", F.lit(k)), F.lit(""))
     return out.withColumns({k: named(k) for k in ("missing_tables", "missing_columns")})
 
@@ -132,7 +136,7 @@ def schema_validity(t: Tables) -> DataFrame:
 )
 def tables_that_exist(t: Tables) -> DataFrame:
     """The tables a statement reads, looked up with and without their schema."""
-    found = sqlscore.resolve_tables(sqlscore.source_tables(sqlscore.parsed(statements(t))), schema_of_tables(t))
+    found = sqlscore.resolve_tables(sqlscore.source_tables(parsed(t)), schema_of_tables(t))
     return found.select("case_id", "alias", F.col("full").alias("full_name"), F.col("columns").isNotNull().alias("known"))
 
 

@@ -18,12 +18,15 @@ from tallygrade.session import cut
 SHOWN_ITEMS = 10
 
 
-def parsed(cases: DataFrame) -> DataFrame:
+def parsed(cases: DataFrame, partitions: int | None = None) -> DataFrame:
     """cases (case_id, expected_sql, generated_sql) with both statements taken apart: e, g.
 
     Written once and read by every score: a filter on what was found would else be
-    pushed through all steps of the parsing and repeat them.
+    pushed through all steps of the parsing and repeat them. Parsing is heavy on the
+    processor and light on data: `partitions` spreads a small file over the cores.
     """
+    if partitions:
+        cases = cases.repartition(partitions, "case_id")
     both = S.take_apart(S.take_apart(cases, "expected_sql", "e"), "generated_sql", "g")
     return cut(both, "statements")
 

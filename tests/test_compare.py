@@ -172,7 +172,7 @@ def test_random_cases_against_brute_force(spark, group_cells):
     """Few distinct values, so many columns look alike; 0 sends all to the Spark rounds."""
     rnd = random.Random(7)
     cases, wanted = [], {}
-    for i in range(60 if group_cells else 24):
+    for i in range(60 if group_cells else 12):
         n, m, k = rnd.randint(1, 4), 0, rnd.randint(1, 5)
         m = n + rnd.choice([0, 0, 1])
         e = [[rnd.randint(0, 1) for _ in range(n)] for _ in range(k)]
