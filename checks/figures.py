@@ -71,10 +71,15 @@ def case_succeeded(t: Tables) -> DataFrame:
     return run_cases(t).select("case_id", M.succeeded().alias("ok"))
 
 
+def exact(value: str, digits: int = 2) -> str:
+    """SQL: a double rounded by its own value, not by its shortest text."""
+    return f"CAST(format('{{:.{digits}f}}', {value}) AS DOUBLE)"
+
+
 def latency_sql(v: str, where: str = "true") -> str:
-    return f"""round(quantile_cont({v}, 0.5) FILTER ({where}), 2) AS p50, round(quantile_cont({v}, 0.95) FILTER ({where}), 2) AS p95,
-    round(quantile_cont({v}, 0.99) FILTER ({where}), 2) AS p99, round(avg({v}) FILTER ({where}), 2) AS average,
-    round(min({v}) FILTER ({where}), 2) AS minimum, round(max({v}) FILTER ({where}), 2) AS maximum, count({v}) FILTER ({where}) AS samples"""
+    cuts = ", ".join(f"{exact(f'quantile_cont({v}, {q}) FILTER ({where})')} AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
+    bounds = ", ".join(f"{exact(f'{f}({v}) FILTER ({where})')} AS {n}" for n, f in (("average", "avg"), ("minimum", "min"), ("maximum", "max")))
+    return f"{cuts}, {bounds}, count({v}) FILTER ({where}) AS samples"
 
 
 LATENCY = "run_id bigint, p50 double, p95 double, p99 double, average double, minimum double, maximum double, samples bigint"
@@ -291,8 +296,8 @@ ROLLED = f"""WITH {CASES}, cat AS (SELECT *, {CATEGORY} AS category FROM good),
     ROLLED + """, w AS (SELECT run_id, round((0.4 * contains + 0.1 * component) / 0.5, 4)::DOUBLE AS composite_score, 0::DOUBLE AS execution_accuracy,
       contains::DOUBLE AS contains_accuracy, 0::DOUBLE AS sql_exact_match, 0::DOUBLE AS time_shift_score, component::DOUBLE AS component_match,
       0::DOUBLE AS schema_validity, 0::DOUBLE AS dialect_validity, failure_rate::DOUBLE AS failure_rate, (passed / total_cases)::DOUBLE AS pass_rate,
-      p95::DOUBLE AS p95_latency_ms, round(aavg / 1000, 2)::DOUBLE AS avg_agent_sql_generation_seconds, round(a50 / 1000, 2)::DOUBLE AS p50_agent_sql_generation_seconds,
-      round(a95 / 1000, 2)::DOUBLE AS p95_agent_sql_generation_seconds, exec::DOUBLE AS average_total_execution_time_ms,
+      p95::DOUBLE AS p95_latency_ms, """ + exact('aavg / 1000') + """::DOUBLE AS avg_agent_sql_generation_seconds, """ + exact('a50 / 1000') + """::DOUBLE AS p50_agent_sql_generation_seconds,
+      """ + exact('a95 / 1000') + """::DOUBLE AS p95_agent_sql_generation_seconds, exec::DOUBLE AS average_total_execution_time_ms,
       first::DOUBLE AS average_time_to_first_row_ms, tok::DOUBLE AS average_token_usage, it::DOUBLE AS average_iterations FROM x)
     SELECT * FROM (UNPIVOT w ON COLUMNS(* EXCLUDE (run_id)) INTO NAME name VALUE value)""",
 )
@@ -323,7 +328,7 @@ def run_roll_up(t: Tables) -> DataFrame:
     f"""WITH {CASES}, r AS (SELECT case_id, 'contains_accuracy' AS name, (k % 2)::DOUBLE AS value, k % 2 = 1 AS ok, k % 8 <> 0 AS a FROM cases
       UNION ALL SELECT case_id, 'component_match', k / 100.0, k >= 100, true FROM cases)
     SELECT case_id, name, value, 'passed=' || CASE WHEN ok THEN 'True' ELSE 'False' END AS comment FROM r WHERE a
-    UNION ALL SELECT case_id, 'agent_sql_generation_seconds', round(v * 10 / 1000, 2),
+    UNION ALL SELECT case_id, 'agent_sql_generation_seconds', {exact('v * 10 / 1000')},
       'seconds from sending the question to the agent until it returned SQL' FROM cases WHERE gsql IS NOT NULL""",
 )
 def score_rows(t: Tables) -> DataFrame:
@@ -365,7 +370,7 @@ def evaluators_side_by_side(t: Tables) -> DataFrame:
 
 @check(
     "case_id bigint, secs double, share double, delay double, label string",
-    f"""WITH {CASES} SELECT case_id, round(v * 10 / 1000, 2) AS secs, coalesce(round(k / nullif(k % 7, 0), 4), 0) AS share, 20 * pow(2, greatest(k % 5 - 1, 0)) AS delay,
+    f"""WITH {CASES} SELECT case_id, {exact('v * 10 / 1000')} AS secs, coalesce(round(k / nullif(k % 7, 0), 4), 0) AS share, 20 * pow(2, greatest(k % 5 - 1, 0)) AS delay,
     CASE k % 3 WHEN 0 THEN 'rate_limited: agent (retries stopped by the user)'
       WHEN 1 THEN 'rate_limited: agent (still rate limited after 3 retries: ' || substr(repeat('busy ' || k || ' ', 60), 1, 200) || ')' END AS label FROM cases""",
 )

@@ -34,21 +34,44 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
 
+# Splits a double into two halves whose products are exact.
+SPLIT = 134217729.0
+
+
+def rint_product(x: Column, unit: Column) -> Column:
+    """x * unit to the nearest whole number, as if the product were exact.
+
+    Where the rounded product lands on a half, its error tells on which side of the
+    half the true product is; only a true half goes to the even neighbour. unit is a
+    power of ten below 2^26.
+    """
+    p = x * unit
+    high = x * SPLIT - (x * SPLIT - x)
+    error = (high * unit - p) + (x - high) * unit
+    beside = F.when(error > 0, F.floor(p) + 1).otherwise(F.floor(p)).cast("double")
+    half = (F.abs(p) < 2.0**51) & (F.abs(p - F.rint(p)) == 0.5) & (error != 0)
+    return F.when(half, beside).otherwise(F.rint(p))
+
+
 def clean_number(v: Column, digits: int = 6) -> Column:
     """Round a double to `digits` decimals, then to 12 significant digits; -0 becomes 0.
 
-    Whole numbers below 1e12, and anything below 1e6 once rounded, already have
-    at most 12 significant digits, so the text round trip is left to the rest.
+    Whole numbers below 1e12, and anything below 1e6 once rounded, already have at
+    most 12 significant digits, so most cells take one step.
     """
     v = v.cast("double")
-    rounded = F.round(v, digits)
-    bounded = F.abs(v)
-    short = bounded < 10.0 ** (12 - digits) if digits <= 12 else F.lit(False)
+    size = F.abs(v)
+    unit = float(10**digits)
+    # Past this size a double has no decimals left to round.
+    fixed = F.when(size < 2.0**51 / unit, rint_product(v, F.lit(unit)) / unit).otherwise(v)
+    places = F.floor(F.log10(size)).cast("int") - 11
+    up, down = F.pow(F.lit(10.0), -places), F.pow(F.lit(10.0), places)
+    twelve = F.when(places <= 0, rint_product(v, up) / up).otherwise(F.rint(v / down) * down)
     return (
-        F.when(F.isnan(v) | (bounded == float("inf")), v)
-        .when((F.rint(v) == v) & (bounded < 1e12), v + F.lit(0.0))
-        .when(short, rounded + F.lit(0.0))
-        .otherwise(F.format_string("%.11e", rounded).try_cast("double") + F.lit(0.0))
+        F.when(F.isnan(v) | (size == float("inf")), v)
+        .when((F.rint(v) == v) & (size < 1e12), v + F.lit(0.0))
+        .when(size < 10.0 ** (12 - digits), fixed + F.lit(0.0))
+        .otherwise(twelve + F.lit(0.0))
     )
 
 

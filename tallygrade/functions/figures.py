@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallygrade.functions.cells import rint_product
+
 # Connection dialect -> dialect the SQL is written in.
 DIALECTS = {
     "postgresql": "postgres",
@@ -26,14 +28,20 @@ DIALECTS = {
 }
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounding of the double itself: 0.105 is a little less than its text says."""
+    unit = float(10**digits)
+    return rint_product(value.cast("double"), F.lit(unit)) / unit
+
+
 def seconds(ms: Column) -> Column:
     """Milliseconds as seconds with two digits; NULL counts as 0."""
-    return F.round(F.coalesce(ms.cast("double"), F.lit(0.0)) / 1000, 2)
+    return rounded(F.coalesce(ms.cast("double"), F.lit(0.0)) / 1000, 2)
 
 
 def rate(part: Column, whole: Column) -> Column:
     """part / whole with four digits, 0 for an empty whole."""
-    return F.coalesce(F.round(part / F.nullif(whole, F.lit(0)), 4), F.lit(0.0))
+    return F.coalesce(rounded(part / F.nullif(whole, F.lit(0)), 4), F.lit(0.0))
 
 
 def retry_delay(retry: Column, base_seconds: float = 20.0) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrade.functions.figures import rate
+from tallygrade.functions.figures import rate, rounded
 
 # Weight of each evaluator in the composite score.
 WEIGHTS = {
@@ -59,7 +59,7 @@ def latency_bounds(value: Column, prefix: str, where: Column | None = None) -> l
     v = value if where is None else F.when(where, value)
 
     def shown(c: Column, name: str) -> Column:
-        return F.coalesce(F.round(c.cast("double"), 2), F.lit(0.0)).alias(f"{prefix}_{name}")
+        return F.coalesce(rounded(c.cast("double"), 2), F.lit(0.0)).alias(f"{prefix}_{name}")
 
     return [
         shown(F.avg(v), "average"),
@@ -119,7 +119,7 @@ def percentiles(df: DataFrame, keys: list[str], value: Column, prefix: str,
         ]
         low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
         shown.append(
-            F.round(low + (high - low) * F.col(f"_{name}_part"), 2).alias(f"{prefix}_{name}")
+            rounded(low + (high - low) * F.col(f"_{name}_part"), 2).alias(f"{prefix}_{name}")
         )
     return ranked.groupBy(*keys).agg(*aggregates).select(*keys, *shown)
 
@@ -169,21 +169,21 @@ def performance_stats() -> list[Column]:
     ran = F.when(yes("generated_ok"), F.col("generated_exec_ms"))
 
     def mean(meta: str) -> Column:
-        return F.coalesce(F.round(F.avg(F.coalesce(F.col(meta), ran, F.lit(0.0))), 2), F.lit(0.0))
+        return F.coalesce(rounded(F.avg(F.coalesce(F.col(meta), ran, F.lit(0.0))), 2), F.lit(0.0))
 
     tokens = F.coalesce(F.col("token_usage"), F.lit(0)).cast("long")
     return [
         mean("total_execution_time_ms").alias("average_total_execution_time_ms"),
         mean("time_to_first_row_ms").alias("average_time_to_first_row_ms"),
         F.coalesce(F.sum(tokens), F.lit(0)).alias("total_token_usage"),
-        F.coalesce(F.round(F.avg(tokens), 2), F.lit(0.0)).alias("average_token_usage"),
+        F.coalesce(rounded(F.avg(tokens), 2), F.lit(0.0)).alias("average_token_usage"),
     ]
 
 
 def iteration_stats() -> list[Column]:
     n = F.coalesce(F.col("iterations"), F.lit(0)).cast("long")
     return [
-        F.coalesce(F.round(F.avg(n), 2), F.lit(0.0)).alias("average_iterations"),
+        F.coalesce(rounded(F.avg(n), 2), F.lit(0.0)).alias("average_iterations"),
         F.coalesce(F.max(n), F.lit(0)).alias("max_iterations"),
         F.coalesce(F.sum(n), F.lit(0)).alias("total_iterations"),
     ]
@@ -203,7 +203,7 @@ def iteration_distribution(cases: DataFrame, run: str = "run_id") -> DataFrame:
 def evaluator_averages(results: DataFrame, run: str = "run_id") -> DataFrame:
     """Average score (4 digits) and number of applicable results per run and evaluator."""
     return results.groupBy(run, "evaluator").agg(
-        F.coalesce(F.round(F.avg(F.when(F.col("applicable"), F.col("score"))), 4), F.lit(0.0)).alias(
+        F.coalesce(rounded(F.avg(F.when(F.col("applicable"), F.col("score"))), 4), F.lit(0.0)).alias(
             "average"
         ),
         F.count_if("applicable").alias("evaluated"),
@@ -254,7 +254,7 @@ def composite_scores(averages: DataFrame, weights: dict[str, float] | None = Non
         total = total + F.when(judged, F.lit(float(w))).otherwise(0.0)
         score = score + F.coalesce(F.lit(float(w)) * F.col(f"_{name}"), F.lit(0.0))
     return terms.select(
-        run, F.coalesce(F.round(score / F.when(total > 0, total), 4), F.lit(0.0)).alias("composite_score")
+        run, F.coalesce(rounded(score / F.when(total > 0, total), 4), F.lit(0.0)).alias("composite_score")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrade.functions import statements as S
+from tallygrade.functions.figures import rounded
 from tallygrade.operators.bags import bag_difference
 from tallygrade.operators.outcomes import blank, result
 from tallygrade.session import cut
@@ -71,13 +72,13 @@ def clause_scores(items: DataFrame) -> DataFrame:
     shared = F.sum("shared")
     both = 2 * shared + F.sum("missing") + F.sum("extra")
     return per_item.groupBy("case_id", "clause").agg(
-        F.round(2 * shared / both, 4).alias("f1"), listed("missing"), listed("extra")
+        rounded(2 * shared / both, 4).alias("f1"), listed("missing"), listed("extra")
     )
 
 
 def mean_clause_score(scores: DataFrame) -> DataFrame:
     """Mean of the rounded clause scores."""
-    return scores.groupBy("case_id").agg(F.round(F.avg("f1"), 4).alias("mean_f1"))
+    return scores.groupBy("case_id").agg(rounded(F.avg("f1"), 4).alias("mean_f1"))
 
 
 def component_match(statements: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrade.functions.figures import rate_limit_label, retry_delay
+from tallygrade.functions.figures import rate_limit_label, retry_delay, rounded
 
 # Fixed values.
 CACHE_SECONDS = 600
@@ -42,7 +42,7 @@ def running_averages(results: DataFrame) -> DataFrame:
     """Average and count per run and evaluator so far; not-applicable results do not count."""
     kept = F.when(F.col("applicable"), F.col("score"))
     return results.groupBy("run_id", "evaluator").agg(
-        F.coalesce(F.round(F.avg(kept), 4), F.lit(0.0)).alias("average"), F.count(kept).alias("evaluated")
+        F.coalesce(rounded(F.avg(kept), 4), F.lit(0.0)).alias("average"), F.count(kept).alias("evaluated")
     )
 
 
