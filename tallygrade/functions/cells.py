@@ -34,6 +34,11 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 # Splits a double into two halves whose products are exact.
 SPLIT = 134217729.0
 
@@ -63,10 +68,12 @@ def clean_number(v: Column, digits: int = 6) -> Column:
     size = F.abs(v)
     unit = float(10**digits)
     # Past this size a double has no decimals left to round.
-    fixed = F.when(size < 2.0**51 / unit, rint_product(v, F.lit(unit)) / unit).otherwise(v)
+    fixed = F.when(size < 2.0**53 / unit, rint_product(v, F.lit(unit)) / unit).otherwise(v)
     places = F.floor(F.log10(size)).cast("int") - 11
     up, down = F.pow(F.lit(10.0), -places), F.pow(F.lit(10.0), places)
-    twelve = F.when(places <= 0, rint_product(v, up) / up).otherwise(F.rint(v / down) * down)
+    twelve = F.when(
+        places <= 0, _let(fixed, lambda x: rint_product(x, up)) / up
+    ).otherwise(F.rint(v / down) * down)
     return (
         F.when(F.isnan(v) | (size == float("inf")), v)
         .when((F.rint(v) == v) & (size < 1e12), v + F.lit(0.0))
@@ -117,11 +124,6 @@ def tag_number(v: Column, digits: int = 6) -> Column:
 STARTS = r"^[-+$€£₪.\d]"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _tag_stripped(text: Column, number: Column, digits: int) -> Column:
     return F.coalesce(
         tag_number(number, digits),
