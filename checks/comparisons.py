@@ -613,22 +613,29 @@ def distinct_in_first_order(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- gold on two engines
 
-@check(
-    "db string, ok bigint, total bigint, failing string",
-    f"""WITH {GRADED}, r AS (SELECT c, {reason_sql(False)} AS reason FROM pairs WHERE eok),
-    s AS (SELECT 'db' || (c % 5) AS db, c, CASE WHEN reason IS NULL THEN NULL WHEN c % 9 = 7 THEN 'error' ELSE 'different result' END AS why FROM r)
-    SELECT db, count(*) FILTER (why IS NULL) AS ok, count(*) AS total,
-      string_agg(c || ': ' || why, '; ' ORDER BY c) FILTER (why IS NOT NULL) AS failing FROM s GROUP BY db""",
-)
+GOLD = f"""WITH {GRADED}, r AS (SELECT c, {reason_sql(False)} AS reason FROM pairs WHERE eok),
+    s AS (SELECT 'db' || (c % 5) AS db, c, CASE WHEN reason IS NULL THEN NULL WHEN c % 9 = 7 THEN 'error' ELSE 'different result' END AS why FROM r)"""
+
+
+def gold(t: Tables) -> DataFrame:
+    from tallygrade.plans.gold import gold_checks
+
+    cases, rows = graded(t)
+    cases = cases.filter("expected.ok").withColumn("db", F.concat(F.lit("db"), (F.col("case_id") % 5).cast("string")))
+    return gold_checks(cases, compare(cases, rows, allow_extra=False))
+
+
+@check("db string, ok bigint, total bigint", f"{GOLD} SELECT db, count(*) FILTER (why IS NULL) AS ok, count(*) AS total FROM s GROUP BY db")
 def gold_on_two_engines(t: Tables) -> DataFrame:
     """Gold answers that stay the same on a second engine, tallied per database."""
     from tallygrade.plans.gold import verification_tally
 
-    cases, rows = graded(t)
-    cases = cases.filter("expected.ok").withColumn("db", F.concat(F.lit("db"), (F.col("case_id") % 5).cast("string")))
-    compared = compare(cases, rows.join(cases.select("case_id"), "case_id", "left_semi"), allow_extra=False)
-    tally = verification_tally(cases, compared)
-    return tally.select(
-        "db", "ok", "total",
-        F.nullif(F.array_join(F.transform("failing", lambda x: F.concat(x["case_id"].cast("string"), F.lit(": "), x["reason"])), "; "), F.lit("")).alias("failing"),
-    )
+    return verification_tally(gold(t))
+
+
+@check("case_id bigint, db string, reason string", f"{GOLD} SELECT c AS case_id, db, why AS reason FROM s WHERE why IS NOT NULL")
+def gold_that_changed(t: Tables) -> DataFrame:
+    """The gold answers that do not stay the same, with the reason."""
+    from tallygrade.plans.gold import failing_questions
+
+    return failing_questions(gold(t))

@@ -259,10 +259,9 @@ def kept_questions(t: Tables) -> DataFrame:
 )
 def merged_verified_lists(t: Tables) -> DataFrame:
     """New verified lists in place of the saved ones of the same engine and database."""
-    lists = lambda v: v.groupBy("engine", "db_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     v = votes(t)
-    merged = sinks.merge_verified(lists(v), lists(v.filter("engine = 'trino' AND id % 2 = 0")))
-    return merged.select("engine", "db_id", F.size("ids").alias("n"), F.array_min("ids").alias("low"))
+    merged = sinks.merge_verified(v, v.filter("engine = 'trino' AND id % 2 = 0"))
+    return merged.groupBy("engine", "db_id").agg(F.count("*").alias("n"), F.min("id").alias("low"))
 
 
 @check(

@@ -20,7 +20,7 @@ MAX_STEPS = 20_000
 # A case with more cells than this is searched by Spark rounds instead.
 GROUP_CELLS = 2_000_000
 # Partial choices tested per case and round.
-BATCH = 64
+BATCH = 8
 
 FOUND = T.StructType(
     [

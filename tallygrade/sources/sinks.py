@@ -27,8 +27,11 @@ def write_questions(questions: DataFrame, path: str) -> None:
 
 
 def merge_verified(saved: DataFrame, new: DataFrame) -> DataFrame:
-    """Saved (engine, db_id, ids) with the new lists in place of the old ones."""
-    kept = saved.join(new.select("engine", "db_id"), ["engine", "db_id"], "left_anti")
+    """Saved (engine, db_id, id) with the new lists in place of the old ones.
+
+    A list is its rows: the ids of an engine and database are never collected.
+    """
+    kept = saved.join(new.select("engine", "db_id").distinct(), ["engine", "db_id"], "left_anti")
     return kept.unionByName(new.select(*saved.columns))
 
 
