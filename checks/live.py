@@ -62,7 +62,7 @@ def live_finished_cases(t: Tables) -> DataFrame:
 
 @check(
     "run_id bigint, evaluator string, average double, evaluated bigint",
-    """SELECT user_id % 10 AS run_id, event_type AS evaluator, coalesce(round(avg(CASE WHEN event_id % 3 > 0 THEN (event_id % 2)::DOUBLE END), 4), 0) AS average,
+    """SELECT user_id % 10 AS run_id, event_type AS evaluator, coalesce(CAST(format('{:.4f}', avg(CASE WHEN event_id % 3 > 0 THEN (event_id % 2)::DOUBLE END)) AS DOUBLE), 0) AS average,
     count_if(event_id % 3 > 0) AS evaluated FROM events GROUP BY ALL""",
 )
 def live_averages(t: Tables) -> DataFrame:
