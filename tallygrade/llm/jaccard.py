@@ -10,9 +10,11 @@ group: as many pairs as index rows. Then only pairs that still lie in different
 components are tried, found on the level of (token, component). A group of many
 near copies is one component after the first pass and makes no pairs of its own.
 
-Any order of the tokens gives right results. Shingles that are frequent come last:
-counts over all texts, the `HEAVY` most frequent by number, all others by hash.
-That bound only moves work; it drops nothing.
+Any order of the tokens gives right results, as long as it depends on the token alone.
+Rare shingles come first, by counts over all texts: the `HEAVY` most frequent shingles
+last, by their number; all others by how frequent their words are, for which the
+`HEAVY` most frequent words have a number. These bounds only move work; they drop
+nothing.
 """
 
 from __future__ import annotations
@@ -33,26 +35,35 @@ HEAVY = 1 << 17
 FLUSH = 1 << 22
 
 
-def sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text.
+def shingles_of(texts: pa.Array, words: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, and the index of the first word of each.
 
-    Texts with fewer words have their whole sequence as one shingle, texts without
-    words or null an empty set.
+    Also the hashes of all words in a row, and of the distinct words. Texts with fewer
+    words have their whole sequence as one shingle, texts without words or null none.
     """
     split = split_words(filled(texts), lower=True)
-    of = hashed(split.uniques)[split.ids] if len(split.ids) else np.zeros(0, np.uint64)
+    known = hashed(split.uniques)
+    of = known[split.ids] if len(split.ids) else np.zeros(0, np.uint64)
     found, first = windows(of, split.starts, words)
     cuts = np.searchsorted(first, split.starts)
-    out = []
+    sets, places = [], []
     for i, n in enumerate(split.counts):
+        at = split.starts[i]
         if n >= words:
-            out.append(np.unique(found[cuts[i] : cuts[i + 1]]))
+            one, where = np.unique(found[cuts[i] : cuts[i + 1]], return_index=True)
+            sets.append(one)
+            places.append(first[cuts[i] + where])
         elif n:
-            at = split.starts[i]
-            out.append(np.array([xxhash.xxh3_64_intdigest(of[at : at + n].tobytes(), 7)], np.uint64))
+            sets.append(np.array([xxhash.xxh3_64_intdigest(of[at : at + n].tobytes(), 7)], np.uint64))
+            places.append(np.array([at]))
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            sets.append(np.zeros(0, np.uint64))
+            places.append(np.zeros(0, np.int64))
+    return sets, places, of, known
+
+
+def sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
+    return shingles_of(texts, words)[0]
 
 
 def marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,70 +78,86 @@ def marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def heavy_shingles(documents: DataFrame, words: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (sorted) and their counts, from counts over all texts.
+def frequent(documents: DataFrame, words: int, most: int = HEAVY) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The most frequent shingles and words, each sorted with their counts, from counts over all texts.
 
-    A task reports shingles that it saw in at least two texts of a stretch.
+    A task reports what it saw at least twice in a stretch.
     """
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = [[], []]
 
-        def flush() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            often = counts > 1
-            return pa.record_batch([pa.array(signed(values[often])), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in enumerate(held):
+                values, counts = np.unique(np.concatenate(parts), return_counts=True)
+                parts.clear()
+                often = counts > 1
+                kinds = np.full(int(often.sum()), kind, np.int32)
+                yield pa.record_batch([pa.array(kinds), pa.array(signed(values[often])), pa.array(counts[often].astype(np.int64))], ["kind", "token", "n"])
 
         size = 0
         for part in slices(batches, "text"):
-            got = sets_of(part.column("text"), words)
-            held += got
-            size += sum(map(len, got))
+            sets, _, of, _ = shingles_of(part.column("text"), words)
+            held[0] += sets
+            held[1].append(of)
+            size += len(of)
             if size > FLUSH:
-                yield flush()
+                yield from flush()
                 size = 0
-        if held:
-            yield flush()
+        if held[1]:
+            yield from flush()
+
+    rows = documents.select("text").mapInArrow(counted, "kind int, token long, n long")
+    rows = cut(rows.groupBy("kind", "token").agg(F.sum("n").alias("n")), "frequent")
+    out = []
+    for kind in (0, 1):
+        top = rows.where(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(most).select("token", "n").toArrow()
+        values = top.column("token").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(values)
+        out.append((values[order], top.column("n").to_numpy()[order]))
+    return out
 
-    rows = documents.select("text").mapInArrow(counted, "token long, n long")
-    top = rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).collect()
-    values = np.array([r.token for r in top], np.int64).view(np.uint64)
-    order = np.argsort(values)
-    return values[order], np.array([r.n for r in top], np.int64)[order]
+
+def _number(table: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """How often each token occurs by the table, 0 where it has none."""
+    values, counts = table
+    if not len(values):
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(values, tokens), len(values) - 1)
+    return np.where(values[at] == tokens, counts[at], 0)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefixes(documents: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(documents: DataFrame, words: int, percent: int, tables: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Per document its set's size and marks, and the prefix: its rarest shingles, rarest first."""
-    shared = documents.sparkSession.sparkContext.broadcast(heavy)
+    shared = documents.sparkSession.sparkContext.broadcast(tables)  # 2 * HEAVY numbers each
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = shared.value
+        heavy, common = shared.value
+        values, counts = heavy
         seen = np.zeros(1 << 20, bool)
         seen[(values & np.uint64(len(seen) - 1)).astype(np.int64)] = True
         for part in slices(batches, "text"):
-            sets = sets_of(part.column("text"), words)
+            sets, places, of, known = shingles_of(part.column("text"), words)
+            order = np.argsort(known)
+            known, numbers = known[order], _number(common, known[order])
+            weight = np.log2(numbers + 1.0)[np.searchsorted(known, of)] if len(of) else np.zeros(0)
+            sums = np.concatenate([[0.0], np.cumsum(np.round(weight * 4))])
             a, b = marks(sets)
             chosen, keys = [], []
-            for s in sets:
+            for s, place in zip(sets, places):
                 p = prefix_length(len(s), percent) if len(s) else 0
+                rank = sums[np.minimum(place + words, len(of))] - sums[place]
                 maybe = np.flatnonzero(seen[(s & np.uint64(len(seen) - 1)).astype(np.int64)])
-                if len(maybe) and len(values):
-                    at = np.minimum(np.searchsorted(values, s[maybe]), len(values) - 1)
-                    hit = values[at] == s[maybe]
-                    maybe, at = maybe[hit], at[hit]
-                    light = np.delete(s, maybe)
-                    if len(light) < p:
-                        often = s[maybe][np.lexsort((s[maybe], counts[at]))]
-                        light = np.concatenate([light, often])
-                else:
-                    light = s
-                chosen.append(light[:p])
-                keys.append(xxhash.xxh3_64_intdigest(light[:p].tobytes(), len(s)))
+                if len(maybe):
+                    often = _number(heavy, s[maybe])
+                    rank[maybe] += np.where(often, 1e6 + often, 0)
+                light = s[np.argsort(rank, kind="stable")[:p]]
+                chosen.append(light)
+                keys.append(xxhash.xxh3_64_intdigest(light.tobytes(), len(s)))
             flat = np.concatenate([*chosen, np.zeros(0, np.uint64)])
             ends = np.concatenate([[0], np.cumsum([len(c) for c in chosen])]).astype(np.int32)
             yield pa.record_batch(
@@ -190,27 +217,21 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     of each other and each come back. Columns besides doc_id and text are not read.
     """
     documents = documents.select("doc_id", "text")
-    heavy = heavy_shingles(documents, words)
-    docs = cut(prefixes(documents, words, percent, heavy), "prefixes")
+    docs = cut(prefixes(documents, words, percent, frequent(documents, words)), "prefixes")
     usable = docs.where("doc_id is not null and n > 0")
-    units = cut(
-        usable.groupBy("n", "a", "b").agg(
-            F.min("doc_id").alias("doc"), F.any_value("g").alias("g"), F.any_value("prefix").alias("prefix")
-        ).withColumnRenamed("a", "u").drop("b"),
-        "units",
-    )
+    units = cut(usable.groupBy("n", "g", F.col("a").alias("u"), "b").agg(F.min("doc_id").alias("doc")).drop("b"), "units")
 
     # the index: tokens that two groups share, and one row for each group of several units
-    groups = units.groupBy("n", "g").agg(F.min("u").alias("gid"), F.count("*").alias("members"), F.any_value("prefix").alias("prefix"))
+    groups = usable.groupBy("n", "g").agg(F.min("a").alias("gid"), F.max("a").alias("last"), F.any_value("prefix").alias("prefix"))
     groups = cut(groups, "groups")
     tokens = groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     index = tokens.join(shared, "token").select("token", "gid", "n", "pos")
-    own = groups.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
+    own = groups.where("gid <> last").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
     index = cut(index.unionByName(own).withColumn("band", _band(percent)), "index")
-    several = groups.where("members > 1").select("n", "g", "gid")
+    several = groups.where("gid <> last").select("n", "g", "gid")
     members = units.join(several, ["n", "g"]).select("gid", "u", "doc")
-    alone = groups.where("members = 1").select("gid", F.col("gid").alias("u")).join(units.select("u", "doc"), "u").select("gid", "u", "doc")
+    alone = groups.where("gid = last").select("gid", F.col("gid").alias("u")).join(units.select("u", "doc"), "u").select("gid", "u", "doc")
     members = members.unionByName(alone).join(index.select("gid").distinct(), "gid", "left_semi")
     members = cut(members, "members")
 
