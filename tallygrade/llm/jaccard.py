@@ -1,8 +1,9 @@
 """N-gram Jaccard join: grouped prefix join over sets of word shingles.
 
 Texts with equal sets become one unit, units with equal prefixes and size one
-group. Groups that share a prefix token are compared by size and position; only
-then are their members taken out and verified on the whole sets.
+group. Groups that share a prefix token are compared by size and position, their
+members by parity bits; only what is left is verified on the whole sets, which are
+made again from the texts of those documents alone.
 
 Links are wanted for components, so pairs are tried in two passes. First every
 group meets the leader of each of its buckets, and every member the leader of its
@@ -33,6 +34,7 @@ from tallygrade.session import cut
 
 HEAVY = 1 << 17
 FLUSH = 1 << 22
+BITS = 1024
 
 
 def shingles_of(texts: pa.Array, words: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
@@ -78,6 +80,15 @@ def marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set BITS bits, as signed 64-bit numbers: whether a slot holds an odd number of its hashes."""
+    out = np.zeros((len(sets), BITS // 8), np.uint8)
+    for i, s in enumerate(sets):
+        slots = ((s >> np.uint64(24)) & np.uint64(BITS - 1)).astype(np.int64)
+        out[i] = np.packbits((np.bincount(slots, minlength=BITS) & 1).astype(bool))
+    return np.frombuffer(out.tobytes(), np.int64)
+
+
 def frequent(documents: DataFrame, words: int, most: int = HEAVY) -> list[tuple[np.ndarray, np.ndarray]]:
     """The most frequent shingles and words, each sorted with their counts, from counts over all texts.
 
@@ -168,11 +179,13 @@ def prefixes(documents: DataFrame, words: int, percent: int, tables: list[tuple[
                     pa.array(b),
                     pa.array(signed(np.array(keys, np.uint64))),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(parities(sets))),
                 ],
-                ["doc_id", "n", "a", "b", "g", "prefix"],
+                ["doc_id", "n", "a", "b", "g", "prefix", "bits"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(made, "doc_id long, n long, a long, b long, g long, prefix array<long>")
+    kinds = "doc_id long, n long, a long, b long, g long, prefix array<long>, bits array<long>"
+    return documents.select("doc_id", "text").mapInArrow(made, kinds)
 
 
 def whole_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -188,14 +201,32 @@ def whole_sets(documents: DataFrame, words: int) -> DataFrame:
     return documents.select("text").mapInArrow(made, "u long, s array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (x, y) whose whole sets are as similar as asked for."""
+def possible(pairs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (x, y) of units that the parity bits don't rule out.
+
+    Each slot in which two sets differ holds a hash that only one of them has, so the
+    sets have at most (nx + ny - differing slots) / 2 hashes in common.
+    """
+    one = units.select(F.col("u").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    two = units.select(F.col("u").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    slots = F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    differ = F.aggregate(slots, F.lit(0), lambda total, k: total + k)
+    both = F.col("nx") + F.col("ny")
+    fits = _sizes_fit("nx", "ny", percent) & ((100 + percent) * (both - differ) >= 2 * percent * both)
+    return pairs.join(one, "x").join(two, "y").where(fits).select(*pairs.columns)
+
+
+def verified(pairs: DataFrame, units: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those pairs (x, y) whose whole sets are as similar as asked for; the sets are made again for them alone."""
+    asked = pairs.select(F.col("x").alias("u")).unionByName(pairs.select(F.col("y").alias("u"))).distinct()
+    needed = units.join(asked, "u", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
+    sets = cut(whole_sets(documents.join(needed, "doc_id", "left_semi"), words), "sets")
     sides = pairs.join(sets.select(F.col("u").alias("x"), F.col("s").alias("sx")), "x").join(
         sets.select(F.col("u").alias("y"), F.col("s").alias("sy")), "y"
     )
     common = F.size(F.array_intersect("sx", "sy"))
     both = F.size("sx") + F.size("sy") - common
-    return sides.where(100 * common >= percent * both).drop("sx", "sy")
+    return sides.where(100 * common >= percent * both).select(*pairs.columns)
 
 
 def _band(percent: int) -> Column:
@@ -219,7 +250,8 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     documents = documents.select("doc_id", "text")
     docs = cut(prefixes(documents, words, percent, frequent(documents, words)), "prefixes")
     usable = docs.where("doc_id is not null and n > 0")
-    units = cut(usable.groupBy("n", "g", F.col("a").alias("u"), "b").agg(F.min("doc_id").alias("doc")).drop("b"), "units")
+    alike = usable.groupBy("n", "g", F.col("a").alias("u"), "b").agg(F.min("doc_id").alias("doc"), F.any_value("bits").alias("bits"))
+    units = cut(alike.drop("b"), "units")
 
     # the index: tokens that two groups share, and one row for each group of several units
     groups = usable.groupBy("n", "g").agg(F.min("a").alias("gid"), F.max("a").alias("last"), F.any_value("prefix").alias("prefix"))
@@ -230,22 +262,19 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     own = groups.where("gid <> last").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
     index = cut(index.unionByName(own).withColumn("band", _band(percent)), "index")
     several = groups.where("gid <> last").select("n", "g", "gid")
-    members = units.join(several, ["n", "g"]).select("gid", "u", "doc")
-    alone = groups.where("gid = last").select("gid", F.col("gid").alias("u")).join(units.select("u", "doc"), "u").select("gid", "u", "doc")
+    members = units.join(several, ["n", "g"]).select("gid", "u")
+    alone = groups.where("gid = last").select("gid", F.col("gid").alias("u"))
     members = members.unionByName(alone).join(index.select("gid").distinct(), "gid", "left_semi")
     members = cut(members, "members")
 
-    needed = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = whole_sets(documents.join(needed, "doc_id", "left_semi"), words)
-    sets = cut(sets.join(members.select("u"), "u", "left_semi").dropDuplicates(["u"]), "sets")
-
     # first pass: leaders
     lead = index.groupBy("token", "band").agg(F.min("gid").alias("y"), F.count("*").alias("k"), F.min("n").alias("least"))
     lead = lead.where("k > 1").select("token", "band", "y")
     led = index.join(lead, ["token", "band"]).where("gid <> y").select(F.col("gid").alias("x"), "y")
     led = led.unionByName(members.where("u <> gid").select(F.col("u").alias("x"), F.col("gid").alias("y")))
-    near = verified(led.distinct(), sets, percent).select("x", "y")
-    first = cut(components(cut(near, "near")), "first")
+    led = cut(possible(led.distinct(), units, percent), "led")
+    near = cut(verified(led, units, documents, words, percent), "near")
+    first = cut(components(near), "first")
 
     # second pass: pairs of different components
     placed = members.join(first.withColumnRenamed("node", "u"), "u", "left").select("gid", "u", F.coalesce("component", "u").alias("comp"))
@@ -270,7 +299,8 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     tried = tried.select("gx", "cx", "gy", "cy").distinct()
     tried = tried.join(placed.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("u").alias("x")), ["gx", "cx"])
     tried = tried.join(placed.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("u").alias("y")), ["gy", "cy"])
-    found = verified(tried.select("x", "y", "cx", "cy").distinct(), sets, percent)
+    tried = cut(possible(tried.select("x", "y", "cx", "cy").distinct(), units, percent), "tried")
+    found = tried if tried.isEmpty() else verified(tried, units, documents, words, percent)
     second = components(cut(found.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct(), "joined"))
 
     label = units.select("u", "doc").join(first.withColumnRenamed("node", "u"), "u", "left")
@@ -278,7 +308,7 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     label = label.join(second.withColumnRenamed("node", "c1"), "c1", "left").select("u", "doc", F.coalesce("component", "c1").alias("c"))
     least = label.groupBy("c").agg(F.min("doc").alias("component"))
     label = label.join(least, "c").select(F.col("u").alias("a"), "component")
-    alike = docs.where("doc_id is not null and n > 0").select("doc_id", "n", "a").join(label, "a")
+    alike = usable.select("doc_id", "n", "a").join(label, "a")
     rest = docs.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
     return alike.select("doc_id", "n", "component").unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
