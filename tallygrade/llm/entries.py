@@ -4,17 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrade.llm import jaccard, sql
+from tallygrade.llm import decontamination, jaccard, packing, rules, secrets, sql
+
+
+def vocabulary(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and the verdict of the model trained on the quality labels."""
+    return rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets by fixed patterns and by Markov models."""
+    return secrets.secret_scan(_table(spark, folder, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of all documents in sequences of 2048 ids."""
+    return packing.best_fit_packing(_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 3-word shingles agree to 90 per cent."""
     return jaccard.jaccard_components(_table(spark, folder, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op8_ngram_jaccard,)}
-ORACLES = {"op8_ngram_jaccard": sql.JACCARD}
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences of 10-word windows of benchmark items in documents."""
+    return decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_secret_scans, op7_best_fit_packing, op8_ngram_jaccard, op10_decontamination)}
+ORACLES = {"op8_ngram_jaccard": sql.JACCARD, "op10_decontamination": sql.DECONTAMINATION}

@@ -14,3 +14,19 @@ l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x)
 SELECT doc_id, CAST(n.n AS BIGINT) AS n_shingles, CAST(min(b) AS BIGINT) AS component_id FROM n JOIN r ON r.a = doc_id GROUP BY ALL
 """
+
+WORDS = f"""regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest([array_to_string(w[s:s + 9], ' ') FOR s IN generate_series(1, greatest(1, len(w) - 9))]) AS t
+      FROM b WHERE len(w) > 0),
+l AS (SELECT DISTINCT m FROM i),
+p AS (SELECT k, m, w, unnest(generate_series(1, len(w) - m + 1)) AS s FROM d, l WHERE len(w) >= m),
+h AS (SELECT DISTINCT k, s, p.m, item_id FROM p JOIN i ON p.m = i.m AND array_to_string(w[s:s + p.m - 1], ' ') = t),
+c AS (SELECT k, count(DISTINCT q) AS n FROM (SELECT k, unnest(generate_series(s, s + m - 1)) AS q FROM h) GROUP BY k),
+j AS (SELECT k, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(j.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, c.n IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (k) LEFT JOIN j USING (k)
+"""
