@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrade.llm import decontamination, jaccard, packing, rules, secrets, sql
+from tallygrade.llm import decontamination, html, jaccard, language, packing, rules, secrets, sql
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +18,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, by compression."""
+    return language.language_id(_table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and the verdict of the model trained on the quality labels."""
     return rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -38,10 +43,26 @@ def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, folder, "documents"), words=3, percent=90)
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extracted(_table(spark, folder, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of 10-word windows of benchmark items in documents."""
     return decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_secret_scans, op7_best_fit_packing, op8_ngram_jaccard, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_quality_rules,
+        op6_secret_scans,
+        op7_best_fit_packing,
+        op8_ngram_jaccard,
+        op9_html_extraction,
+        op10_decontamination,
+    )
+}
 ORACLES = {"op8_ngram_jaccard": sql.JACCARD, "op10_decontamination": sql.DECONTAMINATION}
