@@ -238,6 +238,15 @@ def _sizes_fit(x: str, y: str, percent: int) -> Column:
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
+def _largest(percent: int) -> Column:
+    """How large the other set may be for a pair to have its first common token at this place.
+
+    Two sets that are similar enough have c >= percent * (nx + ny) / (100 + percent) hashes
+    in common, and so a common token among the first n - c + 1 of each.
+    """
+    return F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent).cast("long") - F.col("n")
+
+
 def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of documents (doc_id, text).
 
@@ -260,7 +269,8 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     shared = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     index = tokens.join(shared, "token").select("token", "gid", "n", "pos")
     own = groups.where("gid <> last").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
-    index = cut(index.unionByName(own).withColumn("band", _band(percent)), "index")
+    index = index.unionByName(own).withColumn("band", _band(percent)).withColumn("largest", _largest(percent))
+    index = cut(index, "index")
     several = groups.where("gid <> last").select("n", "g", "gid")
     members = units.join(several, ["n", "g"]).select("gid", "u")
     alone = groups.where("gid = last").select("gid", F.col("gid").alias("u"))
@@ -268,9 +278,9 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     members = cut(members, "members")
 
     # first pass: leaders
-    lead = index.groupBy("token", "band").agg(F.min("gid").alias("y"), F.count("*").alias("k"), F.min("n").alias("least"))
-    lead = lead.where("k > 1").select("token", "band", "y")
-    led = index.join(lead, ["token", "band"]).where("gid <> y").select(F.col("gid").alias("x"), "y")
+    early = F.struct((F.col("largest") < F.col("n")).alias("late"), F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("largest").alias("ly"))
+    lead = index.groupBy("token", "band").agg(F.min(early).alias("lead"), F.count("*").alias("k")).where("k > 1").select("token", "band", "lead.*")
+    led = index.join(lead, ["token", "band"]).where("gid <> y and largest >= ny and ly >= n").select(F.col("gid").alias("x"), "y")
     led = led.unionByName(members.where("u <> gid").select(F.col("u").alias("x"), F.col("gid").alias("y")))
     led = cut(possible(led.distinct(), units, percent), "led")
     near = cut(verified(led, units, documents, words, percent), "near")
@@ -280,22 +290,23 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     placed = members.join(first.withColumnRenamed("node", "u"), "u", "left").select("gid", "u", F.coalesce("component", "u").alias("comp"))
     placed = cut(placed, "placed")
     rows = index.join(placed.select("gid", "comp").distinct(), "gid")
-    per = rows.groupBy("token", "band", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    per = rows.groupBy("token", "band", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("largest").alias("largest"))
     mixed_tokens = per.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
     per = cut(per.join(mixed_tokens, "token", "left_semi"), "mixed")
-    ahead = per.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("band").alias("bx"), F.col("comp").alias("cx"), F.col("lo").alias("lox"), F.col("hi").alias("hix"))
+    ahead = per.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("band").alias("bx"), F.col("comp").alias("cx"), F.col("lo").alias("lox"), F.col("hi").alias("hix"), F.col("largest").alias("largestx"))
     pairs = ahead.join(per.withColumnRenamed("comp", "cy"), ["token", "band"]).where(
         (F.col("cx") != F.col("cy"))
         & ((F.col("bx") < F.col("band")) | (F.col("cx") < F.col("cy")))
         & (100 * F.col("hix") >= percent * F.col("lo"))
         & (100 * F.col("hi") >= percent * F.col("lox"))
+        & (F.col("largestx") >= F.col("lo"))
+        & (F.col("largest") >= F.col("lox"))
     )
     pairs = pairs.select("token", "bx", "cx", F.col("band").alias("by"), "cy")
-    left = rows.select("token", F.col("band").alias("bx"), F.col("comp").alias("cx"), F.col("gid").alias("gx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    right = rows.select("token", F.col("band").alias("by"), F.col("comp").alias("cy"), F.col("gid").alias("gy"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    most = F.least("px", "py") + 1 + F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1)
+    left = rows.select("token", F.col("band").alias("bx"), F.col("comp").alias("cx"), F.col("gid").alias("gx"), F.col("n").alias("nx"), F.col("largest").alias("lx"))
+    right = rows.select("token", F.col("band").alias("by"), F.col("comp").alias("cy"), F.col("gid").alias("gy"), F.col("n").alias("ny"), F.col("largest").alias("ly"))
     tried = pairs.join(left, ["token", "bx", "cx"]).join(right, ["token", "by", "cy"])
-    tried = tried.where(_sizes_fit("nx", "ny", percent) & ((100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))))
+    tried = tried.where(_sizes_fit("nx", "ny", percent) & (F.col("lx") >= F.col("ny")) & (F.col("ly") >= F.col("nx")))
     tried = tried.select("gx", "cx", "gy", "cy").distinct()
     tried = tried.join(placed.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("u").alias("x")), ["gx", "cx"])
     tried = tried.join(placed.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("u").alias("y")), ["gy", "cy"])
