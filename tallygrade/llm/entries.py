@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrade.llm import decontamination, html, jaccard, language, packing, rules, secrets, sql
+from tallygrade.llm import decontamination, html, ids, jaccard, language, maxent, packing, rules, secrets, sql
+from tallygrade.session import shared_folder
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +31,18 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op3_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents written as coded ids to the shared folder, and read back from there."""
+    path = f"{shared_folder(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    ids.write_ids(_table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"), end=2)
+    return ids.read_ids(spark, path)
+
+
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all documents under word shares and the maximum-entropy model."""
+    return maxent.lm_scores(_table(spark, folder, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets by fixed patterns and by Markov models."""
     return secrets.secret_scan(_table(spark, folder, "documents"))
@@ -58,6 +73,8 @@ QUERIES = {
     for f in (
         op1_language_id,
         op2_quality_rules,
+        op3_token_ids,
+        op4_lm_scoring,
         op6_secret_scans,
         op7_best_fit_packing,
         op8_ngram_jaccard,
