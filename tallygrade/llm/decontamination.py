@@ -111,7 +111,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
     are items without words; equal items each count. Rows with a null doc_id and repeated
     rows get their own answer. An empty benchmark hits nothing. Other columns are not read.
     """
-    windows = cut(benchmark_windows(benchmark, size), "windows")
+    windows = benchmark_windows(benchmark, size)
     sizes = sorted(r[0] for r in windows.select(F.least("m", F.lit(SHINGLE))).distinct().collect())
     if not sizes:
         sizes = [SHINGLE]
@@ -125,15 +125,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
     hits = found.join(prefix, "h").withColumn("start", F.col("at") - F.col("o"))
     hits = hits.where("start >= 0 and start + m <= n and start >= begins")
     hits = hits.where(F.array_join(F.slice("near", F.col("start") - F.col("begins") + 1, F.col("m")), " ") == F.col("w"))
-    hits = cut(hits.select("doc_id", "k", "start", "m", "w"), "hits")
-    covered = hits.select("doc_id", "k", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1)).alias("p")).distinct()
-    covered = covered.groupBy("doc_id", "k").agg(F.count("*").alias("n_hit"))
-    items = hits.select("doc_id", "k", "w").distinct().join(windows.select("w", "item_id"), "w")
-    items = items.select("doc_id", "k", F.col("item_id").cast("string").alias("item")).distinct()
-    items = items.groupBy("doc_id", "k").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    answer = covered.join(items.select(F.col("doc_id").alias("i"), F.col("k").alias("ik"), "items"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("ik"))).select(
-        F.col("doc_id").alias("i"), F.col("k").alias("ik"), "n_hit", "items"
-    )
+    hits = hits.select("doc_id", "k", "start", (F.col("start") + F.col("m")).alias("stop"), "w").join(windows.select("w", "item_id"), "w")
+    item = F.col("item_id").cast("string")
+    answer = hits.groupBy("doc_id", "k").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"), F.sort_array(F.collect_set(item)).alias("items"))
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    grown = lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["stop"] - F.greatest(a["end"], r["start"]))).alias("n"), F.greatest(a["end"], r["stop"]).alias("end"))
+    covered = F.aggregate("runs", nothing, grown, lambda a: a["n"])
+    answer = answer.select(F.col("doc_id").alias("i"), F.col("k").alias("ik"), covered.alias("n_hit"), "items")
     docs = seen.where("at = -1").select("doc_id", "k", "n")
     docs = docs.join(answer, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("ik")), "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("items", F.array().cast("array<string>"))
