@@ -35,13 +35,13 @@ def fit(x: Sparse, y: np.ndarray, size: int, rounds: int = 60, rate: float = 0.3
 
     Without rows, or with one class only, the weights stay zero and the bias says the share.
     """
-    w, b = np.zeros(size), 0.0
+    w = np.zeros(size)
     weight = np.ones(len(y)) if weight is None else weight
     share = float(np.clip(np.average(y, weights=weight) if len(y) else 0.5, 1e-3, 1 - 1e-3))
     b = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return w, b
-    owner = np.repeat(np.arange(len(y)), np.diff(x.starts))
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(x.starts))
     squares, square = np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
         error = (sigmoid(x.times(w) + b) - y) * weight / weight.sum()

@@ -16,7 +16,7 @@ from tallygrade.llm.linear import Sparse
 from tallygrade.llm.texts import Words, bytes_of, filled, hashed, mixed, slices, split_words, windows
 
 #: Rows of labels that the model is fitted on at most, chosen by a hash of doc_id; every fifth only calibrates.
-SAMPLE = 4000
+SAMPLE = 2000
 SIZE = 1 << 18
 #: Fixed threshold of the calibrated probability of good quality.
 KEEP = 0.5
@@ -156,17 +156,18 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Qualit
             yield pa.record_batch([part.column("doc_id").cast(pa.int64()), part.column("y"), *lists], ["doc_id", "y", "index", "value"])
 
     kinds = "doc_id long, y int, index array<int>, value array<float>"
-    got = labelled_sample(documents, labels, "quality", most).mapInArrow(made, kinds).toArrow().combine_chunks()  # bounded by `most` rows
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    got = got.take(pa.array(order))
+    got = labelled_sample(documents, labels, "quality", most).mapInArrow(made, kinds).toArrow()  # bounded by `most` rows
     y = got.column("y").to_numpy().astype(float)
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     index, value = got.column("index").combine_chunks(), got.column("value").combine_chunks()
+    del got
     lengths = pc.list_value_length(index).to_numpy(zero_copy_only=False)
-    x = Sparse(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), index.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(float))
-    held = np.arange(len(y)) % 5 == 4
-    fitted = x.rows(np.flatnonzero(~held))
-    w, b = linear.fit(fitted, y[~held], FAMILIES * SIZE)
-    slope, shift = linear.calibrate(x.rows(np.flatnonzero(held)).times(w) + b, y[held])
+    x = Sparse(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), index.flatten().to_numpy(), value.flatten().to_numpy())
+    late = np.arange(len(y)) % 5 == 4
+    held, fitted = x.rows(order[late]), x.rows(order[~late])
+    del x, index, value
+    w, b = linear.fit(fitted, y[order[~late]], FAMILIES * SIZE)
+    slope, shift = linear.calibrate(held.times(w) + b, y[order[late]])
     return QualityModel(w.astype(np.float32), b, slope, shift)
 
 
