@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrade.llm import decontamination, html, ids, jaccard, language, maxent, packing, rules, secrets, sql
+from tallygrade.llm import cotrain, decontamination, html, ids, jaccard, language, maxent, packing, rules, secrets, sql
 from tallygrade.session import shared_folder
 
 
@@ -43,6 +43,11 @@ def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return maxent.lm_scores(_table(spark, folder, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents by two co-trained views."""
+    return cotrain.cotrained(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets by fixed patterns and by Markov models."""
     return secrets.secret_scan(_table(spark, folder, "documents"))
@@ -75,6 +80,7 @@ QUERIES = {
         op2_quality_rules,
         op3_token_ids,
         op4_lm_scoring,
+        op5_quality_classifier,
         op6_secret_scans,
         op7_best_fit_packing,
         op8_ngram_jaccard,
