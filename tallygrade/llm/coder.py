@@ -12,7 +12,7 @@ side, one id of each at a time, as arrays. An id is predicted from the two ids b
 
 Only integers are used, so that every machine decodes what another has coded. Bytes of a
 frame: magic, number of ids, ids of a block, then for each block its count of 16-bit words
-and the CRC-32 of its ids, then all words. A block that doesn't decode to its checksum is
+and the CRC-32 of its words and ids, then all words. A block that doesn't decode to its checksum is
 an error.
 """
 
@@ -221,6 +221,10 @@ def _code(lanes: int, steps: int, ids: np.ndarray | None, words: list[np.ndarray
     return out, writer.finish() if writer else []
 
 
+def _checksum(words: np.ndarray, ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes(), zlib.crc32(words.astype("<u2").tobytes()))
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A frame of the ids, each below MOST; the last block is filled up with zeros."""
     n = len(ids)
@@ -231,7 +235,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     table = np.zeros((lanes, steps), np.int64)
     table.reshape(-1)[:n] = ids
     _, words = _code(lanes, steps, np.ascontiguousarray(table.T), None) if n else (None, [])
-    heads = b"".join(struct.pack("<II", len(w), zlib.crc32(row.astype("<u4").tobytes())) for w, row in zip(words, table))
+    heads = b"".join(struct.pack("<II", len(w), _checksum(w, row)) for w, row in zip(words, table))
     return MAGIC + struct.pack("<QI", n, block) + heads + b"".join(w.astype("<u2").tobytes() for w in words)
 
 
@@ -250,6 +254,6 @@ def decode(frame: bytes) -> np.ndarray:
     words = np.split(data, np.cumsum(heads[:, 0].astype(np.int64))[:-1])
     table = np.ascontiguousarray(_code(lanes, min(block, n), None, words)[0].T)
     for k, row in enumerate(table):
-        if zlib.crc32(row.astype("<u4").tobytes()) != heads[k, 1]:
+        if _checksum(words[k], row) != heads[k, 1]:
             raise ValueError(f"block {k} of a frame of token ids is damaged")
     return table.reshape(-1)[:n].astype(np.uint32)
