@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 
 from tallygrade.llm.texts import filled, split_words
 
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
+CHUNK = 1 << 13
 _SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 _UNSURE = rf"[{_SPACE}] | [{_SPACE}]|^ | $"
 
@@ -38,10 +39,12 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 def _table(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    ids = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for one in ids for i in one), np.uint32, int(lengths.sum()))
-    return flat, lengths
+    flat, lengths = [], []
+    for at in range(0, len(pieces), CHUNK):  # an encoding takes far more memory than its ids
+        ids = [e.ids for e in tokenizer.encode_batch_fast(pieces[at : at + CHUNK], add_special_tokens=False)]
+        lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat.append(np.fromiter((i for one in ids for i in one), np.uint32, int(lengths[-1].sum())))
+    return np.concatenate([*flat, np.zeros(0, np.uint32)]), np.concatenate([*lengths, np.zeros(0, np.int64)])
 
 
 def _careful(text: str) -> list[str]:
