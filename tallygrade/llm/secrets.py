@@ -17,6 +17,8 @@ ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][e
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{12,}"
+#: What labels a string as an ordinary identifier: words in one case, joined by marks or capitals, and a short number.
+ORDINARY = "^[A-Z]?[a-z]+(?:[-_/=+][A-Z]?[a-z]+|[A-Z][a-z]+)*[-_/=+]*[0-9]{0,4}$|^[A-Z]+(?:[-_][A-Z]+)*$"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
 
@@ -25,6 +27,7 @@ SIDE = len(ALPHABET) + 1
 GENERATED = 4096
 LEAST = 16
 MARGIN = 0.35
+PRIOR = 5.0
 
 
 def spans(documents: DataFrame) -> DataFrame:
@@ -69,23 +72,26 @@ def train(found: DataFrame) -> list[float]:
     """Log ratio of each pair of letters: random strings against ordinary identifiers.
 
     Labelled samples: values that the fixed patterns found and `GENERATED` base-64
-    digests are random, all other strings of 12 and more characters are ordinary. Pair
-    counts cover all of them; the table has SIDE * SIDE numbers whatever the input. A
-    string that occurs often counts once for every occurrence. Without ordinary strings
-    the table is near zero and nothing is added.
+    digests are random; other strings of 12 and more characters in the form of `ORDINARY`
+    are ordinary; the rest has no label. Pair counts cover all labelled strings of all
+    documents; the table has SIDE * SIDE numbers whatever the input. A string that occurs
+    often counts once for every occurrence. Without ordinary strings nothing is added.
     """
     spark = found.sparkSession
     made = spark.range(GENERATED).select(F.lit(1).alias("label"), F.base64(F.unhex(F.sha2(F.concat(F.lit("random"), "id"), 256))).alias("value"))
-    strings = found.select(F.when(F.col("kind") < 3, 1).otherwise(0).alias("label"), "value").unionByName(made)
+    labelled = found.where((F.col("kind") < 3) | F.col("value").rlike(ORDINARY))
+    strings = labelled.select(F.when(F.col("kind") < 3, 1).otherwise(0).alias("label"), "value").unionByName(made)
     at = F.explode(F.sequence(F.lit(0), F.char_length("value"))).alias("i")
     pairs = strings.select("label", "value", at).select("label", _letter(F.col("i")).alias("x"), _letter(F.col("i") + 1).alias("y"))
     counts = {(r.label, r.x, r.y): r.n for r in pairs.groupBy("label", "x", "y").agg(F.count("*").alias("n")).collect()}
     ordinary = any(label == 0 for label, _, _ in counts)
+    letters = range(SIDE)
+    rows = [[sum(counts.get((c, x, y), 0) for y in letters) for x in letters] for c in (0, 1)]
+    single = [[(sum(counts.get((c, x, y), 0) for x in letters) + 0.5) / (sum(rows[c]) + 0.5 * SIDE) for y in letters] for c in (0, 1)]
     table = []
-    for x in range(SIDE):
-        total = [sum(counts.get((c, x, y), 0) for y in range(SIDE)) for c in (0, 1)]
-        for y in range(SIDE):
-            share = [(counts.get((c, x, y), 0) + 0.5) / (total[c] + 0.5 * SIDE) for c in (0, 1)]
+    for x in letters:
+        for y in letters:  # a pair backs off to how frequent its second letter is
+            share = [(counts.get((c, x, y), 0) + PRIOR * single[c][y]) / (rows[c][x] + PRIOR) for c in (0, 1)]
             table.append(round(math.log(share[1] / share[0]), 6) if ordinary else 0.0)
     return table
 
