@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from tallygrade.llm.texts import filled, split_words
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 32 << 20
 CHUNK = 1 << 13
 _SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 _UNSURE = rf"[{_SPACE}] | [{_SPACE}]|^ | $"
@@ -68,7 +68,8 @@ def encoded(tokenizer, texts: pa.Array, spaces: bool) -> tuple[np.ndarray, np.nd
     """
     texts = filled(texts)
     if not spaces:
-        words = split_words(texts)
+        # the vocabulary has no capitals; a mark of its own in a text is known by its exact letters
+        words = split_words(texts, lower=not pc.any(pc.match_substring(texts, "<|")).as_py())
         flat, lengths = _table(tokenizer, words.uniques.to_pylist())
         begins = np.cumsum(lengths) - lengths
         index, owner = words.ids, words.text_of()
