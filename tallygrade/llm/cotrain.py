@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallygrade.llm import linear
 from tallygrade.llm.linear import Sparse
-from tallygrade.llm.rules import FAMILIES, SIZE, SYMBOLS, labelled_sample, logits, repeated_lines, vectors
+from tallygrade.llm.rules import FAMILIES, SIZE, SLICE, SYMBOLS, labelled_sample, logits, repeated_lines, vectors
 from tallygrade.llm.texts import Words, bytes_of, filled, hashed, slices, split_words
 
 #: Labelled and unlabelled documents that the classifiers are fitted on at most, chosen by a hash of doc_id.
@@ -60,7 +60,7 @@ def _views(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, Sparse, Sparse]:
     """doc_id, y and both views of bounded rows (doc_id, y, text, lang, source, n_chars), in order of doc_id."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             texts = filled(part.column("text"))
             one, two = vectors(texts), metadata(part, texts, split_words(texts))
             lists = [
@@ -137,7 +137,7 @@ def cotrained(documents: DataFrame, labels: DataFrame, threshold: float = KEEP,
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views, last = shared.value
         (w1, b1, a1, c1), (w2, b2, a2, c2) = views
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             texts = filled(part.column("text"))
             words = split_words(texts)
             of = hashed(words.uniques)[words.ids] if len(words.ids) else np.zeros(0, np.uint64)

@@ -23,7 +23,10 @@ KEEP = 0.5
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-FAMILIES = 4
+BYTES = (3, 4)
+FAMILIES = 2 + len(BYTES)
+#: Bytes of text in a slice, and those whose runs are weighed at a time.
+SLICE, STRETCH = 8 << 20, 1 << 20
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -73,51 +76,62 @@ def base_counts(texts: pa.Array, words: Words, of: np.ndarray) -> dict[str, np.n
     }
 
 
-def ngrams(texts: pa.Array, words: Words, of: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per family (single words, word pairs, 3 and 4 bytes) the hashed features in a row, and each text's first one."""
-    out = [((of >> np.uint64(46)).astype(np.int64), words.starts)]
+def word_grams(words: Words, of: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed single words and word pairs in a row, and where each text begins among them."""
     pairs, first = windows(of, words.starts, 2)
-    out.append(((pairs >> np.uint64(46)).astype(np.int64), np.searchsorted(first, words.starts)))
-    raw, at = bytes_of(texts)
-    wide = raw.astype(np.uint32)
-    for n, salt in ((3, 0x9E3779B1), (4, 0x85EBCA6B)):
-        if len(wide) < n:
-            out.append((np.zeros(0, np.int64), np.zeros(len(at), np.int64)))
-            continue
-        code = wide[: len(wide) - n + 1].copy()
-        for j in range(1, n):
-            code |= wide[j : len(wide) - n + 1 + j] << np.uint32(8 * j)
-        code = ((code * np.uint32(salt)) ^ (code >> np.uint32(15))) * np.uint32(0xC2B2AE35)
-        # grams over the end of a text belong to it, as far as there are bytes
-        out.append(((code >> np.uint32(14)).astype(np.int64), np.minimum(at, len(code))))
-    return out
+    return [((of >> np.uint64(46)).astype(np.int32), words.starts), ((pairs >> np.uint64(46)).astype(np.int32), np.searchsorted(first, words.starts))]
+
+
+def byte_grams(raw: np.ndarray, n: int) -> np.ndarray:
+    """Hashed runs of n bytes, one beginning at each byte but the last n - 1."""
+    count = len(raw) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.int32)
+    code = raw[:count].astype(np.uint32)
+    for j in range(1, n):
+        code |= raw[j : count + j].astype(np.uint32) << np.uint32(8 * j)
+    code = ((code * np.uint32(0x9E3779B1 + 2 * n)) ^ (code >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+    return (code >> np.uint32(14)).astype(np.int32)
 
 
 def vectors(texts: pa.Array) -> Sparse:
-    """Features of each text: shares of its n-grams in each family, in square-root scale of their number."""
+    """Features of each text: shares of its n-grams in each family (words, word pairs, 3 and 4 bytes)."""
     words = split_words(texts)
     of = hashed(words.uniques)[words.ids] if len(words.ids) else np.zeros(0, np.uint64)
-    families = ngrams(texts, words, of)
+    raw, at = bytes_of(texts)
+    families = word_grams(words, of)
     starts, index, value, total = [0], [], [], 0
     for i in range(len(texts)):
-        for f, (features, at) in enumerate(families):
-            mine = features[at[i] : at[i + 1]]
+        own = raw[at[i] : at[i + 1]]
+        grams = [features[begin[i] : begin[i + 1]] for features, begin in families] + [byte_grams(own, n) for n in BYTES]
+        for f, mine in enumerate(grams):
             if len(mine):
                 slots, counts = np.unique(mine, return_counts=True)
-                index.append(slots + f * SIZE)
-                value.append(counts / len(mine))
+                index.append(slots + np.int32(f * SIZE))
+                value.append((counts / len(mine)).astype(np.float32))
                 total += len(slots)
         starts.append(total)
-    none = np.zeros(0)
-    return Sparse(np.array(starts), np.concatenate([*index, none]).astype(np.int64), np.concatenate([*value, none]))
+    return Sparse(np.array(starts), np.concatenate([*index, np.zeros(0, np.int32)]), np.concatenate([*value, np.zeros(0, np.float32)]))
 
 
 def logits(texts: pa.Array, words: Words, of: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The model's score of each text, without its bias: sums of weights over all n-grams by cumulated sums."""
+    """The model's score of each text, without its bias: mean weights of all n-grams in each family."""
     total = np.zeros(len(texts))
-    for f, (features, at) in enumerate(ngrams(texts, words, of)):
+    for f, (features, at) in enumerate(word_grams(words, of)):
         sums = np.concatenate([[0.0], np.cumsum(weights[f * SIZE : (f + 1) * SIZE][features], dtype=np.float64)])
         total += (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
+    raw, at = bytes_of(texts)
+    for f, n in enumerate(BYTES, 2):
+        mine = weights[f * SIZE : (f + 1) * SIZE]
+        # a run of bytes belongs to the text it lies in; the last n - 1 bytes of a text begin none
+        ends = np.maximum(at[1:] - (n - 1), at[:-1])
+        sums = np.zeros(len(texts))
+        for c in range(0, len(raw), STRETCH):
+            part = np.concatenate([[0.0], np.cumsum(mine[byte_grams(raw[c : c + STRETCH + n - 1], n)], dtype=np.float64)])
+            a, z = int(np.searchsorted(at, c, "right")) - 1, int(np.searchsorted(at, c + STRETCH, "left"))
+            begin, end = (np.clip(x[a:z] - c, 0, len(part) - 1) for x in (at[:-1], ends))
+            sums[a:z] += part[end] - part[begin]
+        total += sums / np.maximum(ends - at[:-1], 1)
     return total
 
 
@@ -149,7 +163,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Qualit
     """Fit on the labelled sample; every fifth of its rows calibrates instead."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             x = vectors(filled(part.column("text")))
             ends = pa.array(x.starts.astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.index.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(x.value.astype(np.float32)))]
@@ -184,7 +198,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = KE
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = QualityModel(*shared.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             texts = filled(part.column("text"))
             words = split_words(texts)
             of = hashed(words.uniques)[words.ids] if len(words.ids) else np.zeros(0, np.uint64)
@@ -207,7 +221,7 @@ def passing(documents: DataFrame, labels: DataFrame, threshold: float = KEEP, mo
 
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = QualityModel(*shared.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             texts = filled(part.column("text"))
             words = split_words(texts)
             of = hashed(words.uniques)[words.ids] if len(words.ids) else np.zeros(0, np.uint64)
