@@ -5,7 +5,7 @@ is exact, so a window's prefix is one token: its rarest shingle, by counts over
 documents. A document position with that shingle is a candidate; length and position
 bound where the window can lie, and the words themselves are compared.
 
-The words of a document are read in one scan. A bit array of fixed size (`BITS`),
+The words of a document are read in one scan. A byte array of fixed size (`SLOTS`),
 made from the benchmark's shingles, lets only positions through that may hold one;
 it never grows, and what it lets through by chance goes in the join. With a larger
 benchmark it lets more through, nothing is lost.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallygrade.session import cut
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BITS = 1 << 22
+SLOTS = 1 << 21
 SHINGLE = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,20 +66,20 @@ def window_shingles(windows: DataFrame, sizes: list[int], shingle: int) -> DataF
     return out
 
 
-def _bit_array(shingles: DataFrame) -> Column:
-    """A literal of BITS bits with one set for every shingle."""
-    place = F.col("h").bitwiseAND(BITS - 1)
-    longs = shingles.select(F.shiftright(place, 6).alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("v"))
-    held = dict(longs.groupBy("k").agg(F.bit_or("v").alias("v")).collect())
-    return F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(BITS // 64))), ",").cast("array<bigint>")
+def _marks(shingles: DataFrame) -> Column:
+    """A literal of SLOTS bytes, one for each slot that a shingle falls in."""
+    taken = shingles.select(F.col("h").bitwiseAND(SLOTS - 1).alias("at")).distinct().collect()  # at most SLOTS numbers
+    held = bytearray(SLOTS)
+    for r in taken:
+        held[r["at"]] = 1
+    return F.lit(bytes(held))
 
 
-def _seen(bits: Column, h: Column) -> Column:
-    place = h.bitwiseAND(BITS - 1)
-    return F.bit_get(F.get(bits, F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1
+def _seen(marks: Column, h: Column) -> Column:
+    return F.substring(marks, (h.bitwiseAND(SLOTS - 1) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
 
 
-def positions(documents: DataFrame, bits: Column, sizes: list[int], size: int) -> DataFrame:
+def positions(documents: DataFrame, marks: Column, sizes: list[int], size: int) -> DataFrame:
     """One row per document (at = -1, its number of words n), and one per position that may hold a shingle.
 
     near: the words from `size` - 1 before the position on, begins: the first one's place.
@@ -92,7 +92,7 @@ def positions(documents: DataFrame, bits: Column, sizes: list[int], size: int) -
     rows = rows.select("doc_id", "k", "n", "words", "at", *[h.alias(f"h{s}") for s, h in zip(sizes, hashes)])
     some = at == -1
     for s in sizes:
-        some = some | _seen(bits, F.col(f"h{s}"))
+        some = some | _seen(marks, F.col(f"h{s}"))
         parts.append(F.col(f"h{s}"))
     begins = F.greatest(at - size + 1, F.lit(0))
     return rows.where(some).select(
@@ -116,7 +116,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
     if not sizes:
         sizes = [SHINGLE]
     shingles = window_shingles(windows, sizes, SHINGLE)
-    seen = cut(positions(documents, _bit_array(shingles), sizes, size), "positions")
+    seen = cut(positions(documents, _marks(shingles), sizes, size), "positions")
     found = seen.where("at >= 0").select("doc_id", "k", "n", "at", "begins", "near", F.explode("hs").alias("h")).where("h is not null")
     # the rarest shingle of each window; windows with one that no document holds occur nowhere
     counts = found.groupBy("h").agg(F.count("*").alias("c"))
