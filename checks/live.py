@@ -117,17 +117,17 @@ def retries_per_stage(t: Tables) -> DataFrame:
 
 @check(
     "question_id bigint, stage string, failures bigint, outcome string, retry_at string, label string",
-    """WITH f AS (SELECT event_id // 7 AS q, event_type AS stage, event_id AS s, ts, event_id % 11 = 0 AS stop, 'busy ' || event_id AS err FROM events WHERE event_type IN ('click', 'view')),
-    g AS (SELECT q, stage, count_if(NOT stop) AS n, bool_or(stop) AS st, max(ts) FILTER (NOT stop) AS lt, arg_max(err, s) FILTER (NOT stop) AS err FROM f GROUP BY ALL),
-    o AS (SELECT *, CASE WHEN st AND n > 0 THEN 'stopped' WHEN n > 2 THEN 'exhausted' WHEN n > 0 THEN 'retry' END AS outcome FROM g)
+    """WITH f AS (SELECT event_id // 7 AS q, event_type AS stage, event_id AS s, ts, event_id % 11 = 0 AS stop, 'busy ' || event_id AS err FROM events),
+    h AS (SELECT q, min(ts) AS st FROM f WHERE stop GROUP BY q),
+    g AS (SELECT q, stage, count(*) AS n, max(ts) AS lt, arg_max(err, s) AS err FROM f WHERE NOT stop GROUP BY ALL),
+    o AS (SELECT g.*, CASE WHEN st IS NOT NULL AND NOT (n > 2 AND st >= lt) THEN 'stopped' WHEN n > 2 THEN 'exhausted' ELSE 'retry' END AS outcome FROM g LEFT JOIN h USING (q))
     SELECT q AS question_id, stage, n AS failures, outcome, CASE WHEN outcome = 'retry' THEN strftime(lt + to_seconds(20 * pow(2, n - 1)), '%Y-%m-%d %H:%M:%S') END AS retry_at,
       CASE outcome WHEN 'stopped' THEN 'rate_limited: ' || stage || ' (retries stopped by the user)'
         WHEN 'exhausted' THEN 'rate_limited: ' || stage || ' (still rate limited after 2 retries: ' || err || ')' END AS label FROM o""",
 )
 def retry_plans(t: Tables) -> DataFrame:
     """What follows a rate-limited call: another try at a time, or giving up."""
-    e = batch(t).filter(F.col("event_type").isin("click", "view"))
-    failures = e.select(
+    failures = batch(t).select(
         F.floor(F.col("event_id") / 7).alias("question_id"), F.col("event_type").alias("stage"),
         F.concat(F.lit("busy "), F.col("event_id").cast("string")).alias("error"), "ts", "seq", (F.col("event_id") % 11 == 0).alias("stop"),
     )

@@ -162,33 +162,34 @@ def judge_overlay(t: Tables) -> DataFrame:
     return out.withColumn("original", F.try_element_at("details", F.lit("original_score")))
 
 
+KEY_SQL = "sha256('m' || chr(0) || 'p' || chr(0) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"
+
+
 @check(
     "key string, n bigint, decision boolean, source string",
-    """WITH q AS (SELECT DISTINCT sha256('m' || chr(0) || 'p' || chr(0) || trim(substr(text, 1, 3))) AS key, ascii(substr(text, 1, 1)) AS a FROM documents),
-    n AS (SELECT sha256('m' || chr(0) || 'p' || chr(0) || trim(substr(text, 1, 3))) AS key, count(*) AS n, min(ascii(substr(text, 1, 1))) AS a FROM documents GROUP BY 1)
+    f"""WITH n AS (SELECT {KEY_SQL} AS key, count(*) AS n, min(doc_id) AS a FROM documents GROUP BY 1)
     SELECT key, n, CASE WHEN a % 2 = 0 THEN a % 4 = 0 END AS decision, CASE WHEN a % 2 = 0 THEN 'cache' ELSE 'unavailable' END AS source FROM n""",
 )
 def saved_decisions(t: Tables) -> DataFrame:
-    """Questions joined to the decision saved under their key."""
-    head = F.substring("text", 1, 3)
-    q = t.documents.select(J.request_key("m", "p", head).alias("key"), F.ascii(head).alias("a"))
-    per_key = q.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("a"))
+    """Questions, here whole texts, joined to the decision saved under their key."""
+    padded = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" \t"), "text", F.lit("\n"))).otherwise(F.col("text"))
+    q = t.documents.select(J.request_key("m", "p", padded).alias("key"), "doc_id")
+    per_key = q.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"))
     saved = per_key.filter(F.col("a") % 2 == 0).select("key", (F.col("a") % 4 == 0).alias("requires_order"))
     return J.decided(per_key, saved).withColumnRenamed("requires_order", "decision")
 
 
 @check(
     "key string, prompt string",
-    """WITH n AS (SELECT sha256('m' || chr(0) || 'p' || chr(0) || trim(lang || source)) AS key, any_value(lang || source) AS q FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
+    f"""WITH n AS (SELECT {KEY_SQL} AS key, any_value(text) AS q FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
     SELECT key, 'Q: ' || q || chr(10) || '/no_think' AS prompt FROM n
-    WHERE q NOT IN (SELECT lang || source FROM documents WHERE doc_id % 3 = 0)""",
+    WHERE key NOT IN (SELECT {KEY_SQL} FROM documents WHERE doc_id % 3 = 0)""",
 )
 def request_batch(t: Tables) -> DataFrame:
-    """One request per key that nobody decided yet."""
-    q = F.concat("lang", "source")
-    asked = t.documents.select(J.request_key("m", "p", q).alias("key"), q.alias("q"), "doc_id")
+    """One request per text that nobody decided yet."""
+    asked = t.documents.select(J.request_key("m", "p", F.col("text")).alias("key"), "text", "doc_id")
     saved = asked.filter("doc_id % 3 = 0").select("key").distinct()
-    batch = J.request_batch(J.undecided(asked.filter("doc_id % 3 <> 0"), saved), "Qwen-3", F.concat(F.lit("Q: "), F.col("q")))
+    batch = J.request_batch(J.undecided(asked.filter("doc_id % 3 <> 0"), saved), "Qwen-3", F.concat(F.lit("Q: "), F.col("text")))
     return batch.select("key", F.get_json_object("request", "$.messages[0].content").alias("prompt"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallygrade.functions.cells import strip
+
 # Fixed patterns: errors of the link to the database, not of the SQL.
 INFRASTRUCTURE = (
     r"(?i)connection attempt failed|could not connect|failed to connect|connection refused"
@@ -52,16 +56,34 @@ def is_name_taken(error: Column) -> Column:
     return _matches(error, NAME_TAKEN)
 
 
+# How a type of a given name holds a calendar moment. The first pattern that
+# occurs in the lower-case name counts; a name without any holds none.
+MOMENTS = (
+    (r"^date_string$", "day text"),
+    (r"^timestamp_string$", "moment text"),
+    (r"(unix|epoch)_millis", "milliseconds"),
+    (r"unix_seconds|epoch", "seconds"),
+    (r"interval|^time(?!stamp)", "none"),
+    (r"unix_timestamp", "seconds"),
+    (r"iso_timestamp|(date|timestamp).*varchar|varchar.*(date|timestamp)", "iso text"),
+    (r"^date$", "day"),
+    (r"date|timestamp", "moment"),
+)
+
+
+def kind_of_moment(db_type: str) -> str:
+    """How a type known while the plan is built holds a moment, by MOMENTS."""
+    name = db_type.strip().lower()
+    return next((kind for pattern, kind in MOMENTS if re.search(pattern, name)), "none")
+
+
 def is_temporal_type(db_type: Column) -> Column:
     """Types that hold a calendar moment; intervals and times of day do not."""
-    t = F.lower(F.trim(db_type))
-    return (
-        F.when(t.rlike("unix_seconds|unix_millis|epoch"), True)
-        .when(t.contains("interval"), False)
-        .when(t.startswith("time") & ~t.startswith("timestamp"), False)
-        .otherwise(t.rlike("date|timestamp"))
-    )
+    name = F.lower(strip(db_type))
+    kinds = F.array(*[F.when(name.rlike(pattern), F.lit(kind)) for pattern, kind in MOMENTS])
+    first = F.get(F.filter(kinds, lambda k: k.isNotNull()), 0)
+    return F.when(db_type.isNotNull(), F.coalesce(first, F.lit("none")) != "none")
 
 
 def is_money_type(db_type: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(db_type, F.lit("")))) == "money"
+    return F.lower(strip(F.coalesce(db_type, F.lit("")))) == "money"

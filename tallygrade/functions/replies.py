@@ -36,9 +36,15 @@ def _at(m: Column, key: str) -> Column:
     return F.try_element_at(m, F.lit(key))
 
 
-def _plain(m: Column, key: str) -> Column:
-    """The value under key unless it is a nested object or list."""
-    return F.when(~_at(m, key).rlike(r"^\s*[\[{]"), _at(m, key))
+def _kinds(document: Column) -> Column:
+    """A JSON object as MAP<STRING, STRING> from key to the JSON type of its value."""
+    held = F.from_json(document, "map<string,variant>")
+    return F.transform_values(held, lambda _, v: F.schema_of_variant(v))
+
+
+def _plain(m: Column, kinds: Column, key: str) -> Column:
+    """The value under key if it is a JSON text; numbers, booleans and nested values are none."""
+    return F.when(_at(kinds, key) == "STRING", _at(m, key))
 
 
 def sql_from_text(text: Column) -> Column:
@@ -113,14 +119,14 @@ def find_sql(m: Column) -> Column:
 
 def parse_answer(text: Column) -> Column:
     """STRUCT<status, sql, summary, error> of an answer in JSON or prose."""
-    m = _map(text)
+    m, kinds = _map(text), _kinds(text)
     is_object = m.isNotNull()
     sql = F.when(is_object, find_sql(m)).otherwise(sql_from_text(text))
-    stated = F.when(is_object, _plain(m, "error"))
+    stated = F.when(is_object, _plain(m, kinds, "error"))
     error = F.when(stated.isNull() & sql.isNull(), "agent returned no SQL").otherwise(stated)
-    summary = F.when(is_object, F.coalesce(*[_plain(m, k) for k in TEXT_KEYS])).otherwise(text)
+    summary = F.when(is_object, F.coalesce(*[_plain(m, kinds, k) for k in TEXT_KEYS])).otherwise(text)
     status = F.coalesce(
-        _filled(F.when(is_object, _plain(m, "status"))),
+        _filled(F.when(is_object, _plain(m, kinds, "status"))),
         F.when(sql.isNotNull() & (F.coalesce(error, F.lit("")) == ""), "completed"),
         F.lit("error"),
     )

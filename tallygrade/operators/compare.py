@@ -224,12 +224,16 @@ def compare(cases: DataFrame, rows: DataFrame, allow_extra: bool = False,
     order_matched  only where order was asked for: rows also in the expected order
     reason         why not matched; `row_order_mismatch` when only the order differs
     modes          the grading modes that occur, if the caller knows; default: all
-                   when cases carry a grading, else only `default`
+                   when cases carry a grading, else only `default`. A case graded
+                   in another mode ends the run with an error
     """
     if modes is None:
         modes = ("default", "multiset", "list", "set", "subset") if "grading" in cases.columns else ("default",)
     ordered = "requires_order" in cases.columns or "list" in modes
     cases = _with_defaults(cases).withColumn("gate", gate(allow_extra))
+    unlisted = F.concat(F.lit("a case is graded by a mode that is not listed: "), F.col("grading.mode"))
+    listed = F.col("grading").isNull() | F.col("grading.mode").isin(*modes)
+    cases = cases.withColumn("grading", F.when(listed, F.col("grading")).otherwise(F.raise_error(unlisted)))
     mode = F.col("grading.mode")
     none = F.lit(None).cast("array<int>")
     settled = cases.filter(F.col("gate").isNotNull()).select(

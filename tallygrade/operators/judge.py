@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrade.functions.cells import strip
 from tallygrade.operators.outcomes import result
 
 # How much of a result, cell or failure text a judge is shown.
@@ -129,7 +130,7 @@ def fill_prompt(template: Column, values: dict[str, Column]) -> Column:
 def request_key(model: str, prompt: str, question: Column) -> Column:
     """Stable key of one decision: model, prompt and trimmed question."""
     nul = "\x00"
-    return F.sha2(F.concat_ws(nul, F.lit(model), F.lit(prompt), F.trim(question)), 256)
+    return F.sha2(F.concat_ws(nul, F.lit(model), F.lit(prompt), strip(question)), 256)
 
 
 def undecided(questions: DataFrame, decisions: DataFrame) -> DataFrame:

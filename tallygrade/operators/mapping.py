@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from tallygrade.operators.bags import row_counts
 from tallygrade.session import cut
 
-# Fixed value: choices tried per case before the search gives up.
-MAX_STEPS = 20_000
+# Choices tried per case before a search gives up. None: every search runs to its end, so
+# that "no mapping" is proven; a caller who sets a number accepts mismatches that are not.
+MAX_STEPS: int | None = None
 # A case with more cells than this is searched by Spark rounds instead.
 GROUP_CELLS = 2_000_000
 # Partial choices tested per case and round.
@@ -96,7 +97,7 @@ def search_groups(rows: DataFrame, options: DataFrame, subset: bool) -> DataFram
             return (ge, gg) if fits else None
 
         chosen, pending, steps = [], [iter(plan[0]["options"])], 0
-        while pending and len(chosen) < n_exp and steps < max_steps:
+        while pending and len(chosen) < n_exp and (max_steps is None or steps < max_steps):
             depth = len(chosen)
             option = next(pending[-1], None)
             if option is None:
@@ -173,7 +174,7 @@ def search_rounds(rows: DataFrame, options: DataFrame, subset: bool) -> DataFram
     )
     while True:
         open_state = state.filter(
-            F.col("found").isNull() & (F.size("stack") > 0) & (F.col("steps") < MAX_STEPS)
+            F.col("found").isNull() & (F.size("stack") > 0) & (F.lit(True) if MAX_STEPS is None else F.col("steps") < MAX_STEPS)
         )
         if open_state.isEmpty():
             break

@@ -47,7 +47,7 @@ def sized_batches(df: DataFrame, keys: list[str], shard: str, position: str, siz
     """Add `batch` within each (keys, shard): greedy, at most max_rows rows and about max_bytes.
 
     A row over the limit goes alone. Where a batch begins depends on all rows before
-    it, so each shard is walked in order; the caller's shards bound how many rows one
+    it, so each shard is cut in order; the caller's shards bound how many rows one
     group holds. Only positions and sizes enter the group; the rows are joined back.
     """
     group = [*keys, shard]
@@ -56,18 +56,21 @@ def sized_batches(df: DataFrame, keys: list[str], shard: str, position: str, siz
         [*fields, T.StructField(position, T.LongType()), T.StructField("batch", T.LongType())]
     )
 
-    def walk(pdf):
+    def marked_shard(pdf):
+        import numpy as np
+
         pdf = pdf.sort_values(position)
-        batch, rows, used, out = 0, 0, 2, []
-        for n in pdf["_bytes"]:
-            if rows and (rows >= max_rows or used + n > max_bytes):
-                batch, rows, used = batch + 1, 0, 2
-            rows, used = rows + 1, used + n
-            out.append(batch)
-        return pdf.assign(batch=out)[[*group, position, "batch"]]
+        filled = np.concatenate([[0], np.cumsum(pdf["_bytes"].to_numpy(dtype=np.int64))])
+        starts = [0]
+        while starts[-1] < len(pdf):  # one look-up a batch: the last row whose running sum still fits
+            at = starts[-1]
+            fits = int(np.searchsorted(filled, filled[at] + max_bytes - 2, "right")) - 1
+            starts.append(max(at + 1, min(at + max_rows, fits)))
+        number = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        return pdf.assign(batch=number)[[*group, position, "batch"]]
 
     slim = df.select(*group, F.col(position).cast("long").alias(position), F.col(size).alias("_bytes"))
-    marked = slim.groupBy(*group).applyInPandas(walk, schema)
+    marked = slim.groupBy(*group).applyInPandas(marked_shard, schema)
     return df.join(marked, [*group, position])
 
 

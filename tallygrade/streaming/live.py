@@ -81,24 +81,27 @@ def question_waits(events: DataFrame) -> DataFrame:
     )
 
 
-def retry_plan(failures: DataFrame, stops: DataFrame | None = None, max_retries: int = MAX_RETRIES,
+def retry_plan(failures: DataFrame, max_retries: int = MAX_RETRIES,
                wait_seconds: float = WAIT_SECONDS) -> DataFrame:
     """Per question and stage what follows its last rate-limited call.
 
     failures: question_id, stage, error, ts, seq, and stop BOOLEAN (a user's stop).
     The n-th failure is followed by retry n after base * 2^(n-1) seconds, until
-    there are none left or the user stopped.
+    there are none left or the user stopped. A stop holds for all stages of its
+    question; it ends what waits at its time, so one that comes after the last retry
+    has failed changes nothing.
     """
-    grouped = failures.groupBy("question_id", "stage").agg(
-        F.count_if(~F.col("stop")).alias("failures"),
-        F.bool_or("stop").alias("_stop"),
-        F.max(F.when(~F.col("stop"), F.col("ts"))).alias("last_ts"),
-        F.max_by("error", F.when(~F.col("stop"), F.struct("ts", "seq"))).alias("error"),
-    )
+    halted = failures.filter("stop").groupBy("question_id").agg(F.min("ts").alias("_stop"))
+    grouped = failures.filter(~F.col("stop")).groupBy("question_id", "stage").agg(
+        F.count("*").alias("failures"),
+        F.max("ts").alias("last_ts"),
+        F.max_by("error", F.struct("ts", "seq")).alias("error"),
+    ).join(halted, "question_id", "left")
+    used_up = F.col("failures") > max_retries
     outcome = (
-        F.when(F.col("_stop") & (F.col("failures") > 0), "stopped")
-        .when(F.col("failures") > max_retries, "exhausted")
-        .when(F.col("failures") > 0, "retry")
+        F.when(F.col("_stop").isNotNull() & ~(used_up & (F.col("_stop") >= F.col("last_ts"))), "stopped")
+        .when(used_up, "exhausted")
+        .otherwise("retry")
     )
     delay = retry_delay(F.col("failures"), wait_seconds)
     return grouped.select(

@@ -92,7 +92,7 @@ def test_order_keys(spark):
 
 def test_shift_rules(spark):
     types = ["date", "timestamp(3) with time zone", "unix_seconds", "iso_timestamp", "time(3)", "interval day", "varchar", "date_string"]
-    assert [shift.is_temporal(t) for t in types] == [True, True, True, True, False, False, False, True]
+    assert [classify.kind_of_moment(t) != "none" for t in types] == [True, True, True, True, False, False, False, True]
     assert column(spark, types, classify.is_temporal_type) == [True, True, True, True, False, False, False, True]
     moved = column(spark, ["2021-05-10", "n/a", "2021-02-30"], lambda c: shift.shifted(c, "date_string", -10))
     assert moved == ["2021-04-30", "n/a", "2021-02-30"]
