@@ -33,7 +33,8 @@ from tallygrade.llm.texts import filled, hashed, mixed, signed, slices, split_wo
 from tallygrade.session import cut
 
 HEAVY = 1 << 17
-FLUSH = 1 << 22
+#: Bytes of text in a slice, and words whose counts are reported together.
+SLICE, FLUSH = 4 << 20, 1 << 20
 BITS = 1024
 
 
@@ -107,7 +108,7 @@ def frequent(documents: DataFrame, words: int, most: int = HEAVY) -> list[tuple[
                 yield pa.record_batch([pa.array(kinds), pa.array(signed(values[often])), pa.array(counts[often].astype(np.int64))], ["kind", "token", "n"])
 
         size = 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             sets, _, of, _ = shingles_of(part.column("text"), words)
             held[0] += sets
             held[1].append(of)
@@ -151,7 +152,7 @@ def prefixes(documents: DataFrame, words: int, percent: int, tables: list[tuple[
         values, counts = heavy
         seen = np.zeros(1 << 20, bool)
         seen[(values & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             sets, places, of, known = shingles_of(part.column("text"), words)
             order = np.argsort(known)
             known, numbers = known[order], _number(common, known[order])
@@ -192,7 +193,7 @@ def whole_sets(documents: DataFrame, words: int) -> DataFrame:
     """(u, s): each document's first mark and its whole set."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             sets = sets_of(part.column("text"), words)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate([*sets, np.zeros(0, np.uint64)]))))
