@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from odd_rows import none, odd, odd_texts  # noqa: F401
+
 from tallygrade.llm import coder, cotrain, decontamination, html, ids, language, maxent, packing, rules, secrets
 from tallygrade.llm.entries import vocabulary
 from tallygrade.llm.texts import filled, hashed, split_words
