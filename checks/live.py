@@ -57,7 +57,7 @@ def live_progress(t: Tables) -> DataFrame:
 @check("run_id bigint, case_id bigint", "SELECT DISTINCT user_id % 10 AS run_id, event_id % 700 AS case_id FROM events WHERE event_type = 'purchase'")
 def live_finished_cases(t: Tables) -> DataFrame:
     """Finished cases as they come, each once, as a stream."""
-    return appended(live.finished_cases(run_events(stream(t)), "400 days")).select("run_id", "case_id")
+    return appended(live.finished_cases(run_events(stream(t)))).select("run_id", "case_id")
 
 
 @check(
@@ -185,21 +185,21 @@ def continued_load(t: Tables) -> DataFrame:
 def fresh_cache_entries(t: Tables) -> DataFrame:
     """The newest cached value per key, unless it is too old."""
     entries = batch(t).select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), "ts", "seq")
-    newest = entries.agg(F.max("ts").alias("now"))
-    # One row with the time of the last event stands for the clock.
-    now = newest.withColumn("one", F.lit(1))
-    dated = entries.withColumn("one", F.lit(1)).join(F.broadcast(now), "one")
-    latest = live.fresh_entries(dated.select("key", "value", "ts", "seq"), F.lit("1970-01-01").cast("timestamp"), 0)
-    return latest.withColumn("one", F.lit(1)).join(F.broadcast(now), "one").filter(
-        F.col("ts") > F.col("now") - F.make_dt_interval(hours=F.lit(6))
-    )
+    now = entries.agg(F.max("ts")).first()[0]  # the time of the last event stands for the clock
+    return live.fresh_entries(entries, F.lit(now), 6 * 3600)
 
 
-@check("key bigint", "SELECT DISTINCT user_id AS key FROM events")
+@check(
+    "key bigint, ts string",
+    """WITH RECURSIVE l AS (SELECT user_id AS key, min(ts) AS ts FROM events GROUP BY 1
+      UNION ALL SELECT l.key, min(e.ts) FROM l JOIN events e ON e.user_id = l.key AND e.ts >= l.ts + INTERVAL 90 MINUTE GROUP BY l.key)
+    SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM l""",
+)
 def keys_loaded_once(t: Tables) -> DataFrame:
     """Each key is loaded once per time to live, as a stream."""
-    entries = stream(t).select(F.col("user_id").alias("key"), "ts")
-    return appended(live.first_in_ttl(entries, "400 days")).select("key")
+    asked = stream(t).select(F.col("user_id").alias("key"), "ts")
+    loads = appended(live.loads_in_ttl(asked, 90 * 60))
+    return loads.select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 @check("key string", "SELECT DISTINCT event_type || user_id AS key FROM events WHERE user_id % 5 <> 0")
@@ -207,4 +207,4 @@ def new_question_keys(t: Tables) -> DataFrame:
     """Question keys nobody decided yet, each once, as a stream joined to a table."""
     keyed = lambda e: e.select(F.concat("event_type", F.col("user_id").cast("string")).alias("key"), "ts", "user_id")
     saved = keyed(batch(t)).filter("user_id % 5 = 0").select("key").distinct()
-    return appended(live.new_decisions(keyed(stream(t)), saved, "400 days")).select("key")
+    return appended(live.new_decisions(keyed(stream(t)), saved)).select("key")

@@ -29,13 +29,21 @@ def progress(events: DataFrame) -> DataFrame:
     )
 
 
-def finished_cases(events: DataFrame, late: str = "1 hour") -> DataFrame:
+def once_each(rows: DataFrame, keys: list[str], late: str | None) -> DataFrame:
+    """The first row of each key.
+
+    late None keeps the keys of the whole stream, so that none is lost or comes twice. A
+    duration bounds what is kept: rows that come later than that are dropped, and a key
+    can come again after it.
+    """
+    if rows.isStreaming and late is not None:
+        return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return rows.dropDuplicates(keys)
+
+
+def finished_cases(events: DataFrame, late: str | None = None) -> DataFrame:
     """Cases as they finish, once each. events: run_id, case_id, event, ts, ..."""
-    done = events.filter(F.col("event") == "case_done")
-    keys = ["run_id", "case_id"]
-    if events.isStreaming:
-        return done.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
-    return done.dropDuplicates(keys)
+    return once_each(events.filter(F.col("event") == "case_done"), ["run_id", "case_id"], late)
 
 
 def running_averages(results: DataFrame) -> DataFrame:
@@ -158,17 +166,40 @@ def fresh_entries(entries: DataFrame, now: Column, ttl_seconds: int = CACHE_SECO
     return newest.filter(F.col("ts") > now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
 
-def first_in_ttl(entries: DataFrame, ttl: str = "600 seconds") -> DataFrame:
-    """Stream form of the cache: a key is loaded once per time to live."""
-    return entries.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
+def loads_in_ttl(asked: DataFrame, ttl_seconds: int = CACHE_SECONDS) -> DataFrame:
+    """Stream form of the cache: (key, ts) of every load.
+
+    asked: key, ts. A key is loaded when it is asked for first, and again by the first
+    request at or after the end of its time to live. The state of a key is the time of its
+    last load; requests before that are served by it, however late they come.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+
+    def load(key, parts, state):
+        import pandas as pd
+
+        life = pd.Timedelta(seconds=ttl_seconds)
+        last = pd.Timestamp(state.get[0]) if state.exists else None
+        times = pd.concat([p["ts"] for p in parts]).sort_values(ignore_index=True)
+        loads = []
+        while True:
+            at = 0 if last is None else int(times.searchsorted(last + life))
+            if at >= len(times):
+                break
+            last = times.iloc[at]
+            loads.append(last)
+        if loads:
+            state.update((loads[-1].to_pydatetime(),))
+            yield pd.DataFrame({"key": [key[0]] * len(loads), "ts": loads})
+
+    return asked.select("key", "ts").groupBy("key").applyInPandasWithState(
+        load, f"key {fields['key']}, ts {fields['ts']}", f"ts {fields['ts']}", "append", "NoTimeout"
+    )
 
 
-def new_decisions(questions: DataFrame, saved: DataFrame, late: str = "1 hour") -> DataFrame:
+def new_decisions(questions: DataFrame, saved: DataFrame, late: str | None = None) -> DataFrame:
     """Question keys that nobody decided yet, each once; saved decisions are a static table."""
-    unseen = questions.join(saved.select("key"), "key", "left_anti")
-    if questions.isStreaming:
-        return unseen.withWatermark("ts", late).dropDuplicatesWithinWatermark(["key"])
-    return unseen.dropDuplicates(["key"])
+    return once_each(questions.join(saved.select("key"), "key", "left_anti"), ["key"], late)
 
 
 def continue_load(stream: DataFrame, target: str, checkpoint: str) -> None:
