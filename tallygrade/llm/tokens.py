@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from tallygrade.llm.texts import filled, split_words
 
 SLICE_BYTES = 32 << 20
-CHUNK = 1 << 13
+CHUNK, STRETCHES = 1 << 13, 1 << 18
 _SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 _UNSURE = rf"[{_SPACE}] | [{_SPACE}]|^ | $"
 
@@ -34,8 +34,13 @@ def load(path: str):
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches of flat that begin at starts, one behind the other."""
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    for at in range(0, len(lengths), STRETCHES):  # the index takes more memory than the ids
+        begin, size = starts[at : at + STRETCHES], lengths[at : at + STRETCHES]
+        end = np.cumsum(size)
+        to = int(ends[at] - lengths[at])
+        out[to : to + int(end[-1])] = flat[np.repeat(begin - (end - size), size) + np.arange(int(end[-1]))]
+    return out
 
 
 def _table(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
