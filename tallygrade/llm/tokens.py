@@ -10,6 +10,10 @@ the same ids as those of the whole text.
 from __future__ import annotations
 
 import os
+import sys
+import types
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +23,26 @@ from tallygrade.llm.texts import filled, split_words
 
 SLICE_BYTES = 32 << 20
 CHUNK, STRETCHES = 1 << 13, 1 << 18
+#: Pieces whose ids a Python worker keeps; one slice may go over it once.
+KEPT = 200_000
 _SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 _UNSURE = rf"[{_SPACE}] | [{_SPACE}]|^ | $"
 
 
+def kept(name: str, make: Callable[[], object]):
+    """An object that stays in a Python worker from one task to the next, made where it is missing."""
+    module = sys.modules.setdefault("tallygrade_worker", types.ModuleType("tallygrade_worker"))
+    if not hasattr(module, name):
+        setattr(module, name, make())
+    return getattr(module, name)
+
+
 def load(path: str):
     """The tokenizer in a vocabulary file; one thread, as Spark has its own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return kept(f"tokenizer {path}", lambda: Tokenizer.from_file(path))
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -43,13 +57,23 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return out
 
 
-def _table(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    flat, lengths = [], []
-    for at in range(0, len(pieces), CHUNK):  # an encoding takes far more memory than its ids
-        ids = [e.ids for e in tokenizer.encode_batch_fast(pieces[at : at + CHUNK], add_special_tokens=False)]
-        lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-        flat.append(np.fromiter((i for one in ids for i in one), np.uint32, int(lengths[-1].sum())))
-    return np.concatenate([*flat, np.zeros(0, np.uint32)]), np.concatenate([*lengths, np.zeros(0, np.int64)])
+def _table(tokenizer, pieces: list[str], often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces in a row, and how many each has.
+
+    often: which pieces are likely to come again; their ids stay in the worker, up to
+    `KEPT` of them, so that later slices and tasks need not encode them.
+    """
+    known: dict[str, bytes] = kept(f"pieces {id(tokenizer)}", dict)
+    found = list(map(known.get, pieces))
+    missing = [i for i, f in enumerate(found) if f is None]
+    for at in range(0, len(missing), CHUNK):  # an encoding takes far more memory than its ids
+        some = missing[at : at + CHUNK]
+        for i, e in zip(some, tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)):
+            found[i] = array("I", e.ids).tobytes()
+    if often is not None and len(known) < KEPT:
+        known.update((pieces[i], found[i]) for i in missing if often[i])
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // array("I").itemsize
+    return np.frombuffer(b"".join(found), np.uint32), lengths
 
 
 def _careful(text: str) -> list[str]:
@@ -75,7 +99,8 @@ def encoded(tokenizer, texts: pa.Array, spaces: bool) -> tuple[np.ndarray, np.nd
     if not spaces:
         # the vocabulary has no capitals; a mark of its own in a text is known by its exact letters
         words = split_words(texts, lower=not pc.any(pc.match_substring(texts, "<|")).as_py())
-        flat, lengths = _table(tokenizer, words.uniques.to_pylist())
+        often = np.bincount(words.ids, minlength=len(words.uniques)) > 1
+        flat, lengths = _table(tokenizer, words.uniques.to_pylist(), often)
         begins = np.cumsum(lengths) - lengths
         index, owner = words.ids, words.text_of()
     else:
@@ -103,7 +128,8 @@ def encoded(tokenizer, texts: pa.Array, spaces: bool) -> tuple[np.ndarray, np.nd
             owner = np.concatenate([owner[keep], np.repeat([i for i, _ in more], [len(p) for _, p in more])])
             order = np.argsort(owner, kind="stable")
             index, owner = index[order], owner[order]
-        flat, lengths = _table(tokenizer, pieces)
+        often = np.bincount(index, minlength=len(pieces)) > 1
+        flat, lengths = _table(tokenizer, pieces, often)
         begins = np.cumsum(lengths) - lengths
     sizes = lengths[index] if len(index) else np.zeros(0, np.int64)
     ids = gather(flat, begins[index], sizes) if len(index) else np.zeros(0, np.uint32)
