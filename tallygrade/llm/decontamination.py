@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallygrade.session import cut
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 SHINGLE = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -182,6 +182,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Qualit
     del x, index, value
     w, b = linear.fit(fitted, y[order[~late]], FAMILIES * SIZE)
     slope, shift = linear.calibrate(held.times(w) + b, y[order[late]])
+    del held, fitted
+    pa.default_memory_pool().release_unused()
     return QualityModel(w.astype(np.float32), b, slope, shift)
 
 
