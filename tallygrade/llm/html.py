@@ -167,6 +167,17 @@ def _inside(node: Node, names: tuple[str, ...]) -> bool:
     return False
 
 
+def _article_of(best: Node) -> Node:
+    """The second step: the article around the densest block, or the only one in it if that has most of its elements."""
+    node = best
+    while node:
+        if node.name == "article":
+            return node
+        node = node.parent
+    inner = [n for n in _order(best) if n.name == "article"] or [n for n in _order(best) if n.name == "main"]
+    return inner[0] if len(inner) == 1 and inner[0].chars and 2 * inner[0].tags > best.tags else best
+
+
 def main_text(page: str | None) -> str:
     """The text of the article: blocks in page order, one to a line."""
     if not page:
@@ -189,19 +200,15 @@ def main_text(page: str | None) -> str:
     body = next((n for n in live if n.name == "body"), root)
     for node in live:
         node.density = composite_density(node, body)
-    articles = [n for n in live if n.name == "article"] or [n for n in live if n.name == "main"]
-    scope = articles[0] if len(articles) == 1 and articles[0].chars else body if body.chars else root
-    best, most = scope, -1.0
-    for node in _order(scope):
+    best, most = body if body.chars else root, -1.0
+    for node in _order(best):
         sons = [x for x in node.inner if isinstance(x, Node) and not x.drop]
         own = Node("#text", None, False)  # the node's own text counts as one more child
         own.tags, own.chars = 1, sum(len("".join(x[0].split())) for x in node.inner if not isinstance(x, Node) and not x[1])
         total = sum(x.density for x in sons) + composite_density(own, body)
         if total > most:
             best, most = node, total
-    if _inside(best, ("article",)):
-        while best.name != "article":
-            best = best.parent
+    best = _article_of(best)
     threshold, node = best.density, best
     while node is not body and node.parent:
         node = node.parent

@@ -322,6 +322,19 @@ def test_html_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_html_density_chooses():
+    """A small <article> beside or inside the dense part doesn't take its place; without the tag the same text is found."""
+    long = [f"Sentence {i} of the text that readers came for, with many words and no link in it." for i in range(8)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in long)
+    teaser = "<article><h2>Also</h2><p>Short hint.</p></article>"
+    assert html.main_text(f"<body>{teaser}<div id=x>{paragraphs}</div></body>") == "\n".join(long)
+    assert html.main_text(f"<body><div id=x>{paragraphs}{teaser}</div><p>By</p></body>") == "\n".join([*long, "Also", "Short hint."])
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Head</h1>{paragraphs}</article><div>Buy now</div></body>"
+    assert html.main_text(page) == html.main_text(page.replace("article>", "div>")) == "\n".join(["Head", *long])
+    wrapped = f"<body><article><h1>Head</h1><div>{paragraphs}</div></article></body>"
+    assert html.main_text(wrapped) == "\n".join(["Head", *long])
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>é</p>", "x"), (1, "u", "<p>é</p>", "x"), (None, None, None, "x"), (2, "v", "<p>" + "long " * 50_000, None)]
     got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
