@@ -208,6 +208,14 @@ def test_lm_learns_contexts(spark):
     assert held and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+def test_lm_learns_from_every_place(spark):
+    """Texts of four tokens: with every fourth token as a target only the first word of a text would be learned."""
+    rows = [(i, ["red car moves", "blue sky falls"][i % 2]) for i in range(400)]
+    got = maxent.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [r for r in got if r.held_out]
+    assert held and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+
+
 # 6
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
