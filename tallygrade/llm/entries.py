@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrade.llm import cotrain, decontamination, html, ids, jaccard, language, maxent, packing, rules, secrets, sql
+from tallygrade.llm import cotrain, decontamination, html, ids, jaccard, language, maxent, packing, rules, secrets, spelling, sql, turns, warc
 from tallygrade.session import shared_folder
 
 
@@ -73,6 +73,24 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC files to the shared folder, and what their records say when read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, folder, "pages"), path)
+    return warc.page_facts(warc.read_archives(spark, path))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of all damaged conversations and the cheapest edits that mend them."""
+    conversations = _table(spark, folder, "conversations")
+    return turns.repaired(conversations, turns.damaged(conversations))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, grouped by their more frequent neighbours."""
+    return spelling.spelling_groups(spelling.damaged_runs(_table(spark, folder, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +104,15 @@ QUERIES = {
         op8_ngram_jaccard,
         op9_html_extraction,
         op10_decontamination,
+        op11_warc,
+        op12_conversation_repair,
+        op13_spelling_variants,
     )
 }
-ORACLES = {"op8_ngram_jaccard": sql.JACCARD, "op10_decontamination": sql.DECONTAMINATION}
+ORACLES = {
+    "op8_ngram_jaccard": sql.JACCARD,
+    "op10_decontamination": sql.DECONTAMINATION,
+    "op11_warc": sql.WARC,
+    "op12_conversation_repair": sql.TURNS,
+    "op13_spelling_variants": sql.SPELLING,
+}
