@@ -210,24 +210,20 @@ def fixed_batches(t: Tables) -> DataFrame:
     return B.fixed_batches(rows, ["event_type"], "row_idx", 50)
 
 
-@check("source string, rows_in bigint, over_rows bigint, over_bytes bigint, gaps bigint", """WITH d AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
-  SELECT source, n AS rows_in, 0 AS over_rows, 0 AS over_bytes, 0 AS gaps FROM d""")
+@check(
+    "source string, doc_id bigint, batch bigint",
+    """WITH RECURSIVE j AS (SELECT source, doc_id, strlen(CAST(to_json({'doc_id': doc_id, 'text': text, 'lang': lang}) AS VARCHAR)) + 2 AS size FROM documents),
+    d AS (SELECT source, doc_id, row_number() OVER w - 1 AS i, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) - size AS filled
+      FROM j WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+    x AS (SELECT a.source, a.i, coalesce(max(b.i + 1) FILTER (b.upto - a.filled <= 6000 - 2), a.i + 1) AS after FROM d a JOIN d b ON a.source = b.source AND b.i BETWEEN a.i AND a.i + 2 GROUP BY ALL),
+    c AS (SELECT source, 0 AS i, 0 AS batch FROM d WHERE i = 0 UNION ALL SELECT c.source, x.after, batch + 1 FROM c JOIN x ON c.source = x.source AND c.i = x.i)
+    SELECT d.source, doc_id, batch FROM d ASOF JOIN c ON d.source = c.source AND d.i >= c.i""",
+)
 def sized_batches(t: Tables) -> DataFrame:
-    """Batches by rows and bytes: no limit is broken, no batch could take its next row."""
-    limit = 6_000
+    """Batches of at most three rows and 6000 bytes, greedy over the whole table of each source."""
     d = t.documents.withColumn("_size", B.json_bytes("doc_id", "text", "lang"))
-    rows = B.numbered_rows(d, ["source"], ["doc_id"], F.floor(F.col("doc_id") / 500)).withColumn("shard", F.floor(F.col("row_idx") / 200))
-    cut = B.sized_batches(rows, ["source"], "shard", "row_idx", "_size", 3, limit)
-    per = cut.groupBy("source", "shard", "batch").agg(
-        F.count("*").alias("n"), (F.sum("_size") + 2).alias("bytes"), F.min_by("_size", "row_idx").alias("first")
-    )
-    w = Window.partitionBy("source", "shard").orderBy("batch")
-    fits = (F.lead("first").over(w) + F.col("bytes") <= limit) & (F.col("n") < 3)
-    checked = per.withColumns({"gap": fits, "next": F.lead("batch").over(w)})
-    return checked.groupBy("source").agg(
-        F.sum("n").alias("rows_in"), F.count_if(F.col("n") > 3).alias("over_rows"),
-        F.count_if((F.col("bytes") > limit) & (F.col("n") > 1)).alias("over_bytes"), F.count_if("gap").alias("gaps"),
-    )
+    rows = B.numbered_rows(d, ["source"], ["doc_id"], F.floor(F.col("doc_id") / 500))
+    return B.sized_batches(rows, ["source"], "row_idx", "_size", 3, 6_000)
 
 
 STATE = "s AS (SELECT * FROM (VALUES ('click', 40, false), ('view', 10, true), ('error', 0, false)) AS v(event_type, pushed, done))"

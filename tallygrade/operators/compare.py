@@ -110,7 +110,7 @@ def _verdict(classes: Column) -> Column:
     )
 
 
-def match_rows(rows: DataFrame, bucket: bool = False, group_cells: int = M.GROUP_CELLS) -> DataFrame:
+def match_rows(rows: DataFrame, bucket: bool = False) -> DataFrame:
     """(case_id, reason, mapping): reason is NULL when the rows are equal as bags.
 
     With a bucket column, rows must also be equal bucket by bucket.
@@ -134,8 +134,8 @@ def match_rows(rows: DataFrame, bucket: bool = False, group_cells: int = M.GROUP
     result = found.unionByName(failed)
     ambiguous = judged.filter(F.col("verdict") == "search")
     if not ambiguous.isEmpty():
-        options = ambiguous.select("case_id", M.options_of(F.col("classes")).alias("options"), "n_cells")
-        searched = M.search(rows, options, group_cells=group_cells).select(
+        options = ambiguous.select("case_id", M.options_of(F.col("classes")).alias("options"))
+        searched = M.search(rows, options).select(
             "case_id",
             F.when(F.col("mapping").isNull(), "projected_rows_do_not_match").alias("reason"),
             "mapping",
@@ -144,7 +144,7 @@ def match_rows(rows: DataFrame, bucket: bool = False, group_cells: int = M.GROUP
     return result
 
 
-def match_subsets(rows: DataFrame, cases: DataFrame, group_cells: int = M.GROUP_CELLS) -> DataFrame:
+def match_subsets(rows: DataFrame, cases: DataFrame) -> DataFrame:
     """Subset grading: distinct generated rows must be expected rows, in the asked number."""
     distinct = rows.select("case_id", "side", "vals").distinct()
     counts = distinct.groupBy("case_id").agg(
@@ -183,10 +183,7 @@ def match_subsets(rows: DataFrame, cases: DataFrame, group_cells: int = M.GROUP_
             ).alias("options")
         )
     )
-    planned = open_cases.join(options, "case_id", "left").withColumn(
-        "n_cells", F.col("n_e") * F.col("e_cols") + F.col("n_g") * F.col("g_cols")
-    )
-    planned = cut(planned, "subset")
+    planned = cut(open_cases.join(options, "case_id", "left"), "subset")
     missing = F.coalesce(F.size("options") < F.col("e_cols"), F.lit(True)) | (F.size("options") < 0)
     not_found = planned.filter(missing).select(
         "case_id", F.lit("expected_column_not_found_in_generated").alias("reason"), none.alias("mapping")
@@ -207,7 +204,7 @@ def match_subsets(rows: DataFrame, cases: DataFrame, group_cells: int = M.GROUP_
     found = checked
     to_search = open_ended.filter(~plain)
     if not to_search.isEmpty():
-        found = found.unionByName(M.search(live, to_search, subset=True, group_cells=group_cells))
+        found = found.unionByName(M.search(live, to_search, subset=True))
     found = found.select(
         "case_id",
         F.when(F.col("mapping").isNull(), "generated_rows_not_in_expected").alias("reason"),
@@ -217,7 +214,7 @@ def match_subsets(rows: DataFrame, cases: DataFrame, group_cells: int = M.GROUP_
 
 
 def compare(cases: DataFrame, rows: DataFrame, allow_extra: bool = False,
-            modes: tuple[str, ...] | None = None, group_cells: int = M.GROUP_CELLS) -> DataFrame:
+            modes: tuple[str, ...] | None = None) -> DataFrame:
     """Compare every case; see OUT for the columns of the result.
 
     matched        rows equal (bag, set or subset, as graded) under some mapping
@@ -278,17 +275,29 @@ def compare(cases: DataFrame, rows: DataFrame, allow_extra: bool = False,
             )
         else:
             bag_rows = bag_rows.select("case_id", "side", "row_id", "vals")
-        bags = match_rows(bag_rows, group_cells=group_cells)
+        bags = match_rows(bag_rows)
         parts.append(bags.select("case_id", "reason", "mapping", *flags))
     if "subset" in modes:
         sub_cases = live.filter(mode == "subset")
         sub_rows = rows.join(sub_cases.select("case_id"), "case_id")
-        subs = match_subsets(sub_rows, sub_cases, group_cells)
+        subs = match_subsets(sub_rows, sub_cases)
         parts.append(subs.select("case_id", "reason", "mapping", *flags))
 
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+    found = parts[1]
+    for part in parts[2:]:
+        found = found.unionByName(part)
+    # Start from the cases: one of which no row or no column came is found by no cell.
+    found = live.select("case_id", F.col("expected.n_cols").alias("_width")).join(found.withColumn("_found", F.lit(True)), "case_id", "left")
+    bare = F.col("_found").isNull()
+    result = settled.unionByName(
+        found.select(
+            "case_id",
+            F.when(bare & (F.col("_width") > 0), "expected_column_not_found_in_generated").otherwise(F.col("reason")).alias("reason"),
+            F.when(bare & (F.col("_width") == 0), F.expr("cast(array() AS array<int>)")).otherwise(F.col("mapping")).alias("mapping"),
+            F.coalesce("inconclusive", F.lit(False)).alias("inconclusive"),
+            F.coalesce("empty_result", F.lit(False)).alias("empty_result"),
+        )
+    )
     if not ordered:
         return result.select(
             "case_id",
@@ -312,7 +321,7 @@ def compare(cases: DataFrame, rows: DataFrame, allow_extra: bool = False,
     placed = with_order_bucket(
         rows.select("case_id", "side", "row_id", "vals"), asked.filter(~F.col("empty_result"))
     )
-    in_order = match_rows(placed, bucket=True, group_cells=group_cells).select(
+    in_order = match_rows(placed, bucket=True).select(
         "case_id", F.col("reason").isNull().alias("in_order"), F.col("mapping").alias("ordered_mapping")
     )
     asked = asked.select("case_id", F.lit(True).alias("asked"))

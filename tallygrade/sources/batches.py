@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallygrade.session import cut
+
 # Limits of one request.
 MAX_ROWS = 500
 MAX_BYTES = 8 * 1024 * 1024
+# Rows of a block, and blocks whose tables are put together in one step.
+BLOCK = 1 << 16
+FAN = 256
 
 
 def json_bytes(*columns: str) -> Column:
@@ -42,36 +47,114 @@ def numbered_rows(df: DataFrame, keys: list[str], order: list[str], spread: Colu
     )
 
 
-def sized_batches(df: DataFrame, keys: list[str], shard: str, position: str, size: str,
-                  max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Add `batch` within each (keys, shard): greedy, at most max_rows rows and about max_bytes.
+def sized_batches(df: DataFrame, keys: list[str], position: str, size: str, max_rows: int = MAX_ROWS,
+                  max_bytes: int = MAX_BYTES, block: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """Add `batch` within each key: greedy, at most max_rows rows and about max_bytes; a row over the limit goes alone.
 
-    A row over the limit goes alone. Where a batch begins depends on all rows before
-    it, so each shard is cut in order; the caller's shards bound how many rows one
-    group holds. Only positions and sizes enter the group; the rows are joined back.
+    position numbers the rows of a key from 0 without gaps. Where a batch begins depends on all rows before it, so rows
+    are looked at in blocks that also see the first max_rows rows of the next one. In a block, pointers to the next
+    batch are doubled until they leave it; that makes a table from each place where the first batch may begin to the place
+    in the next block and the number of batches. Tables are put together `fan` at a time, level by level, and the places
+    where batches do begin are handed down again. No group holds more than a block's rows or `fan` tables of max_rows
+    entries, however long a table is. Null keys are one key.
     """
-    group = [*keys, shard]
-    fields = [df.schema[c] for c in group]
-    schema = T.StructType(
-        [*fields, T.StructField(position, T.LongType()), T.StructField("batch", T.LongType())]
-    )
-
-    def marked_shard(pdf):
+    block = max(block, max_rows)
+    fields = [df.schema[c] for c in keys]
+    of = lambda *more: T.StructType([*fields, *[T.StructField(n, k) for n, k in more]])
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    at = F.col(position).cast("long")
+    here = F.floor(at / block)
+    both = F.when((at % block < max_rows) & (here > 0), F.array(here, here - 1)).otherwise(F.array(here))
+    slim = df.select(*keys, at.alias("_at"), F.col(size).cast("long").alias("_bytes"), F.explode(both).alias("_unit"))
+    slim = cut(slim, "sizes")
+
+    def pointers(pdf):
+        """Own rows, rows seen, and for each own row the first row of the batch after the one that begins there."""
         import numpy as np
 
-        pdf = pdf.sort_values(position)
+        first = int(pdf["_unit"].iloc[0]) * block
+        pdf = pdf.sort_values("_at")
+        own = int((pdf["_at"] < first + block).sum())
         filled = np.concatenate([[0], np.cumsum(pdf["_bytes"].to_numpy(dtype=np.int64))])
-        starts = [0]
-        while starts[-1] < len(pdf):  # one look-up a batch: the last row whose running sum still fits
-            at = starts[-1]
-            fits = int(np.searchsorted(filled, filled[at] + max_bytes - 2, "right")) - 1
-            starts.append(max(at + 1, min(at + max_rows, fits)))
-        number = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        return pdf.assign(batch=number)[[*group, position, "batch"]]
-
-    slim = df.select(*group, F.col(position).cast("long").alias(position), F.col(size).alias("_bytes"))
-    marked = slim.groupBy(*group).applyInPandas(marked_shard, schema)
-    return df.join(marked, [*group, position])
+        row = np.arange(own)
+        fits = np.searchsorted(filled, filled[:own] + max_bytes - 2, "right") - 1
+        return pdf, own, len(pdf), np.maximum(row + 1, np.minimum(row + max_rows, fits))
+
+    def named(pdf, **columns):
+        import pandas as pd
+
+        out = pd.DataFrame(columns)
+        for c in keys:
+            out[c] = [pdf[c].iloc[0]] * len(out)
+        return out
+
+    def table(pdf):
+        import numpy as np
+
+        pdf, own, seen, after = pointers(pdf)
+        hop = np.concatenate([after, np.arange(own, seen + 1)])
+        count = (np.arange(seen + 1) < own).astype(np.int64)
+        while (hop[:own] < own).any():
+            count, hop = count + count[hop], hop[hop]
+        exits, counts = np.zeros(max_rows, np.int64), np.zeros(max_rows, np.int64)
+        known = min(own, max_rows)
+        exits[:known], counts[:known] = np.clip(hop[:known] - block, 0, max_rows - 1), count[:known]
+        return named(pdf, _unit=[int(pdf["_unit"].iloc[0])], exits=[exits], counts=[counts])
+
+    def together(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("_unit")
+        place, total = np.arange(max_rows), np.zeros(max_rows, np.int64)
+        for exits, counts in zip(pdf["exits"], pdf["counts"]):
+            total += np.asarray(counts)[place]
+            place = np.asarray(exits)[place]
+        return named(pdf, _unit=[int(pdf["_unit"].iloc[0]) // fan], exits=[place], counts=[total])
+
+    def handed_down(pdf):
+        pdf = pdf.sort_values("_unit")
+        place, total, places, totals = int(pdf["entry"].iloc[0]), int(pdf["before"].iloc[0]), [], []
+        for exits, counts in zip(pdf["exits"], pdf["counts"]):
+            places.append(place)
+            totals.append(total)
+            total += int(counts[place])
+            place = int(exits[place])
+        return named(pdf, _unit=pdf["_unit"].to_numpy(), entry=places, before=totals)
+
+    def numbered(pdf):
+        import numpy as np
+
+        entry, before = int(pdf["entry"].iloc[0]), int(pdf["before"].iloc[0])
+        pdf, own, _, after = pointers(pdf)
+        starts, at = [], entry
+        while at < own:
+            starts.append(at)
+            at = int(after[at])
+        batch = before - 1 + np.searchsorted(np.array(starts, np.int64), np.arange(own), "right")
+        return named(pdf, _at=pdf["_at"].to_numpy()[:own], batch=batch)
+
+    kind = of(("_unit", long), ("exits", longs), ("counts", longs))
+    entries = of(("_unit", long), ("entry", long), ("before", long))
+    levels = [cut(slim.groupBy(*keys, "_unit").applyInPandas(table, kind), "jumps")]
+    top = slim.agg(F.max("_unit")).first()[0] or 0
+    while top:
+        upper = levels[-1].withColumn("_over", F.floor(F.col("_unit") / fan)).groupBy(*keys, "_over")
+        levels.append(cut(upper.applyInPandas(together, kind), "jumps"))
+        top //= fan
+    zero = F.lit(0).cast("long")
+    begins = levels.pop().select(*keys, "_unit", zero.alias("entry"), zero.alias("before"))
+    for level in reversed(levels):
+        upper = _same(level.withColumn("_over", F.floor(F.col("_unit") / fan)), begins.withColumnRenamed("_unit", "_over"), keys, "_over")
+        begins = cut(upper.groupBy(*keys, "_over").applyInPandas(handed_down, entries), "begins")
+    marked = _same(slim, begins, keys, "_unit").groupBy(*keys, "_unit").applyInPandas(numbered, of(("_at", long), ("batch", long)))
+    return _same(df.withColumn("_at", at), marked, keys, "_at").drop("_at")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """Inner join on keys and more; equal nulls meet, as fields of a struct."""
+    key = lambda df: F.struct(*[df[c] for c in [*keys, *more]])
+    right = right.select(key(right).alias("_key"), *[c for c in right.columns if c not in (*keys, *more)])
+    return left.join(right, key(left) == right["_key"]).drop("_key")
 
 
 def pending_rows(df: DataFrame, state: DataFrame, key: str, row_idx: str) -> DataFrame:

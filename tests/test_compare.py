@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import pairs, raw, tagged, RAW
+from tallygrade.operators.columns import fingerprints, value_classes
 from tallygrade.operators.compare import compare
+from tallygrade.operators.mapping import options_of, search
 from tallygrade.operators.positions import tie_runs
 
 
@@ -166,12 +168,11 @@ def brute(e, g, mode):
     return False
 
 
-@pytest.mark.parametrize("group_cells", [2_000_000, 0])
-def test_random_cases_against_brute_force(spark, group_cells):
-    """Few distinct values, so many columns look alike; 0 sends all to the Spark rounds."""
+def test_random_cases_against_brute_force(spark):
+    """Few distinct values, so many columns look alike."""
     rnd = random.Random(7)
     cases, wanted = [], {}
-    for i in range(60 if group_cells else 12):
+    for i in range(90):
         n, m, k = rnd.randint(1, 4), 0, rnd.randint(1, 5)
         m = n + rnd.choice([0, 0, 1])
         e = [[rnd.randint(0, 1) for _ in range(n)] for _ in range(k)]
@@ -189,7 +190,7 @@ def test_random_cases_against_brute_force(spark, group_cells):
             g = g[: rnd.randint(1, k)]
         cases.append(dict(id=str(i), e=e, g=g, grading=mode if mode != "default" else None))
         wanted[str(i)] = brute(e, g, mode)
-    got = run(spark, cases, allow_extra=True, group_cells=group_cells)
+    got = run(spark, cases, allow_extra=True)
     assert {k: r["matched"] for k, r in got.items()} == wanted
     by_id = {c["id"]: c for c in cases}
     for k, r in got.items():
@@ -203,3 +204,66 @@ def test_random_cases_against_brute_force(spark, group_cells):
                 assert set(proj) == set(rows)
             else:
                 assert Counter(proj) == Counter(rows)
+
+
+def test_twelve_equal_flags(spark):
+    """Columns that hold the same values as often: only their pairs say which is which."""
+    rnd = random.Random(11)
+    half = [1] * 40 + [0] * 40
+    columns = [rnd.sample(half, 80) for _ in range(12)]
+    e = [list(r) for r in zip(*columns)]
+    order = rnd.sample(range(12), 12)
+    g = [[r[j] for j in order] for r in rnd.sample(e, 80)]
+    wrong = [list(r) for r in g]
+    i, j = (next(k for k in range(80) if wrong[k][3] == v) for v in (0, 1))
+    wrong[i][3], wrong[j][3] = 1, 0
+    cases = [dict(id="right", e=e, g=g), dict(id="wrong", e=e, g=wrong)]
+    few = [r[:4] for r in e[:9]]
+    cases += [dict(id="some", e=few, g=[r[::-1] for r in few[:5]], grading="subset"), dict(id="none", e=few, g=[[1 - c for c in r] for r in few], grading="subset")]
+    got = run(spark, cases)
+    assert {k: (r["matched"], r["reason"]) for k, r in got.items()} == {
+        "right": (True, None), "wrong": (False, "projected_rows_do_not_match"), "some": (True, None),
+        "none": (brute(few, cases[3]["g"], "subset"), None if brute(few, cases[3]["g"], "subset") else "generated_rows_not_in_expected"),
+    }
+    assert got["right"]["mapping"] == [order.index(c) for c in range(12)]
+
+
+def test_pairs_agree_and_rows_do_not(spark):
+    """Three flags of which any two are independent on both sides; in one result the third is their sum."""
+    bits = list(itertools.product([0, 1], repeat=3))
+    even = [b for b in bits if sum(b) % 2 == 0]
+    odd = [b for b in bits if sum(b) % 2]
+    rows = lambda parts: [list(p) for p in parts]
+    same = [[*b, c] for b in even for c in (0, 1)]
+    cases = [
+        dict(id="parity", e=rows(even), g=rows(odd)),
+        dict(id="even", e=rows(even), g=rows(even[::-1])),
+        dict(id="free", e=rows(even * 2), g=rows(bits)),
+        dict(id="moved", e=same, g=[[r[3], *r[:3]] for r in same]),
+        dict(id="last", e=same, g=[[r[1], r[0], r[3], r[2]] for r in same]),
+    ]
+    got = run(spark, cases)
+    assert {k: r["matched"] for k, r in got.items()} == {c["id"]: brute(c["e"], c["g"], "default") for c in cases}
+    assert not got["parity"]["matched"] and got["moved"]["matched"]
+
+
+def test_a_million_rows(spark):
+    """One large case takes the same way: no group holds its rows."""
+    n = 1_000_000
+    base = spark.range(n).select("id", *[(F.pmod(F.xxhash64(F.col("id") % (n // 2), F.lit(k)), F.lit(2)) == (F.col("id") < n / 2).cast("int")).cast("string").alias(f"c{k}") for k in range(4)])
+    side = lambda s, cols: base.select(F.lit("big").alias("case_id"), F.lit(s).alias("side"), F.col("id").alias("row_id"), F.array(*cols).alias("vals"))
+    rows = side("e", ["c0", "c1", "c2", "c3"]).unionByName(side("g", ["c2", "c0", "c3", "c1"]))
+    options = value_classes(fingerprints(rows)).select("case_id", options_of(F.col("classes")).alias("options"))
+    assert options.first()["options"][0]["n"] == 4
+    found = search(rows.withColumn("bucket", F.lit(None).cast("long")), options).collect()
+    assert [(r["case_id"], r["mapping"]) for r in found] == [("big", [1, 3, 0, 2])]
+
+
+def test_case_without_cells(spark):
+    shapes = lambda n: dict(e_cols=n, g_cols=n)
+    cases = [dict(id="bare", e=[[], []], g=[[], []], **shapes(0)), dict(id="kept", e=[["a"]], g=[["a"]])]
+    cases_df, rows_df = pairs(spark, cases + [dict(id="lost", e=[["a"]], g=[["a"]])])
+    got = {r["case_id"]: r for r in compare(cases_df, rows_df.filter("case_id <> 'lost'")).collect()}
+    assert {k: (r["matched"], r["reason"]) for k, r in got.items()} == {
+        "bare": (True, None), "kept": (True, None), "lost": (False, "expected_column_not_found_in_generated"),
+    }

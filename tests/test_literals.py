@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,14 +134,40 @@ def test_failure_categories(spark):
     assert got == {n: (n if n in metrics.FAILURES else "validation_failure" if n == "unfinished" else None) for n in cases}
 
 
+def greedy(sizes, max_rows, max_bytes):
+    """Batch numbers by a walk over the rows: brackets and separators count two bytes each."""
+    out, rows, filled = [], 0, 2
+    for size in sizes:
+        if rows and (rows == max_rows or filled + size > max_bytes):
+            rows, filled = 0, 2
+        out.append((out[-1] if out else -1) + (rows == 0))
+        rows, filled = rows + 1, filled + size
+    return out
+
+
 def test_sized_batches(spark):
-    df = spark.createDataFrame([("t", 0, i, 100) for i in range(10)], "t string, shard int, i long, size int")
-    count = lambda **kw: sorted(r["count"] for r in batches.sized_batches(df, ["t"], "shard", "i", "size", **kw).groupBy("batch").count().collect())
+    df = spark.createDataFrame([("t", i, 100) for i in range(10)], "t string, i long, size int")
+    count = lambda **kw: sorted(r["count"] for r in batches.sized_batches(df, ["t"], "i", "size", **kw).groupBy("batch").count().collect())
     assert count(max_rows=100, max_bytes=302) == [1, 3, 3, 3]
     assert count(max_rows=4, max_bytes=10_000) == [2, 4, 4]
     assert count(max_rows=100, max_bytes=10) == [1] * 10
 
 
+@pytest.mark.parametrize("max_rows, max_bytes, block, fan", [(3, 60, 4, 2), (5, 1000, 5, 3), (7, 90, 16, 2), (500, 2000, 1, 2)])
+def test_batches_cross_blocks(spark, max_rows, max_bytes, block, fan):
+    rnd, rows = random.Random(block), []
+    for name, n in ((None, 61), ("one", 1), ("even", 64), ("long", 1203)):
+        rows += [(name, i, rnd.choice([1, 10, 30, 59, 200]), "x") for i in range(n)]
+    df = spark.createDataFrame(rows, "t string, i long, size int, batch_name string").repartition(5)
+    got = {(r.t, r.i): r.batch for r in batches.sized_batches(df, ["t"], "i", "size", max_rows, max_bytes, block, fan).collect()}
+    assert len(got) == len(rows)
+    for name in (None, "one", "even", "long"):
+        sizes = [r[2] for r in rows if r[0] == name]
+        assert [got[name, i] for i in range(len(sizes))] == greedy(sizes, max_rows, max_bytes)
+    empty = df.where("false")
+    assert batches.sized_batches(empty, ["t"], "i", "size", max_rows, max_bytes, block, fan).collect() == []
+
+
 def test_lookup_conflict_and_text_dates(spark):
     entries = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3")], "key string, value string")
     assert [r["key"] for r in lookups.conflicting_keys(entries).collect()] == ["a"]
