@@ -215,7 +215,7 @@ def fixed_batches(t: Tables) -> DataFrame:
     """WITH RECURSIVE j AS (SELECT source, doc_id, strlen(CAST(to_json({'doc_id': doc_id, 'text': text, 'lang': lang}) AS VARCHAR)) + 2 AS size FROM documents),
     d AS (SELECT source, doc_id, row_number() OVER w - 1 AS i, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) - size AS filled
       FROM j WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-    x AS (SELECT a.source, a.i, coalesce(max(b.i + 1) FILTER (b.upto - a.filled <= 6000 - 2), a.i + 1) AS after FROM d a JOIN d b ON a.source = b.source AND b.i BETWEEN a.i AND a.i + 2 GROUP BY ALL),
+    x AS (SELECT a.source, a.i, coalesce(max(b.i + 1) FILTER (b.upto - a.filled <= 6000 - 2), a.i + 1) AS after FROM d a JOIN d b ON a.source = b.source AND b.i BETWEEN a.i AND a.i + 2 GROUP BY a.source, a.i),
     c AS (SELECT source, 0 AS i, 0 AS batch FROM d WHERE i = 0 UNION ALL SELECT c.source, x.after, batch + 1 FROM c JOIN x ON c.source = x.source AND c.i = x.i)
     SELECT d.source, doc_id, batch FROM d ASOF JOIN c ON d.source = c.source AND d.i >= c.i""",
 )
