@@ -351,16 +351,18 @@ def error_rows_for_failed_cases(t: Tables) -> DataFrame:
     "evaluator string, n bigint, total double, errors bigint",
     f"""WITH {CASES} SELECT 'engine' AS evaluator, count(*) AS n, round(sum(CASE WHEN gok THEN 1 ELSE 0 END), 2) AS total, 0 AS errors FROM cases
     UNION ALL SELECT 'tokens', count(*), round(sum(CASE WHEN k % 9 <> 0 THEN (k * 10 % 3 = 0)::INT ELSE 0 END), 2), 0 FROM cases
-    UNION ALL SELECT 'broken', count(*), 0.0, count(*) FROM cases""",
+    UNION ALL SELECT 'broken', count(*), 0.0, count(*) FROM cases
+    UNION ALL SELECT 'strict', count(*), round(sum(CASE WHEN case_id % 8192 = 5 THEN 0 ELSE 1 END), 2), count_if(case_id % 8192 = 5) FROM cases""",
 )
 def evaluators_side_by_side(t: Tables) -> DataFrame:
-    """Registered evaluators over all cases; one that cannot be planned gives error rows."""
+    """Registered evaluators over all cases: one cannot be planned, one fails on single cases."""
     none = F.lit(None).cast("string")
     registry = (
         Evaluators()
         .add("engine", lambda c: result(c, "engine", F.when(F.col("generated_ok"), 1.0).otherwise(0.0), F.lit(True), none))
         .add("tokens", lambda c: result(c, "tokens", F.when(F.col("token_usage") % 3 == 0, 1.0).otherwise(0.0), F.lit(True), none))
         .add("broken", lambda c: result(c, "broken", F.col("no_such_column"), F.lit(True), none))
+        .add("strict", lambda c: result(c, "strict", F.when(F.col("case_id") % 8192 == 5, F.raise_error(F.lit("bad cell")).cast("double")).otherwise(1.0), F.lit(True), none))
     )
     out = registry.run(run_cases(t))
     return out.groupBy("evaluator").agg(

@@ -18,6 +18,14 @@ def stream(t: Tables) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.col("event_id"))
 
 
+def in_batches(t: Tables, batches: int = 3) -> DataFrame:
+    """The events as a stream of several micro-batches, each with rows from all over the table."""
+    path = f"{shared_folder(t.spark)}/events-{uuid.uuid4().hex}"
+    t.events.repartition(batches, F.xxhash64("event_id")).write.parquet(path)
+    raw = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.col("event_id"))
+
+
 def batch(t: Tables) -> DataFrame:
     return t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.col("event_id"))
 
@@ -100,8 +108,8 @@ def wait_events(e: DataFrame) -> DataFrame:
       stop IS NOT NULL AND NOT stopped AS stop_refused FROM x""",
 )
 def questions_waiting(t: Tables) -> DataFrame:
-    """Which questions wait out a rate limit, and which stops count."""
-    return live.question_waits(wait_events(batch(t)))
+    """Which questions wait out a rate limit, and which stops count, as a stream of three micro-batches."""
+    return live.newest(appended(live.waits_log(wait_events(in_batches(t)))), "question_id")
 
 
 @check(
@@ -117,21 +125,24 @@ def retries_per_stage(t: Tables) -> DataFrame:
 
 @check(
     "question_id bigint, stage string, failures bigint, outcome string, retry_at string, label string",
-    """WITH f AS (SELECT event_id // 7 AS q, event_type AS stage, event_id AS s, ts, event_id % 11 = 0 AS stop, 'busy ' || event_id AS err FROM events),
-    h AS (SELECT q, min(ts) AS st FROM f WHERE stop GROUP BY q),
-    g AS (SELECT q, stage, count(*) AS n, max(ts) AS lt, arg_max(err, s) AS err FROM f WHERE NOT stop GROUP BY ALL),
-    o AS (SELECT g.*, CASE WHEN st IS NOT NULL AND NOT (n > 2 AND st >= lt) THEN 'stopped' WHEN n > 2 THEN 'exhausted' ELSE 'retry' END AS outcome FROM g LEFT JOIN h USING (q))
-    SELECT q AS question_id, stage, n AS failures, outcome, CASE WHEN outcome = 'retry' THEN strftime(lt + to_seconds(20 * pow(2, n - 1)), '%Y-%m-%d %H:%M:%S') END AS retry_at,
+    """WITH f AS (SELECT event_id // 7 AS q, event_type AS stage, {'t': ts, 's': event_id} AS mo, event_id % 11 = 0 AS stop, 'busy ' || event_id AS err FROM events),
+    b AS (SELECT q, min(mo) AS first FROM f WHERE NOT stop GROUP BY q),
+    h AS (SELECT q, min(mo) AS st FROM f JOIN b USING (q) WHERE stop AND mo > first GROUP BY q),
+    g AS (SELECT q, stage, count(*) AS n, max(mo) AS la, arg_max(err, mo) AS err FROM f WHERE NOT stop GROUP BY ALL),
+    r AS (SELECT g.*, st, la.t + to_seconds(CAST(20 * pow(2, n - 1) AS BIGINT)) AS r FROM g LEFT JOIN h USING (q)),
+    o AS (SELECT *, CASE WHEN st < la THEN 'stopped' WHEN n > 2 THEN 'exhausted' WHEN st.t < r THEN 'stopped' ELSE 'retry' END AS outcome FROM r)
+    SELECT q AS question_id, stage, n AS failures, outcome, CASE WHEN outcome = 'retry' THEN strftime(r, '%Y-%m-%d %H:%M:%S') END AS retry_at,
       CASE outcome WHEN 'stopped' THEN 'rate_limited: ' || stage || ' (retries stopped by the user)'
         WHEN 'exhausted' THEN 'rate_limited: ' || stage || ' (still rate limited after 2 retries: ' || err || ')' END AS label FROM o""",
 )
 def retry_plans(t: Tables) -> DataFrame:
-    """What follows a rate-limited call: another try at a time, or giving up."""
-    failures = batch(t).select(
+    """What follows a rate-limited call: another try at a time, or giving up; as a stream of three micro-batches."""
+    failures = in_batches(t).select(
         F.floor(F.col("event_id") / 7).alias("question_id"), F.col("event_type").alias("stage"),
         F.concat(F.lit("busy "), F.col("event_id").cast("string")).alias("error"), "ts", "seq", (F.col("event_id") % 11 == 0).alias("stop"),
     )
-    return live.retry_plan(failures, max_retries=2).withColumn("retry_at", F.date_format("retry_at", "yyyy-MM-dd HH:mm:ss"))
+    plans = live.retries_of(appended(live.retry_log(failures, max_retries=2)), max_retries=2)
+    return plans.withColumn("retry_at", F.date_format("retry_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def job_events(e: DataFrame) -> DataFrame:
@@ -152,9 +163,10 @@ js AS (SELECT job, arg_max(st, s) AS status, arg_max_null(err, s) FILTER (st <>
     f"WITH {JOBS} SELECT job AS job_id, status, error, strftime(created, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(finished, '%Y-%m-%d %H:%M:%S.%f') AS finished_at FROM js",
 )
 def job_states(t: Tables) -> DataFrame:
-    """The newest status of each job, its error and times."""
+    """The newest status of each job, its error and times, as a stream that frees the state of finished jobs."""
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
-    return live.job_status(job_events(batch(t))).select("job_id", "status", "error", shown("created_at"), shown("finished_at"))
+    log = appended(live.jobs_log(job_events(in_batches(t)), late="3650 days"))  # the batches are dealt at random: nothing is too late
+    return live.jobs_of(log).select("job_id", "status", "error", shown("created_at"), shown("finished_at"))
 
 
 @check(
@@ -168,14 +180,24 @@ def jobs_kept(t: Tables) -> DataFrame:
     return live.kept_jobs(batch(t).select(F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"), status.alias("status")))
 
 
-@check("event_type string, n bigint, low bigint", "SELECT event_type, count(*) AS n, min(event_id) AS low FROM events GROUP BY 1")
+@check(
+    "event_type string, n bigint, last bigint",
+    """WITH f AS (SELECT event_type, event_id, event_id % 3 = 2 AS late FROM events), d AS (SELECT event_type FROM f GROUP BY 1 HAVING event_type = 'click')
+    SELECT event_type, count(*) AS n, max(event_id) AS last FROM f WHERE NOT late OR event_type NOT IN (SELECT event_type FROM d) GROUP BY 1""",
+)
 def continued_load(t: Tables) -> DataFrame:
-    """A load that goes on where it stopped: a second call finds nothing new."""
+    """A load that goes on where it stopped: the second call loads new files, but nothing of a table that is done."""
     root = f"{shared_folder(t.spark)}/load-{uuid.uuid4().hex}"
-    for _ in range(2):
-        live.continue_load(stream(t).select("event_id", "event_type"), f"{root}/out", f"{root}/checkpoint")
-    loaded = t.spark.read.parquet(f"{root}/out")
-    return loaded.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("low"))
+    rows = t.events.select("event_id", "event_type")
+    late = F.col("event_id") % 3 == 2
+    new = lambda: t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    load = lambda: live.load_tables(new(), f"{root}/out", f"{root}/checkpoint", f"{root}/done", "event_type", "event_id")
+    rows.filter(~late).write.parquet(f"{root}/in")
+    first = load()
+    clicks = rows.filter(~late & (F.col("event_type") == "click")).groupBy("event_type").agg(F.count("*").alias("total"))
+    live.mark_done(first, clicks, f"{root}/done", "event_type")
+    rows.filter(late).write.mode("append").parquet(f"{root}/in")
+    return load().select("event_type", F.col("rows").alias("n"), "last")
 
 
 @check(
