@@ -68,6 +68,23 @@ def live_finished_cases(t: Tables) -> DataFrame:
     return appended(live.finished_cases(run_events(stream(t)))).select("run_id", "case_id")
 
 
+@check(
+    "run_id bigint, case_id bigint, seq bigint",
+    """SELECT user_id % 10 AS run_id, event_id % 700 AS case_id, CAST(first(event_id ORDER BY event_id % 2, ts, event_id) AS BIGINT) AS seq
+    FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""",
+)
+def cases_written_once(t: Tables) -> DataFrame:
+    """Finished cases over two calls of a load that keeps no keys: what the sink holds does not come again."""
+    root = f"{shared_folder(t.spark)}/once-{uuid.uuid4().hex}"
+    for call in (0, 1):
+        t.events.filter(F.col("event_id") % 2 == call).write.mode("append").parquet(f"{root}/in")
+        raw = t.spark.readStream.schema(t.events.schema).parquet(f"{root}/in")
+        events = run_events(raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.col("event_id")))
+        done = events.filter(F.col("event") == "case_done")
+        live.continue_load(live.not_written(done, ["run_id", "case_id"], f"{root}/out"), f"{root}/out", f"{root}/checkpoint")
+    return live.written_once(done, ["run_id", "case_id"], f"{root}/out").select("run_id", "case_id", "seq")
+
+
 @check(
     "run_id bigint, evaluator string, average double, evaluated bigint",
     """SELECT user_id % 10 AS run_id, event_type AS evaluator, coalesce(CAST(format('{:.4f}', avg(CASE WHEN event_id % 3 > 0 THEN (event_id % 2)::DOUBLE END)) AS DOUBLE), 0) AS average,

@@ -141,19 +141,20 @@ def listed_files(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- names and keys
 
-@check("source string, n bigint, distinct_fields bigint, first_ok boolean",
-       """SELECT source, count(*) AS n, count(*) AS distinct_fields, true AS first_ok FROM documents GROUP BY source""")
+@check(
+    "source string, doc_id bigint, field string",
+    """WITH RECURSIVE c AS (SELECT source, doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN lang || '_2' ELSE lang END AS clean, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+    r AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used FROM c
+      UNION ALL SELECT r.source, c.i, list_append(used, CASE WHEN NOT list_contains(used, clean) THEN clean
+        ELSE clean || '_' || list_filter(range(2, len(used) + 3), lambda n: NOT list_contains(used, clean || '_' || n))[1] END) FROM r JOIN c ON c.source = r.source AND c.i = r.i + 1)
+    SELECT c.source, c.doc_id, used[len(used)] AS field FROM r JOIN c ON c.source = r.source AND c.i = r.i""",
+)
 def unique_field_names(t: Tables) -> DataFrame:
     """Clean names made unique in the order the columns come."""
     k = F.col("doc_id") % 4
     name = F.when(k == 0, F.upper("lang")).when(k == 1, F.concat("lang", F.lit("_2"))).otherwise(F.concat("lang", F.lit(" !")))
-    named = t.documents.select("source", F.col("doc_id").alias("pos"), name.alias("name"))
-    fields = T.unique_names(named, ["source"], "pos", "name", "field")
-    first = F.min_by(F.struct("name", "field"), "pos")
-    return fields.groupBy("source").agg(
-        F.count("*").alias("n"), F.countDistinct("field").alias("distinct_fields"),
-        (F.regexp_replace(F.lower(first["name"]), " !", "") == first["field"]).alias("first_ok"),
-    )
+    named = t.documents.select("source", "doc_id", name.alias("name"))
+    return T.unique_names(named, ["source"], "doc_id", "name", "field")
 
 
 @check(
@@ -244,6 +245,17 @@ def rows_not_sent_yet(t: Tables) -> DataFrame:
     return B.pending_rows(rows, load_state(t), "event_type", "row_idx")
 
 
+@check(
+    "event_type string, event_id bigint, user_id bigint",
+    """WITH s AS (SELECT * FROM (VALUES ('click', 400, false), ('view', 10, true), ('error', NULL, false)) AS v(event_type, last, done))
+    SELECT event_type, event_id, user_id FROM events LEFT JOIN s USING (event_type) WHERE NOT coalesce(done, false) AND event_id > coalesce(last, -1)""",
+)
+def rows_behind_bound(t: Tables) -> DataFrame:
+    """A load that goes on behind the last row sent of each table, without numbering it again."""
+    state = t.spark.createDataFrame([("click", 400, False), ("view", 10, True), ("error", None, False)], "event_type string, last long, done boolean")
+    return B.rows_behind(t.events.select("event_type", "event_id", "user_id"), state, "event_type", "event_id")
+
+
 @check(
     "event_type string, total_rows bigint, pushed_rows bigint, done boolean",
     f"WITH {STATE} SELECT event_type, count(*) AS total_rows, any_value(coalesce(pushed, 0)) AS pushed_rows, bool_or(coalesce(done, false)) AS done FROM events LEFT JOIN s USING (event_type) GROUP BY 1",

@@ -14,6 +14,8 @@ MAX_BYTES = 8 * 1024 * 1024
 # Rows of a block, and blocks whose tables are put together in one step.
 BLOCK = 1 << 16
 FAN = 256
+# Bounds of a resumed load that become one filter.
+MAX_BOUNDS = 500
 
 
 def json_bytes(*columns: str) -> Column:
@@ -144,13 +146,13 @@ def sized_batches(df: DataFrame, keys: list[str], position: str, size: str, max_
     zero = F.lit(0).cast("long")
     begins = levels.pop().select(*keys, "_unit", zero.alias("entry"), zero.alias("before"))
     for level in reversed(levels):
-        upper = _same(level.withColumn("_over", F.floor(F.col("_unit") / fan)), begins.withColumnRenamed("_unit", "_over"), keys, "_over")
+        upper = joined_on(level.withColumn("_over", F.floor(F.col("_unit") / fan)), begins.withColumnRenamed("_unit", "_over"), keys, "_over")
         begins = cut(upper.groupBy(*keys, "_over").applyInPandas(handed_down, entries), "begins")
-    marked = _same(slim, begins, keys, "_unit").groupBy(*keys, "_unit").applyInPandas(numbered, of(("_at", long), ("batch", long)))
-    return _same(df.withColumn("_at", at), marked, keys, "_at").drop("_at")
+    marked = joined_on(slim, begins, keys, "_unit").groupBy(*keys, "_unit").applyInPandas(numbered, of(("_at", long), ("batch", long)))
+    return joined_on(df.withColumn("_at", at), marked, keys, "_at").drop("_at")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str], *more: str) -> DataFrame:
+def joined_on(left: DataFrame, right: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """Inner join on keys and more; equal nulls meet, as fields of a struct."""
     key = lambda df: F.struct(*[df[c] for c in [*keys, *more]])
     right = right.select(key(right).alias("_key"), *[c for c in right.columns if c not in (*keys, *more)])
@@ -169,6 +171,29 @@ def pending_rows(df: DataFrame, state: DataFrame, key: str, row_idx: str) -> Dat
     ).drop("_pushed", "_done")
 
 
+def rows_behind(df: DataFrame, state: DataFrame, key: str, order: str, most: int = MAX_BOUNDS) -> DataFrame:
+    """Rows not sent yet, by the last value of `order` that was sent of each table: no row is numbered again.
+
+    state: key, last, done; a table without state, or with a null last, is not sent at all. Values of order are unique and
+    sent in rising order. The bounds become a filter on the table's own columns, which reaches the scan, so that
+    files and row groups that were sent are not read. With more than `most` tables the bounds are joined, and only
+    the least of them reaches the scan.
+    """
+    bounds = state.select(key, "last", "done").limit(most + 1).collect()
+    if len(bounds) <= most:
+        after, known = F.lit(False), [r[key] for r in bounds if r[key] is not None]
+        for r in bounds:
+            if not r["done"]:
+                of = F.col(key).isNull() if r[key] is None else F.col(key) == F.lit(r[key])
+                after = after | (of & (F.lit(True) if r["last"] is None else F.col(order) > F.lit(r["last"])))
+        unknown = F.col(key).isNotNull() & ~F.col(key).isin(known) if known else F.col(key).isNotNull()
+        nameless = F.lit(False) if any(r[key] is None for r in bounds) else F.col(key).isNull()
+        return df.filter(after | unknown | nameless)
+    told = state.select(F.col(key).alias("_key"), F.col("last").alias("_last"), F.col("done").alias("_done"))
+    todo = df.join(told, df[key].eqNullSafe(F.col("_key")), "left")
+    return todo.filter(~F.coalesce("_done", F.lit(False)) & (F.col("_last").isNull() | (F.col(order) > F.col("_last")))).drop("_key", "_last", "_done")
+
+
 def load_progress(df: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Per table: total rows, rows sent, done."""
     totals = df.groupBy(key).agg(F.count("*").alias("total_rows"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrade.functions.names import clean_name
+from tallygrade.sources.batches import joined_on
 
 # Kinds a column can have and the types they are stored as.
 KINDS = {"bigint": "long", "double": "double", "binary": "binary", "text": "string"}
@@ -161,40 +162,34 @@ def list_files(spark: SparkSession, folder: str, extension: str = "parquet") ->
 def unique_names(names: DataFrame, keys: list[str], position: str, name: str, out: str) -> DataFrame:
     """Clean names made unique per key in the order they come: a_b, a_b_2, a_b_3.
 
-    names has one row per column of a table. Numbering the equal clean names can
-    hit a name that already ends in that number, so the numbers a later column may
-    take are settled over the table's short list of names.
+    names has one row per column of a table. Equal clean names are numbered by a window. Only where a clean
+    name already ends in a number can it meet the number of another one: names that differ by such ends are
+    settled together, in their order, each with the least number that is still free. Null names count as empty.
     """
-    listed = names.withColumn("_clean", clean_name(F.col(name)))
-    per_table = listed.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(position, "_clean"))).alias("_all")
-    )
-    taken = F.aggregate(
-        "_all",
-        F.expr("cast(array() as array<string>)"),
-        lambda used, x: F.concat(
-            used,
-            F.array(
-                F.when(~F.array_contains(used, x["_clean"]), x["_clean"]).otherwise(
-                    F.get(
-                        F.filter(
-                            F.transform(
-                                F.sequence(F.lit(2), F.size(used) + 2),
-                                lambda n: F.concat(x["_clean"], F.lit("_"), n.cast("string")),
-                            ),
-                            lambda option: ~F.array_contains(used, option),
-                        ),
-                        0,
-                    )
-                )
-            ),
-        ),
-    )
-    numbered = per_table.select(
-        *keys,
-        F.explode(F.arrays_zip(F.col("_all").alias("a"), taken.alias("n"))).alias("z"),
-    ).select(*keys, F.col(f"z.a.{position}").alias(position), F.col("z.n").alias(out))
-    return names.join(numbered, [*keys, position])
+    listed = names.withColumn("_clean", clean_name(F.coalesce(F.col(name), F.lit("")))).withColumn("_family", F.regexp_replace("_clean", "(_[0-9]+)+$", ""))
+    alike, family = Window.partitionBy(*keys, "_clean").orderBy(position), Window.partitionBy(*keys, "_family")
+    listed = listed.withColumn("_n", F.row_number().over(alike)).withColumn("_mixed", F.min("_clean").over(family) != F.max("_clean").over(family))
+    numbered = F.when(F.col("_n") == 1, F.col("_clean")).otherwise(F.concat("_clean", F.lit("_"), F.col("_n").cast("string")))
+    single = listed.filter("NOT _mixed").withColumn(out, numbered).select(*names.columns, out)
+
+    def settled(pdf):
+        used, after, taken = set(), {}, []
+        pdf = pdf.sort_values(position)
+        for clean in pdf["_clean"]:
+            unique = clean
+            if clean in used:
+                n = after.get(clean, 2)
+                while f"{clean}_{n}" in used:
+                    n += 1
+                after[clean], unique = n + 1, f"{clean}_{n}"
+            used.add(unique)
+            taken.append(unique)
+        return pdf.assign(**{out: taken})[[*keys, position, out]]
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in (listed.schema[c] for c in [*keys, position])]
+    mixed = listed.filter("_mixed")
+    found = mixed.select(*keys, position, "_clean", "_family").groupBy(*keys, "_family").applyInPandas(settled, f"{', '.join(fields)}, `{out}` string")
+    return single.unionByName(joined_on(mixed.select(*names.columns), found, keys, position))
 
 
 def renamed(df: DataFrame, new_names: dict[str, str]) -> DataFrame:

@@ -378,6 +378,26 @@ def continue_load(stream: DataFrame, target: str, checkpoint: str) -> StreamingQ
     return query
 
 
+def not_written(rows: DataFrame, keys: list[str], target: str) -> DataFrame:
+    """Rows of a stream whose keys a file sink does not hold yet; no keys are kept in state, and none is too late.
+
+    The sink is read when the call starts, so a key can be written again within one call: `written_once` reads
+    the sink with each key once. Null keys are one key.
+    """
+    spark = rows.sparkSession
+    if not _exists(spark, target):
+        return rows
+    known = spark.read.schema(rows.schema).parquet(target).select(F.struct(*keys).alias("_known")).distinct()
+    return rows.join(known, F.struct(*[rows[k] for k in keys]) == F.col("_known"), "left_anti")
+
+
+def written_once(rows: DataFrame, keys: list[str], target: str) -> DataFrame:
+    """The rows that a sink of `not_written` holds, each key once: the first by (ts, seq)."""
+    held = rows.sparkSession.read.schema(rows.schema).parquet(target)
+    whole = F.struct(*[F.col(c) for c in held.columns])
+    return held.groupBy(*keys).agg(F.min_by(whole, F.struct("ts", "seq")).alias("_row")).select("_row.*")
+
+
 def load_tables(stream: DataFrame, target: str, checkpoint: str, marks: str, key: str, order: str) -> DataFrame:
     """Load rows that came since the last call, of tables that are not done; (key, rows, last) of what is loaded by now.
 

@@ -2,6 +2,7 @@
 
 import json
 
+import itertools
 import random
 
 import pytest
@@ -224,3 +225,36 @@ def test_a_bad_row_ends_one_evaluator_only(spark):
     rows = both.run(cases).collect()
     assert {(r["evaluator"], r["case_id"]): r["score"] for r in rows} == {(e, i): s for e, s in (("strict", 0.0), ("calm", 1.0)) for i in (1, 2, 3)}
     assert all(("seven" in r["error"]) == (r["evaluator"] == "strict") for r in rows if r["error"]) and sum(r["error"] is not None for r in rows) == 3
+
+
+def test_unique_names_at_size(spark):
+    rnd, rows = random.Random(1), []
+    for t in ("a", "b", None):
+        rows += [(t, i, rnd.choice(["x", "x_2", "X 2", "x_2_2", "y", "", None, "x_3", "2"])) for i in range(400)]
+    used, want = {}, {}
+    for t, i, name in rows:
+        taken = used.setdefault(t, set())
+        base = {"X 2": "x_2", "": "column", None: "column", "2": "_2"}.get(name, name)
+        field = next(f for f in itertools.chain([base], (f"{base}_{n}" for n in itertools.count(2))) if f not in taken)
+        taken.add(field)
+        want[t, i] = field
+    got = tables.unique_names(spark.createDataFrame(rows, "t string, i int, c string").repartition(3), ["t"], "i", "c", "field").collect()
+    assert {(r.t, r.i): r.field for r in got} == want and len(got) == len(rows)
+    many = spark.range(100_000).select(F.lit("t").alias("t"), F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, "n_2").otherwise("n").alias("c"))
+    fields = tables.unique_names(many, ["t"], "i", "c", "field")
+    assert fields.select("field").distinct().count() == 100_000
+
+
+def test_rows_behind_a_bound(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(1000).select(F.when(F.col("id") % 5 == 4, None).otherwise(F.concat(F.lit("t"), (F.col("id") % 5).cast("string"))).alias("t"), "id")
+    df.repartitionByRange(10, "id").write.parquet(path)
+    stored = spark.read.parquet(path)
+    state = spark.createDataFrame([("t0", 900, False), ("t1", 5, True), ("t2", None, False), (None, 990, False)], "t string, last long, done boolean")
+    want = {(t, i) for t, i in map(tuple, df.collect()) if (t == "t0" and i > 900) or t in ("t2", "t3") or (t is None and i > 990)}
+    for most in (500, 2):
+        assert {tuple(r) for r in batches.rows_behind(stored, state, "t", "id", most).collect()} == want
+    one = spark.createDataFrame([("t0", 900, False)], "t string, last long, done boolean")
+    left = batches.rows_behind(stored.filter("t = 't0'"), one, "t", "id")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,900)" in plan[plan.index("PushedFilters"):]
