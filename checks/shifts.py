@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +62,30 @@ def money_columns(t: Tables) -> DataFrame:
     FROM orders, (SELECT unnest({list(S.OFFSETS)})::INT AS d) GROUP BY ALL""",
 )
 def query_over_offsets(t: Tables) -> DataFrame:
-    """One query text run over the tables at five offsets."""
+    """One query text over the tables at five offsets, in one scan."""
+    query = S.sql_query(t.spark, "SELECT offset_days, date_format(o_orderdate, 'yyyy-MM') AS month, count(*) AS n, round(sum(o_totalprice), 0) AS revenue FROM {orders} GROUP BY 1, 2")
+    return S.all_offsets({"orders": t.orders}, {"orders": {"o_orderdate": "timestamp"}}, query)
+
+
+@check(
+    "offset_days bigint, o_orderpriority string, n bigint, first string",
+    f"""SELECT d AS offset_days, o_orderpriority, count(*) AS n, strftime(min(o_orderdate + to_days(d)), '%Y-%m-%d') AS first
+    FROM orders, (SELECT unnest({list(S.OFFSETS)})::INT AS d) WHERE o_orderdate + to_days(d) BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-05-31' GROUP BY ALL""",
+)
+def quarter_over_offsets(t: Tables) -> DataFrame:
+    """A quarter's orders at five offsets: bounds moved back instead of the column, so that the scan can skip."""
+    query = lambda tables: tables["orders"].groupBy("offset_days", "o_orderpriority").agg(F.count("*").alias("n"), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first"))
+    quarter = (dt.datetime(1996, 3, 1), dt.datetime(1996, 5, 31))
+    return S.all_offsets({"orders": t.orders}, {"orders": {"o_orderdate": "timestamp"}}, query, bounds={"orders": {"o_orderdate": quarter}})
+
+
+@check(
+    "offset_days bigint, month string, n bigint, revenue double",
+    f"""SELECT d AS offset_days, strftime(o_orderdate + to_days(d), '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 0) AS revenue
+    FROM orders, (SELECT unnest({list(S.OFFSETS)})::INT AS d) GROUP BY ALL""",
+)
+def branch_per_offset(t: Tables) -> DataFrame:
+    """A query text that knows nothing of offsets, run once for each."""
     query = S.sql_query(t.spark, "SELECT date_format(o_orderdate, 'yyyy-MM') AS month, count(*) AS n, round(sum(o_totalprice), 0) AS revenue FROM {orders} GROUP BY 1")
     return S.over_offsets({"orders": t.orders}, {"orders": {"o_orderdate": "timestamp"}}, query)
 

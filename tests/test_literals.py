@@ -1,8 +1,8 @@
 """Literal cases of the graded behaviour, on tiny DataFrames."""
 
-import json
-
+import datetime as dt
 import itertools
+import json
 import random
 
 import pytest
@@ -258,3 +258,19 @@ def test_rows_behind_a_bound(spark, tmp_path):
     left = batches.rows_behind(stored.filter("t = 't0'"), one, "t", "id")
     plan = left._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,900)" in plan[plan.index("PushedFilters"):]
+
+
+def test_offsets_in_one_scan(spark, tmp_path):
+    path = str(tmp_path / "o")
+    spark.range(400).select("id", F.date_add(F.lit("2031-01-01").cast("date"), F.col("id").cast("int")).alias("day"), F.lit("2031-02-30").alias("words")).write.parquet(path)
+    df = spark.read.parquet(path)
+    bounds = {"day": (dt.date(2031, 3, 1), dt.date(2031, 3, 9))}
+    moved = shift.exploded(df, {"day": "date", "words": "varchar"}, (-7, 3, 0), bounds)
+    got = {(r.offset_days, r.id): (r.day, r.words) for r in moved.collect()}
+    days = {i: dt.date(2031, 1, 1) + dt.timedelta(days=i) for i in range(400)}
+    want = {(n, i): (d + dt.timedelta(days=n), "2031-02-30") for i, d in days.items() for n in (-7, 0, 3) if dt.date(2031, 3, 1) <= d + dt.timedelta(days=n) <= dt.date(2031, 3, 9)}
+    assert got == want
+    plan = shift.all_offsets({"o": df}, {"o": {"day": "date"}}, lambda t: t["o"].groupBy("offset_days").count(), bounds={"o": bounds})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(day,2031-03-02)" in pushed and "LessThanOrEqual(day,2031-05-08)" in pushed
