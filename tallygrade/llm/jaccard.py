@@ -21,6 +21,7 @@ nothing.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ HEAVY = 1 << 17
 #: Bytes of text in a slice, and words whose counts are reported together.
 SLICE, FLUSH = 4 << 20, 1 << 20
 BITS = 1024
+#: Numbers of 64 bits that the parity bits are folded to where groups are joined.
+FOLDS = 4
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def shingles_of(texts: pa.Array, words: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
@@ -144,7 +148,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefixes(documents: DataFrame, words: int, percent: int, tables: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Per document its set's size and marks, and the prefix: its rarest shingles, rarest first."""
+    """Per document its text's hash, its set's size and marks, and the prefix: its rarest shingles, rarest first."""
     shared = documents.sparkSession.sparkContext.broadcast(tables)  # 2 * HEAVY numbers each
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +179,7 @@ def prefixes(documents: DataFrame, words: int, percent: int, tables: list[tuple[
             yield pa.record_batch(
                 [
                     part.column("doc_id").cast(pa.int64()),
+                    part.column("t"),
                     pa.array(np.array([len(s) for s in sets], np.int64)),
                     pa.array(a),
                     pa.array(b),
@@ -182,11 +187,11 @@ def prefixes(documents: DataFrame, words: int, percent: int, tables: list[tuple[
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat))),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(parities(sets))),
                 ],
-                ["doc_id", "n", "a", "b", "g", "prefix", "bits"],
+                ["doc_id", "t", "n", "a", "b", "g", "prefix", "bits"],
             )
 
-    kinds = "doc_id long, n long, a long, b long, g long, prefix array<long>, bits array<long>"
-    return documents.select("doc_id", "text").mapInArrow(made, kinds)
+    kinds = "doc_id long, t long, n long, a long, b long, g long, prefix array<long>, bits array<long>"
+    return documents.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(made, kinds)
 
 
 def whole_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -248,14 +253,16 @@ def _largest(percent: int) -> Column:
     return F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent).cast("long") - F.col("n")
 
 
-def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of documents (doc_id, text).
+def _folded() -> list[Column]:
+    """The parity bits of a set folded to FOLDS numbers: the same test with fewer slots."""
+    words = [F.col("bits")[i] for i in range(BITS // 64)]
+    return [reduce(Column.bitwiseXOR, words[i::FOLDS]) for i in range(FOLDS)]
 
-    Two texts link when 100 * common >= percent * all of their distinct shingles of
-    `words` words; component_id is the least doc_id reachable, itself included.
-    Null and empty texts have no shingles and stand alone. Rows whose doc_id is null
-    come back with a null component and link with nothing. Repeated rows are copies
-    of each other and each come back. Columns besides doc_id and text are not read.
+
+def labelled(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, t, n, c) for every row of documents (doc_id, text): its text's hash, its number of shingles, its component.
+
+    c is the mark of one of the component's sets; null where a row links with nothing: without shingles or doc_id. See `jaccard_components`.
     """
     documents = documents.select("doc_id", "text")
     docs = cut(prefixes(documents, words, percent, frequent(documents, words)), "prefixes")
@@ -264,8 +271,8 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     units = cut(alike.drop("b"), "units")
 
     # the index: tokens that two groups share, and one row for each group of several units
-    groups = usable.groupBy("n", "g").agg(F.min("a").alias("gid"), F.max("a").alias("last"), F.any_value("prefix").alias("prefix"))
-    groups = cut(groups, "groups")
+    groups = usable.groupBy("n", "g").agg(F.min("a").alias("gid"), F.max("a").alias("last"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
+    groups = cut(groups.select("n", "g", "gid", "last", "prefix", *[F.when(F.col("gid") == F.col("last"), folded).alias(f"f{i}") for i, folded in enumerate(_folded())]), "groups")
     tokens = groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     index = tokens.join(shared, "token").select("token", "gid", "n", "pos")
@@ -294,6 +301,9 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     per = rows.groupBy("token", "band", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("largest").alias("largest"))
     mixed_tokens = per.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
     per = cut(per.join(mixed_tokens, "token", "left_semi"), "mixed")
+    folds = [f"f{i}" for i in range(FOLDS)]
+    rows = rows.join(per.select("token").distinct(), "token", "left_semi").join(groups.select("gid", *folds), "gid")
+    rows = cut(rows, "mixed-rows")
     ahead = per.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("band").alias("bx"), F.col("comp").alias("cx"), F.col("lo").alias("lox"), F.col("hi").alias("hix"), F.col("largest").alias("largestx"))
     pairs = ahead.join(per.withColumnRenamed("comp", "cy"), ["token", "band"]).where(
         (F.col("cx") != F.col("cy"))
@@ -304,10 +314,14 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
         & (F.col("largest") >= F.col("lox"))
     )
     pairs = pairs.select("token", "bx", "cx", F.col("band").alias("by"), "cy")
-    left = rows.select("token", F.col("band").alias("bx"), F.col("comp").alias("cx"), F.col("gid").alias("gx"), F.col("n").alias("nx"), F.col("largest").alias("lx"))
-    right = rows.select("token", F.col("band").alias("by"), F.col("comp").alias("cy"), F.col("gid").alias("gy"), F.col("n").alias("ny"), F.col("largest").alias("ly"))
+    left = rows.select("token", F.col("band").alias("bx"), F.col("comp").alias("cx"), F.col("gid").alias("gx"), F.col("n").alias("nx"), F.col("largest").alias("lx"), *[F.col(f).alias(f"x{f}") for f in folds])
+    right = rows.select("token", F.col("band").alias("by"), F.col("comp").alias("cy"), F.col("gid").alias("gy"), F.col("n").alias("ny"), F.col("largest").alias("ly"), *[F.col(f).alias(f"y{f}") for f in folds])
+    # Groups of one set are tested by their folded bits in the join itself; those of several go on to their members' bits.
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x{f}").bitwiseXOR(F.col(f"y{f}"))) for f in folds])
+    both = F.col("nx") + F.col("ny")
+    alike = F.coalesce((100 + percent) * (both - differ) >= 2 * percent * both, F.lit(True))
     tried = pairs.join(left, ["token", "bx", "cx"]).join(right, ["token", "by", "cy"])
-    tried = tried.where(_sizes_fit("nx", "ny", percent) & (F.col("lx") >= F.col("ny")) & (F.col("ly") >= F.col("nx")))
+    tried = tried.where(_sizes_fit("nx", "ny", percent) & (F.col("lx") >= F.col("ny")) & (F.col("ly") >= F.col("nx")) & alike)
     tried = tried.select("gx", "cx", "gy", "cy").distinct()
     tried = tried.join(placed.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("u").alias("x")), ["gx", "cx"])
     tried = tried.join(placed.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("u").alias("y")), ["gy", "cy"])
@@ -318,19 +332,44 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80)
     label = units.select("u", "doc").join(first.withColumnRenamed("node", "u"), "u", "left")
     label = label.select("u", "doc", F.coalesce("component", "u").alias("c1"))
     label = label.join(second.withColumnRenamed("node", "c1"), "c1", "left").select("u", "doc", F.coalesce("component", "c1").alias("c"))
-    least = label.groupBy("c").agg(F.min("doc").alias("component"))
-    label = label.join(least, "c").select(F.col("u").alias("a"), "component")
-    alike = usable.select("doc_id", "n", "a").join(label, "a")
-    rest = docs.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
-    return alike.select("doc_id", "n", "component").unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    label = label.select(F.col("u").alias("a"), "c")
+    alike = usable.select("doc_id", "t", "n", "a").join(label, "a").select("doc_id", "t", "n", "c")
+    rest = docs.where("doc_id is null or n = 0").select("doc_id", "t", "n", F.lit(None).cast("long").alias("c"))
+    return cut(alike.unionByName(rest), "labelled")
+
+
+def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of documents (doc_id, text).
+
+    Two texts link when 100 * common >= percent * all of their distinct shingles of
+    `words` words; component_id is the least doc_id reachable, itself included.
+    Null and empty texts have no shingles and stand alone. Rows whose doc_id is null
+    come back with a null component and link with nothing. Repeated rows are copies
+    of each other and each come back. Columns besides doc_id and text are not read.
+    """
+    rows = labelled(documents, words, percent)
+    least = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component"))
+    found = rows.join(least, "c", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of each component the row with the least doc_id.
 
-    Rows with a null doc_id stay, as do empty texts. Of several rows with one doc_id
-    that is kept, one stays.
+    Rows with one doc_id and different texts are different documents; of rows with equal doc_id and text one stays.
+    Empty texts stay. Rows with a null doc_id are compared by their whole text alone: one stays of each text
+    that no row with a doc_id has. All columns come back, whatever their names; an empty table gives an empty table.
     """
-    kept = jaccard_components(documents, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    stay = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(documents.where("doc_id is null"))
+    text = F.xxhash64("text")
+    rows = labelled(documents, words, percent)
+    named = rows.where("doc_id is not null")
+    kept = named.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("k")).select("k.doc_id", "k.t")
+    kept = kept.unionByName(named.where("c is null").select("doc_id", "t").distinct())
+    kept = kept.select(F.struct("doc_id", "t").alias("_stays"))
+    given = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
+    stay = documents.select(given, key.alias("_key")).join(kept, F.col("_key") == F.col("_stays"), "left_semi").dropDuplicates(["_key"])
+    nameless = documents.where("doc_id is null").select(given, text.alias("t"), F.coalesce(F.trim("text", F.lit(SPACE)), F.lit("")).alias("words"))
+    again = named.where("n > 0").select("t").distinct()
+    single = nameless.where("words <> ''").join(again, "t", "left_anti").dropDuplicates(["t"])
+    return stay.select("_row.*").unionByName(nameless.where("words = ''").select("_row.*")).unionByName(single.select("_row.*"))

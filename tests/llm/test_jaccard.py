@@ -68,7 +68,31 @@ def test_odd_rows(spark):
     ]
     kept = one_of_each(spark.createDataFrame(rows, KINDS).withColumn("n", F.lit(1)), 3, 90)
     assert kept.columns == ["doc_id", "text", "source", "n"]
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [1, 4, 5, 6]
+
+
+def test_one_doc_id_with_different_texts(spark):
+    a, b, c = "one two three four five", "six seven eight nine ten", "ten nine eight seven six"
+    kinds = "doc_id long, text string, t string, c string, _key string, k string"
+    rows = [(7, a), (7, b), (9, a), (9, a), (None, c), (None, c), (None, b), (None, ""), (None, None), (3, None), (3, None), (3, "")]
+    rows += [(20 + i, a) for i in range(40)]
+    table = spark.createDataFrame([(*r, "t", "c", "y", "k") for r in rows], kinds)
+    kept = one_of_each(table, 3, 90)
+    assert kept.columns == table.columns and {tuple(r[2:]) for r in kept.collect()} == {("t", "c", "y", "k")}
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted([(7, a), (7, b), (None, c), (None, ""), (None, None), (3, None), (3, "")], key=repr)
+    assert one_of_each(table.where("false"), 3, 90).collect() == []
+
+
+def test_a_large_group_of_near_copies(spark):
+    """A common passage in all texts, each with a few words of its own: no token holds pairs of its own group."""
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(400)]
+    passage = [rng.choice(words) for _ in range(60)]
+    rows = [(i, " ".join([*passage[: 50 + i % 3], f"own{i}"]), "s") for i in range(3000)]
+    rows += [(5000 + i, " ".join([*passage[:20], *[rng.choice(words) for _ in range(40)]]), "s") for i in range(300)]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, KINDS), 3, 90).collect()}
+    assert {got[i] for i in range(3000)} == {0}
+    assert all(got[5000 + i] == 5000 + i for i in range(300))
 
 
 def test_empty(spark):
