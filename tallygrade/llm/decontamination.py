@@ -145,4 +145,5 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, size: int =
     """The documents in which no window of the benchmark occurs; those with a null doc_id are judged by their text too."""
     marked = contamination(documents.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, size)
     bad = marked.where("contaminated").select(F.col("doc_id").alias("k_")).distinct()
-    return documents.withColumn("k_", F.xxhash64("text")).join(bad, "k_", "left_anti").select(*documents.columns)
+    given = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row_"), F.xxhash64("text").alias("k_"))
+    return given.join(bad, "k_", "left_anti").select("row_.*")  # the caller's columns are fields of one, so that none can clash

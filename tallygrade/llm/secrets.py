@@ -157,13 +157,14 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("k", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     per = runs.groupBy(F.col("k").alias("k_")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs_"))
-    text, runs_ = F.col("text"), F.col("runs_")
+    text, runs_ = F.col("row_.text"), F.col("runs_")
     last = lambda i: F.coalesce(F.get(runs_, i - 1)["stop"], F.lit(0))
     pieces = F.transform(runs_, lambda r, i: F.concat(F.substring(text, last(i) + 1, r["start"] - last(i)), F.lit(mark)))
     rest = F.substring(text, last(F.size(runs_)) + 1, F.char_length(text))
-    docs = documents.withColumn("k_", F.xxhash64("text")).join(per, "k_", "left")
-    docs = docs.withColumn("text", F.when(runs_.isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest)))
+    # The caller's columns are fields of one, so that none can clash with those of the search.
+    docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row_"), F.xxhash64("text").alias("k_")).join(per, "k_", "left")
+    new = F.when(runs_.isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    out = {c: F.col(f"row_.`{c}`") for c in documents.columns} | {"text": new}
     if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        docs = docs.withColumn("n_chars", F.when(runs_.isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
-    return docs.select(*documents.columns)
+        out["n_chars"] = F.when(runs_.isNull(), out["n_chars"]).otherwise(F.char_length(new)).cast(documents.schema["n_chars"].dataType)
+    return docs.select(*[c.alias(name) for name, c in out.items()])

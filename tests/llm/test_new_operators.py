@@ -260,3 +260,19 @@ def test_runs(spark, odd, odd_texts):
 
 def test_no_words(spark, none):
     assert spelling.spelling_groups(spelling.damaged_runs(none)).collect() == []
+
+
+# columns of callers that are named like those of an operator
+
+
+def test_callers_columns_stay(spark):
+    from tallygrade.llm import decontamination, secrets
+
+    kinds = "doc_id long, text string, n_chars int, k_ string, runs_ string, row_ string, k string, start string"
+    secret = "password = abcDEF123456789xyz"
+    rows = [(1, f"see {secret} here", 99, "a", "b", "c", "d", "e"), (2, None, None, "a", "b", "c", "d", "e"), (3, "plain words", 11, "a", "b", "c", "d", "e")]
+    table = spark.createDataFrame(rows, kinds)
+    got = {r.doc_id: tuple(r) for r in secrets.redacted(table).collect()}
+    assert got[1] == (1, "see [SECRET] here", 17, *rows[0][3:]) and got[2] == rows[1] and got[3] == rows[2]
+    benchmark = spark.createDataFrame([(1, "plain words"), (2, None)], "item_id long, text string")
+    assert key(decontamination.without_contaminated(table, benchmark).collect()) == key(rows[:2])
