@@ -436,6 +436,17 @@ def compare_in_order(t: Tables) -> DataFrame:
     return compare(*ordered_inputs(t), allow_extra=False)
 
 
+@check(
+    "case_id bigint, matched boolean, order_matched boolean, reason string",
+    f"WITH {ORDERED} SELECT c AS case_id, true AS matched, same AS order_matched, CASE WHEN NOT same THEN 'row_order_mismatch' END AS reason FROM strict",
+)
+def grading_list(t: Tables) -> DataFrame:
+    """List grading: the same rows in the same order, whatever a case says about its order."""
+    cases, rows = ordered_inputs(t)
+    cases = cases.drop("order_keys").withColumn("grading", parse_grading(F.lit(" List ")))
+    return compare(cases, rows, allow_extra=False, modes=("list",))
+
+
 @check("case_id bigint, equal boolean", f"WITH {ORDERED} SELECT c AS case_id, same AS equal FROM strict")
 def rows_equal_by_position(t: Tables) -> DataFrame:
     """Rows equal position by position."""
@@ -540,7 +551,7 @@ def candidate_columns(t: Tables) -> DataFrame:
 
 @check(
     "case_id bigint, col bigint, candidates bigint, place bigint",
-    f"""WITH {GRADED}, i AS (SELECT c, el, gl, gc, unnest([1, 2, 3]) AS i FROM pairs WHERE ng > 0),
+    f"""WITH {GRADED}, i AS (SELECT c, el, gl, gc, unnest([1, 2, 3]) AS i FROM pairs),
     n AS (SELECT c, i - 1 AS col, len(list_filter(range(1, gc + 1), lambda j: list_sort([x[j] FOR x IN gl]) = list_sort([x[i] FOR x IN el]))) AS candidates FROM i)
     SELECT c AS case_id, col, candidates, row_number() OVER (PARTITION BY c ORDER BY candidates, col) - 1 AS place FROM n""",
 )
@@ -548,7 +559,7 @@ def search_order(t: Tables) -> DataFrame:
     """Columns in the order a search takes them: fewest candidates first."""
     from tallygrade.operators.mapping import options_of
 
-    classes = value_classes(fingerprints(graded(t)[1].filter(F.col("case_id") % 9 != 7)))
+    classes = value_classes(fingerprints(graded(t)[1]))
     return classes.select("case_id", F.posexplode(options_of(F.col("classes"))).alias("place", "o")).select(
         "case_id", "o.col", F.size("o.options").alias("candidates"), "place"
     )
@@ -558,21 +569,21 @@ def search_order(t: Tables) -> DataFrame:
 
 @check(
     "case_id bigint, equal boolean",
-    f"WITH {GRADED} SELECT c AS case_id, list_sort(el) = list_sort(gl) AS equal FROM pairs WHERE gc = 3",
+    f"WITH {GRADED} SELECT c AS case_id, list_sort(el) = list_sort(gl) AS equal FROM pairs",
 )
 def bags_equal(t: Tables) -> DataFrame:
     """Rows equal as bags, columns as they stand."""
-    rows = graded(t)[1].filter(~(F.col("case_id") % 9).isin(4, 6))
+    rows = graded(t)[1]
     return bags.bag_equal(rows, ["vals"])
 
 
 @check(
     "case_id bigint, equal boolean",
-    f"WITH {GRADED} SELECT c AS case_id, list_sort(list_distinct(el)) = list_sort(list_distinct(gl)) AS equal FROM pairs WHERE gc = 3",
+    f"WITH {GRADED} SELECT c AS case_id, list_sort(list_distinct(el)) = list_sort(list_distinct(gl)) AS equal FROM pairs",
 )
 def sets_equal(t: Tables) -> DataFrame:
     """Distinct rows equal, columns as they stand."""
-    rows = graded(t)[1].filter(~(F.col("case_id") % 9).isin(4, 6))
+    rows = graded(t)[1]
     return bags.set_equal(rows, ["vals"])
 
 
@@ -633,6 +644,23 @@ def gold_on_two_engines(t: Tables) -> DataFrame:
     return verification_tally(gold(t))
 
 
+@check(
+    "case_id bigint, db string, reason string",
+    f"""WITH {GRADED}, b AS (SELECT *, c % 3 = 1 AS as_set, list_distinct(el) AS ed, list_distinct(gl) AS gd FROM pairs WHERE eok)
+    SELECT c AS case_id, 'db' || (c % 5) AS db, CASE WHEN NOT gok THEN 'error'
+      WHEN gc = 3 AND NOT ecut AND NOT gcut AND CASE WHEN as_set THEN {assignments(3, 3, 'ed', 'gd')} ELSE ne = ng AND {assignments(3, 3, 'el', 'gl')} END THEN NULL
+      ELSE 'different result' END AS reason FROM b""",
+)
+def gold_by_own_grading(t: Tables) -> DataFrame:
+    """Gold answers on a second engine, each question compared by its own grading."""
+    from tallygrade.plans.gold import gold_checks
+
+    cases, rows = graded(t)
+    cases = cases.filter("expected.ok").withColumn("db", F.concat(F.lit("db"), (F.col("case_id") % 5).cast("string")))
+    cases = cases.withColumn("grading", parse_grading(F.when(F.col("case_id") % 3 == 1, "set")))
+    return gold_checks(cases, compare(cases, rows, allow_extra=False, modes=("default", "set")))
+
+
 @check("case_id bigint, db string, reason string", f"{GOLD} SELECT c AS case_id, db, why AS reason FROM s WHERE why IS NOT NULL")
 def gold_that_changed(t: Tables) -> DataFrame:
     """The gold answers that do not stay the same, with the reason."""

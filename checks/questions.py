@@ -155,15 +155,15 @@ KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 @check(
     "db_id string, split string, question_id bigint, gold_sql string, original_sql string, gold_source string",
     f"""WITH v AS (SELECT lang AS db_id, {KEY.format('text')} AS key, arg_max(doc_id, doc_id) AS id FROM documents GROUP BY ALL),
-    tr AS (SELECT lang AS db_id, {KEY.format("replace(text, ' ', '  -')")} AS key, 'split' || doc_id % 3 AS split, doc_id FROM documents WHERE doc_id % 2 = 0),
-    j AS (SELECT tr.db_id, split, id, doc_id, doc_id = id OR doc_id % 4 = 0 AND id % 2 = 9 AS same FROM tr JOIN v USING (db_id, key))
+    tr AS (SELECT lang AS db_id, {KEY.format("replace(text, ' ', '  -')")} AS key, 'split' || doc_id % 3 AS split, doc_id FROM documents),
+    j AS (SELECT tr.db_id, split, id, doc_id, doc_id = id AS same FROM tr JOIN v USING (db_id, key))
     SELECT db_id, split, id AS question_id, CASE WHEN same THEN 'select "a' || doc_id || '"  from T;' ELSE 'SELECT a' || id || ' FROM t' END AS gold_sql,
       CASE WHEN NOT same THEN 'select "a' || doc_id || '"  from T;' END AS original_sql, CASE WHEN same THEN 'bundle' ELSE 'bird_verified' END AS gold_source FROM j""",
 )
 def questions_matched(t: Tables) -> DataFrame:
     """Translated questions joined to the verified ones by their words; differing gold SQL is replaced."""
     n = F.col("doc_id").cast("string")
-    translated = t.documents.filter("doc_id % 2 = 0").select(
+    translated = t.documents.select(
         F.col("lang").alias("db_id"), F.replace("text", F.lit(" "), F.lit("  -")).alias("question"), F.concat(F.lit('select "a'), n, F.lit('"  from T;')).alias("sql"),
         F.concat(F.lit("split"), (F.col("doc_id") % 3).cast("string")).alias("split"),
     )
@@ -174,6 +174,17 @@ def questions_matched(t: Tables) -> DataFrame:
     return Q.match_questions(translated, verified, "doc_id")
 
 
+@check(
+    "gold_source string, n bigint",
+    f"""WITH v AS (SELECT lang AS db_id, {KEY.format('text')} AS key, max(doc_id) AS id FROM documents GROUP BY ALL)
+    SELECT CASE WHEN doc_id = id THEN 'bundle' ELSE 'bird_verified' END AS gold_source, count(*) AS n
+    FROM documents d JOIN v ON d.lang = v.db_id AND {KEY.format("d.text")} = v.key GROUP BY 1""",
+)
+def gold_source_tally(t: Tables) -> DataFrame:
+    """How many questions keep their own gold SQL, and how many take the verified one."""
+    return sinks.status_counts(questions_matched(t), F.col("gold_source")).withColumnRenamed("status", "gold_source")
+
+
 @check(
     "user_id bigint, event_type string, value double",
     "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1",
