@@ -51,6 +51,7 @@ def retry_delay(retry: Column, base_seconds: float = 20.0) -> Column:
 
 def rate_limit_label(stage: Column, outcome: Column, error: Column, max_retries: int = 3) -> Column:
     """Error label of a question that gave up: stopped by the user, or out of retries."""
+    # The words of both labels, and 200 characters of the error.
     return F.when(
         outcome == "stopped",
         F.concat(F.lit("rate_limited: "), stage, F.lit(" (retries stopped by the user)")),

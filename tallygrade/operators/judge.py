@@ -13,20 +13,6 @@ SHOWN_ROWS = 50
 CELL_CHARS = 80
 FAILURE_CHARS = 1500
 MIN_CONFIDENCE = 80
-# The variables of the judge's prompt.
-PROMPT_FIELDS = (
-    "user_question",
-    "expected_result_formatted",
-    "expected_shape",
-    "expected_row_count",
-    "expected_key_characteristic",
-    "generated_result_formatted",
-    "generated_shape",
-    "generated_row_count",
-    "generated_key_characteristic",
-    "automated_failure_reason",
-    "failure_analysis",
-)
 
 
 def shown_cell(value: Column) -> Column:

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches on one machine; clusters bring their own."""
     return (
@@ -34,9 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tallygrade-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # The setting cannot be changed in a running session, so the folder of a local one is kept here.
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL:
+        _LOCAL[name] = tempfile.mkdtemp(prefix="tallygrade-")
+    return _LOCAL[name]
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

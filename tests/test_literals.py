@@ -274,3 +274,13 @@ def test_offsets_in_one_scan(spark, tmp_path):
     assert plan.count("FileScan") == 1
     pushed = plan[plan.index("PushedFilters"):]
     assert "GreaterThanOrEqual(day,2031-03-02)" in pushed and "LessThanOrEqual(day,2031-05-08)" in pushed
+
+
+def test_shared_folder_without_the_setting(spark, monkeypatch):
+    from tallygrade import session
+
+    class Bare:
+        sparkContext, conf = spark.sparkContext, type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+
+    folder = session.shared_folder(Bare)
+    assert folder == session.shared_folder(Bare) and spark.range(3).write.parquet(f"{folder}/t") is None
