@@ -244,6 +244,13 @@ def _sizes_fit(x: str, y: str, percent: int) -> Column:
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
+def _alike(x: str, y: str, percent: int) -> Column:
+    """False where the folded bits of two sets of sizes x and y rule them out; sets without them go on to their members' bits."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"f{i}x").bitwiseXOR(F.col(f"f{i}y"))) for i in range(FOLDS)])
+    both = F.col(x) + F.col(y)
+    return F.coalesce((100 + percent) * (both - differ) >= 2 * percent * both, F.lit(True))
+
+
 def _largest(percent: int) -> Column:
     """How large the other set may be for a pair to have its first common token at this place.
 
@@ -297,31 +304,41 @@ def labelled(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     # second pass: pairs of different components
     placed = members.join(first.withColumnRenamed("node", "u"), "u", "left").select("gid", "u", F.coalesce("component", "u").alias("comp"))
     placed = cut(placed, "placed")
-    rows = index.join(placed.select("gid", "comp").distinct(), "gid")
-    per = rows.groupBy("token", "band", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("largest").alias("largest"))
-    mixed_tokens = per.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
-    per = cut(per.join(mixed_tokens, "token", "left_semi"), "mixed")
     folds = [f"f{i}" for i in range(FOLDS)]
-    rows = rows.join(per.select("token").distinct(), "token", "left_semi").join(groups.select("gid", *folds), "gid")
-    rows = cut(rows, "mixed-rows")
-    ahead = per.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("band").alias("bx"), F.col("comp").alias("cx"), F.col("lo").alias("lox"), F.col("hi").alias("hix"), F.col("largest").alias("largestx"))
-    pairs = ahead.join(per.withColumnRenamed("comp", "cy"), ["token", "band"]).where(
+    rows = index.join(placed.select("gid", "comp").distinct(), "gid")
+    mixed_tokens = rows.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
+    rows = rows.join(mixed_tokens, "token", "left_semi").join(groups.select("gid", *folds), "gid")
+    rows = cut(rows, "mixed")
+    # Where a component has one group with a token, and that is one set, its folded bits stand for it.
+    alone = lambda f: F.when(F.count("*") == 1, F.any_value(f)).alias(f)
+    per = rows.groupBy("token", "band", "comp").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("largest").alias("largest"), F.count("*").alias("k"), *[alone(f) for f in folds]
+    )
+    per = cut(per, "per")
+    side = lambda df, end: df.select(
+        "token", F.col("band").alias(f"b{end}"), F.col("comp").alias(f"c{end}"), *[F.col(c).alias(f"{c}{end}") for c in ("lo", "hi", "largest", "k", *folds)]
+    )
+    ahead = side(per, "x").withColumn("band", F.explode(F.array("bx", F.col("bx") + 1)))
+    behind = side(per, "y").withColumn("band", F.col("by"))
+    pairs = ahead.join(behind, ["token", "band"]).where(
         (F.col("cx") != F.col("cy"))
-        & ((F.col("bx") < F.col("band")) | (F.col("cx") < F.col("cy")))
-        & (100 * F.col("hix") >= percent * F.col("lo"))
-        & (100 * F.col("hi") >= percent * F.col("lox"))
-        & (F.col("largestx") >= F.col("lo"))
-        & (F.col("largest") >= F.col("lox"))
+        & ((F.col("bx") < F.col("by")) | (F.col("cx") < F.col("cy")))
+        & (100 * F.col("hix") >= percent * F.col("loy"))
+        & (100 * F.col("hiy") >= percent * F.col("lox"))
+        & (F.col("largestx") >= F.col("loy"))
+        & (F.col("largesty") >= F.col("lox"))
+        & _alike("lox", "loy", percent)
     )
-    pairs = pairs.select("token", "bx", "cx", F.col("band").alias("by"), "cy")
-    left = rows.select("token", F.col("band").alias("bx"), F.col("comp").alias("cx"), F.col("gid").alias("gx"), F.col("n").alias("nx"), F.col("largest").alias("lx"), *[F.col(f).alias(f"x{f}") for f in folds])
-    right = rows.select("token", F.col("band").alias("by"), F.col("comp").alias("cy"), F.col("gid").alias("gy"), F.col("n").alias("ny"), F.col("largest").alias("ly"), *[F.col(f).alias(f"y{f}") for f in folds])
-    # Groups of one set are tested by their folded bits in the join itself; those of several go on to their members' bits.
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x{f}").bitwiseXOR(F.col(f"y{f}"))) for f in folds])
-    both = F.col("nx") + F.col("ny")
-    alike = F.coalesce((100 + percent) * (both - differ) >= 2 * percent * both, F.lit(True))
-    tried = pairs.join(left, ["token", "bx", "cx"]).join(right, ["token", "by", "cy"])
-    tried = tried.where(_sizes_fit("nx", "ny", percent) & (F.col("lx") >= F.col("ny")) & (F.col("ly") >= F.col("nx")) & alike)
+    # The side with fewer groups comes first: what is between the two joins grows with the pairs of components alone.
+    turned = F.col("kx") > F.col("ky")
+    ends = [F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("bx", "by"), ("cx", "cy"), ("by", "bx"), ("cy", "cx"))]
+    pairs = pairs.select("token", *ends)
+    whole = lambda end: rows.select(
+        "token", F.col("band").alias(f"b{end}"), F.col("comp").alias(f"c{end}"), F.col("gid").alias(f"g{end}"), F.col("n").alias(f"n{end}"), F.col("largest").alias(f"l{end}"),
+        *[F.col(f).alias(f"{f}{end}") for f in folds],
+    )
+    tried = pairs.join(whole("x"), ["token", "bx", "cx"]).join(whole("y"), ["token", "by", "cy"])
+    tried = tried.where(_sizes_fit("nx", "ny", percent) & (F.col("lx") >= F.col("ny")) & (F.col("ly") >= F.col("nx")) & _alike("nx", "ny", percent))
     tried = tried.select("gx", "cx", "gy", "cy").distinct()
     tried = tried.join(placed.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("u").alias("x")), ["gx", "cx"])
     tried = tried.join(placed.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("u").alias("y")), ["gy", "cy"])
