@@ -20,8 +20,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 DROPPED = frozenset(
-    "script style noscript template iframe object embed applet canvas svg math head title nav aside footer form button select textarea"
-    " input label menu dialog search audio video map datalist noembed noframes".split()
+    "script style noscript template iframe object embed applet canvas svg head title nav aside footer form button select textarea"
+    " input menu dialog search audio video map datalist noembed noframes".split()
 )
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = frozenset(
@@ -29,6 +29,15 @@ MARKS = frozenset(
     " footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo"
     " related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Parts of a name that say nothing of what a block holds: the part before them does.
+TAILS = frozenset(
+    "area author bar body bottom box button buttons col column container content group holder icon icons inner item items left link links list meta outer panel"
+    " post posts right row section slot text thread top unit wrap wrapper".split()
+)
+#: Parts that say what a block is beside, not what it is; and those whose header is the article's own.
+BESIDE = frozenset("has is layout no not with without".split())
+OWN = frozenset("article content entry post section story".split())
+
 #: What an open element of the key is ended by, besides its own end.
 ENDED_BY = {
     "p": BLOCKS - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "title"},
@@ -46,15 +55,35 @@ _NAME_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 class Node:
     """A block element: its inner texts and blocks in page order, and its counts."""
 
-    __slots__ = ("chars", "density", "drop", "inner", "link_chars", "link_tags", "name", "parent", "tags")
+    __slots__ = ("chars", "density", "drop", "held", "inner", "link_chars", "link_tags", "name", "parent", "tags")
 
     def __init__(self, name: str, parent: Node | None, drop: bool) -> None:
         self.name, self.parent, self.drop = name, parent, drop
+        self.held = _held(parent)
         self.inner: list = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = 0.0
 
 
+def _held(parent: Node | None) -> int:
+    """What is around a node: 2 an article, 1 no article but the main part, 0 neither."""
+    if parent is None:
+        return 0
+    return max(parent.held, 2 if parent.name == "article" else 1 if parent.name == "main" else 0)
+
+
+def _marked(token: str) -> str:
+    """The mark that a class or id holds, or nothing: its last part that is no mere tail."""
+    parts = [p for p in _NAME_PARTS.split(token) if p and not p.isdigit()]
+    if not parts or parts[0] in BESIDE:
+        return ""
+    while len(parts) > 1 and parts[-1] in TAILS and parts[-1] not in MARKS:
+        parts.pop()
+    if parts[-1] not in MARKS or (parts[-1] == "header" and parts[0] in OWN):
+        return ""
+    return parts[-1]
+
+
 def _dropped(name: str, attributes: str) -> bool:
     if name in DROPPED:
         return True
@@ -64,19 +93,23 @@ def _dropped(name: str, attributes: str) -> bool:
     style = found.get("style", "").replace(" ", "").lower()
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or found.get("role", "").lower() in ROLES:
         return True
-    named = _NAME_PARTS.split(f"{found.get('class', '')} {found.get('id', '')}".lower())
-    return not MARKS.isdisjoint(named)
+    return any(map(_marked, f"{found.get('class', '')} {found.get('id', '')}".lower().split()))
 
 
 def parsed(page: str) -> Node:
     """The tree of block elements; inline elements only leave their text, links their share of it."""
     root = Node("#", None, False)
     node, opened, links, at = root, [], 0, 0  # opened: (name, its block or None)
+    places: dict[str, list[int]] = {}  # where elements of a name are open, and those that end others or stop that
+    bounds: list[int] = []
 
     def close(to: int) -> None:
         nonlocal node, links
         while len(opened) > to:
             name, block = opened.pop()
+            places[name].pop()
+            if bounds and bounds[-1] == len(opened):
+                bounds.pop()
             if block is not None:
                 node = block.parent
             links -= name == "a"
@@ -93,12 +126,10 @@ def parsed(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            for k in range(len(opened) - 1, -1, -1):
-                if opened[k][0] == name:
-                    close(k)
-                    break
+            if places.get(name):
+                close(places[name][-1])
             continue
-        for k in range(len(opened) - 1, -1, -1):
+        for k in reversed(bounds):
             if name in ENDED_BY.get(opened[k][0], ()):
                 close(k)
                 break
@@ -117,6 +148,9 @@ def parsed(page: str) -> Node:
         elif name == "a":
             node.link_tags += 1
             node.tags += 1
+        places.setdefault(name, []).append(len(opened))
+        if name in ENDED_BY or name in HOLDS:
+            bounds.append(len(opened))
         opened.append((name, block))
         links += name == "a"
         if name in RAW:
@@ -159,14 +193,6 @@ def composite_density(node: Node, body: Node) -> float:
     return node.chars / node.tags * max(math.log(max(share, 1.0)), 1e-3) / max(math.log(max(base, 1.0) + math.e - 1), 1e-3)
 
 
-def _inside(node: Node, names: tuple[str, ...]) -> bool:
-    while node:
-        if node.name in names:
-            return True
-        node = node.parent
-    return False
-
-
 def _article_of(best: Node) -> Node:
     """The second step: the article around the densest block, or the only one in it if that has most of its elements."""
     node = best
@@ -185,14 +211,16 @@ def main_text(page: str | None) -> str:
     root = parsed(page)
     nodes = _order(root, dropped=True)
     # a mark on what holds the article itself, or the heading inside it, doesn't take it away
+    freed: set[int] = set()
     for node in reversed(nodes):
-        if node.name in ("article", "main") and not (node.drop and _inside(node.parent, ("article",))):
+        if node.name in ("article", "main") and not (node.drop and node.held == 2):
             above = node.parent
-            while above and above.name not in DROPPED:
+            while above and above.name not in DROPPED and id(above) not in freed:
+                freed.add(id(above))
                 above.drop, above = False, above.parent
     for node in nodes:
         if node.name == "header":
-            node.drop = node.drop or not _inside(node, ("article", "main"))
+            node.drop = node.drop or not node.held
         elif node.name in ("h1", "body", "html"):
             node.drop = False
     live = _order(root)
@@ -230,7 +258,8 @@ def main_text(page: str | None) -> str:
             flush()
         elif isinstance(x, Node):
             flush()
-            mostly_links = x is not best and 2 * x.link_chars > x.chars and x.density < threshold
+            # Inside an article links are text; elsewhere a block of links below all of the path is noise.
+            mostly_links = x is not best and not x.held and best.name not in ("article", "main") and 2 * x.link_chars > x.chars and x.density < threshold
             if not x.drop and not mostly_links:
                 todo.append(None)
                 todo += reversed(x.inner)

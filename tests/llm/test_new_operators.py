@@ -276,3 +276,33 @@ def test_callers_columns_stay(spark):
     assert got[1] == (1, "see [SECRET] here", 17, *rows[0][3:]) and got[2] == rows[1] and got[3] == rows[2]
     benchmark = spark.createDataFrame([(1, "plain words"), (2, None)], "item_id long, text string")
     assert key(decontamination.without_contaminated(table, benchmark).collect()) == key(rows[:2])
+
+
+# 9: pages on which names mislead
+
+
+PARA = "This is a fairly long paragraph of plain text with many words in it, so that its density is high enough to win."
+
+
+@pytest.mark.parametrize("page, lines", [
+    (f'<article><div class="entry-header"><h1>Head</h1></div><p>{PARA}</p></article>', ["Head", PARA]),
+    (f'<div class="layout with-sidebar"><div><h2>T</h2><p>{PARA}</p><p>{PARA}</p></div><div class="sidebar"><p>Side text</p></div></div>', ["T", PARA, PARA]),
+    (f'<article><p>{PARA}</p><ul><li><a href=a>First reference</a></li><li><a href=b>Second one</a></li></ul><p><a href=c>nearly all is a link</a> x</p></article>', [PARA, "First reference", "Second one", "nearly all is a link x"]),
+    (f'<article><p>Let <math><mi>x</mi></math> be <label>that</label>. {PARA}</p><div class="social-history"><p>{PARA}</p></div></article>', [f"Let x be that. {PARA}", PARA]),
+    (f'<article><p>{PARA}</p><div class="ad-box"><p>Buy</p></div><div class="comment-list"><p>{PARA}</p></div><div id="related-posts">More</div><div class="cookie-notice">Ok</div></article>', [PARA]),
+])
+def test_names_do_not_take_text_away(page, lines):
+    from tallygrade.llm import html
+
+    assert html.main_text(f"<html><body>{page}</body></html>") == "\n".join(lines)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    from tallygrade.llm import html
+
+    started = time.time()
+    for inner in ("<b>" * 100_000 + PARA + "</b>" * 100_000, "<div>" * 30_000 + PARA, "<article>" * 20_000 + PARA, "<p>" * 50_000 + PARA):
+        assert html.main_text(f"<body><p>{inner}</body>").endswith(PARA)
+    assert time.time() - started < 20
