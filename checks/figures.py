@@ -412,7 +412,7 @@ def chosen_metadata(t: Tables) -> DataFrame:
 @check(
     "case_id bigint, side string, shown bigint, n_rows bigint, total bigint, first_key string",
     """WITH o AS (SELECT p_size AS c, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY p_size) AS n FROM part)
-    SELECT c AS case_id, 'e' AS side, least(any_value(n), 10) AS shown, any_value(n) AS n_rows,
+    SELECT c AS case_id, 'e' AS side, least(any_value(n), 100) AS shown, any_value(n) AS n_rows,
       CASE WHEN any_value(n) > 100 THEN any_value(n) END AS total, min(p_partkey)::VARCHAR AS first_key FROM o GROUP BY c""",
 )
 def report_outputs(t: Tables) -> DataFrame:
@@ -423,7 +423,7 @@ def report_outputs(t: Tables) -> DataFrame:
     out = F.col("output")
     return reports.result_outputs(rows, shapes).select(
         "case_id", "side",
-        F.least(F.size(F.from_json(F.get_json_object(out, "$.rows"), "array<array<string>>")), F.lit(10)).alias("shown"),
+        F.size(F.from_json(F.get_json_object(out, "$.rows"), "array<array<string>>")).alias("shown"),
         F.get_json_object(out, "$.row_count").alias("n_rows"),
         F.get_json_object(out, "$.total_rows").alias("total"),
         F.get_json_object(out, "$.rows[0][0]").alias("first_key"),
@@ -431,9 +431,9 @@ def report_outputs(t: Tables) -> DataFrame:
 
 
 @check(
-    "case_id bigint, generated string, other string, contains string, keys bigint",
-    f"""WITH {CASES} SELECT case_id, gsql AS generated, CASE WHEN gsql IS NOT NULL AND k % 2 = 0 THEN 'select 2' END AS other,
-    CASE WHEN k % 8 <> 0 THEN ((k % 2)::DOUBLE)::VARCHAR END AS contains, 1 AS keys FROM cases""",
+    "case_id bigint, generated string, other string, contains string, keys bigint, secs double, crashed string, late string, error string",
+    f"""WITH {CASES} SELECT case_id, {exact('v * 10 / 1000')} AS secs, crashed::VARCHAR AS crashed, late::VARCHAR AS late, CASE WHEN k % 6 = 0 THEN 'error ' || k END AS error, gsql AS generated, CASE WHEN gsql IS NOT NULL AND k % 2 = 0 THEN 'select 2' END AS other,
+    CASE WHEN k % 8 <> 0 THEN ((k % 2)::DOUBLE)::VARCHAR END AS contains, 9 AS keys FROM cases""",
 )
 def sample_records(t: Tables) -> DataFrame:
     """One report record per case."""
@@ -454,4 +454,8 @@ def sample_records(t: Tables) -> DataFrame:
         F.get_json_object(record, "$.executed_generated_sql").alias("other"),
         F.get_json_object(record, "$.scores.contains_accuracy").alias("contains"),
         F.size(F.from_json(F.get_json_object(record, "$.metadata"), "map<string,string>")).alias("keys"),
+        F.get_json_object(record, "$.metadata.agent_sql_generation_seconds").alias("secs"),
+        F.get_json_object(record, "$.metadata.agent_crashed").alias("crashed"),
+        F.get_json_object(record, "$.metadata.timed_out").alias("late"),
+        F.get_json_object(record, "$.metadata.error").alias("error"),
     )

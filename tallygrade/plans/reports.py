@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 from tallygrade.functions.figures import seconds
 
-# Rows of a result a report shows, and the metadata it may carry.
+# Rows of a result a report shows, what its metadata always holds, and what else it may carry.
 REPORT_ROWS = 100
+BASE_FIELDS = (
+    "total_latency_ms",
+    "agent_latency_ms",
+    "agent_sql_generation_seconds",
+    "agent_crashed",
+    "timed_out",
+    "error",
+    "expected_row_count",
+    "generated_row_count",
+)
 METADATA_KEYS = (
     "total_execution_time_ms",
     "generated_sql_transpiled",
@@ -33,15 +43,28 @@ def chosen(metadata: Column, keys: tuple[str, ...] = METADATA_KEYS) -> Column:
     return F.map_filter(metadata, lambda k, v: k.isin(*keys) & v.isNotNull() & (v != "[]"))
 
 
-def result_outputs(rows: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(case_id, side, output): a result as JSON with at most 100 rows and the true number.
+def _merged(*objects: Column) -> Column:
+    """JSON objects as one, their fields in order; names do not occur twice."""
+    bodies = [F.nullif(F.substring(o, F.lit(2), F.char_length(o) - 2), F.lit("")) for o in objects]
+    return F.concat(F.lit("{"), F.concat_ws(",", *bodies), F.lit("}"))
+
+
+def base_metadata(cases: DataFrame) -> Column:
+    """JSON of BASE_FIELDS: those that the cases have, null for the others."""
+    has = lambda c: F.col(c) if c in cases.columns else F.lit(None).cast("string")
+    known = {c: has(c) for c in BASE_FIELDS} | {"agent_sql_generation_seconds": seconds(has("agent_latency_ms"))}
+    return F.to_json(F.struct(*[c.alias(n) for n, c in known.items()]), {"ignoreNullFields": "false"})
+
+
+def result_outputs(rows: DataFrame, shapes: DataFrame, most: int = REPORT_ROWS) -> DataFrame:
+    """(case_id, side, output): a result as JSON with at most `most` rows and the true number.
 
     rows: case_id, side, row_id, vals. shapes: case_id, side, ok, columns, n_rows, cut, error.
     """
-    shown = rows.filter(F.col("row_id") < REPORT_ROWS).groupBy("case_id", "side").agg(
+    shown = rows.filter(F.col("row_id") < most).groupBy("case_id", "side").agg(
         F.array_sort(F.collect_list(F.struct("row_id", "vals"))).alias("_rows")
     )
-    more = F.col("n_rows") > REPORT_ROWS
+    more = F.col("n_rows") > most
     body = F.struct(
         F.col("ok").alias("success"),
         "columns",
@@ -58,9 +81,9 @@ def result_outputs(rows: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def sample_records(cases: DataFrame, results: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(case_id, record): SQLs, both outputs, scores, evaluations and chosen metadata as JSON.
+    """(case_id, record): SQLs, both outputs, scores, evaluations, base fields and chosen metadata as JSON.
 
-    cases: case_id, expected_sql, generated_sql, executed_sql, succeeded, error, metadata.
+    cases: case_id, expected_sql, generated_sql, executed_sql, succeeded, error, metadata, and of BASE_FIELDS what there is.
     """
     sides = outputs.groupBy("case_id").agg(
         F.any_value(F.when(F.col("side") == "e", F.col("output")), True).alias("expected_output"),
@@ -77,12 +100,12 @@ def sample_records(cases: DataFrame, results: DataFrame, outputs: DataFrame) ->
     record = F.struct(
         "generated_sql", "expected_sql", "generated_output", "expected_output", "succeeded", "error",
         "scores", "evaluations", other.alias("executed_generated_sql"),
-        chosen(F.col("metadata")).alias("metadata"),
     )
+    metadata = _merged(base_metadata(cases), F.to_json(F.coalesce(chosen(F.col("metadata")), F.create_map().cast("map<string,string>"))))
     return (
         cases.join(sides, "case_id", "left")
         .join(judged, "case_id", "left")
-        .select("case_id", F.to_json(record).alias("record"))
+        .select("case_id", _merged(F.to_json(record), F.concat(F.lit('{"metadata":'), metadata, F.lit("}"))).alias("record"))
     )
 
 
