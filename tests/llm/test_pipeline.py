@@ -71,6 +71,14 @@ def test_stages(spark, tmp_path):
     assert sorted((tuple(r[n] for n in names) for r in again.collect()), key=repr) == sorted((tuple(r[n] for n in names) for r in results[4]), key=repr)
 
 
+def test_no_documents(spark, tmp_path):
+    folder = str(tmp_path / "none")
+    spark.createDataFrame([], DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []
+
+
 def merged(spans):
     out = []
     for a, k, z in spans:
@@ -83,6 +91,6 @@ def merged(spans):
 
 def test_registered():
     known = project.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in known if re.match(r"op\d+_", k)}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in known if re.match(r"op\d+_", k)}
     assert "pipeline" in known and set(project.oracle_sql()) <= set(known)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "best-fit packing"]
