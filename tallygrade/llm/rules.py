@@ -27,6 +27,8 @@ BYTES = (3, 4)
 FAMILIES = 2 + len(BYTES)
 #: Bytes of text in a slice, and those whose runs are weighed at a time.
 SLICE, STRETCH = 8 << 20, 1 << 20
+#: The same where whole rows go through a task.
+ROWS_SLICE = 2 << 20
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -218,12 +220,15 @@ def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = KE
 
 
 def passing(documents: DataFrame, labels: DataFrame, threshold: float = KEEP, most: int = SAMPLE) -> DataFrame:
-    """The rows of documents that the rules keep, with all their columns, judged in the same scan."""
+    """The rows of documents that the rules keep, with all their columns, judged in the same scan.
+
+    Null and empty texts fail; repeated rows and null ids are each judged by their text. An empty table gives an empty table.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(astuple(train(documents, labels, most)))
 
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = QualityModel(*shared.value)
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text", ROWS_SLICE):
             texts = filled(part.column("text"))
             words = split_words(texts)
             of = hashed(words.uniques)[words.ids] if len(words.ids) else np.zeros(0, np.uint64)
