@@ -44,13 +44,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[name]
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+#: Spark's setting that removes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, label: str, free_shuffles: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Used where one result feeds several later plans: the rows survive a lost
-    executor, and the reader knows the real size when it picks a join.
+    executor, and the reader knows the real size when it picks a join. free_shuffles: what was
+    shuffled for df is removed from the executors' disks once it is written, instead of when the driver next
+    collects its garbage; for long chains of large tables.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    try:
+        if free_shuffles:
+            spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if free_shuffles:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
