@@ -21,7 +21,7 @@ nothing.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrade import session
 from tallygrade.llm.links import components
 from tallygrade.llm.texts import filled, hashed, mixed, signed, slices, split_words, windows
-from tallygrade.session import cut
+
+#: The steps are many and large: their shuffles go as soon as their table is written.
+cut = partial(session.cut, free_shuffles=True)
 
 HEAVY = 1 << 17
 #: Bytes of text in a slice, and words whose counts are reported together.
