@@ -136,3 +136,15 @@ def test_bad_cases_are_found_in_few_runs(spark):
     assert sorted((r.case_id, r.score) for r in rows if r.error) == [(3, 0.0), (700, 0.0), (700, 0.0), (1999, 0.0)]
     assert all(f"'x{r.case_id}'" in r.error for r in rows if r.error)  # each has its own error
     assert sorted(r.score for r in rows if r.case_id is None) == [2.0, 5.0]
+
+
+def test_keys_share_states_and_long_numbers_stay_whole(spark, streamed, monkeypatch):
+    kinds = "question_id long, event string, stage string, error string, retry long, ts timestamp, seq long"
+    big = 1 << 53
+    rows = [(7, "wait_end", "agent", None, 1, at(0), big), (7, "note", None, None, None, at(0), None), (7, "wait_start", "agent", None, 2, at(0), big + 1)]
+    rows += [(i, "wait_start", "agent", None, 1, at(i % 100), i) for i in [*range(100, 130), (1 << 60) + 1]] + [(None, "wait_start", "agent", None, 3, at(1), 1)]
+    monkeypatch.setattr(live, "GROUPS", 4)
+    log, query = streamed([rows], kinds, live.waits_log)
+    got = {r.question_id: (r.waiting, r.retry, r.retries) for r in live.newest(log, "question_id").collect()}
+    assert len(got) == 33 and got[7] == (True, 2, 1) and got[(1 << 60) + 1] == (True, 1, 1) and got[None] == (True, 3, 1)
+    assert sum(op["numRowsTotal"] for op in query.recentProgress[-1]["stateOperators"]) <= 4
