@@ -19,10 +19,11 @@ def stream(t: Tables) -> DataFrame:
 
 
 def in_batches(t: Tables, batches: int = 3) -> DataFrame:
-    """The events as a stream of several micro-batches, each with rows from all over the table."""
+    """The events as a stream of several micro-batches, each with rows from all over the table and files for all cores."""
     path = f"{shared_folder(t.spark)}/events-{uuid.uuid4().hex}"
-    t.events.repartition(batches, F.xxhash64("event_id")).write.parquet(path)
-    raw = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = t.spark.sparkContext.defaultParallelism
+    t.events.repartition(batches * files, F.xxhash64("event_id")).write.parquet(path)
+    raw = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", files).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.col("event_id"))
 
 
