@@ -151,7 +151,8 @@ def order_key_positions(t: Tables) -> DataFrame:
     columns = F.when(k == 1, F.array(F.lit("n"), F.lit("S"))).when(k == 0, F.array(F.lit("a"), F.lit("b"))).when(
         k == 6, F.array(F.lit("n"), F.lit("total"), F.lit("colour"))
     ).when(k == 5, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("p_name"), F.lit("total")))
-    parsed = S.take_apart(statements(t).withColumn("columns", columns), "generated_sql", "g")
+    spread = statements(t).withColumn("columns", columns).repartition(t.spark.sparkContext.defaultParallelism, "case_id")
+    parsed = S.take_apart(spread, "generated_sql", "g")
     keys = S.order_keys(F.col("g"), F.col("columns"))
     return parsed.select(
         "case_id", F.when(keys.isNotNull(), F.concat_ws(",", keys)).alias("keys"), S.has_order_by(F.col("g")).alias("has_order")

@@ -28,3 +28,8 @@ def test_entry(spark):
     assert rows[3]["score"] == 0.0 and rows[4]["score"] == 1.0
     assert set(project.oracle_sql()) <= set(project.queries())
     assert project.revenue_cases(spark, SF).count() == len(verify.connect(SF).execute(project.REVENUE_SQL).fetchall())
+
+
+def test_statements_of_one_small_file_are_parsed_on_all_cores(spark):
+    parsed = checks.QUERIES["order_key_positions"](spark, SF)
+    assert parsed.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
