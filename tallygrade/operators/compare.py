@@ -145,8 +145,12 @@ def match_rows(rows: DataFrame, bucket: bool = False) -> DataFrame:
 
 
 def match_subsets(rows: DataFrame, cases: DataFrame) -> DataFrame:
-    """Subset grading: distinct generated rows must be expected rows, in the asked number."""
-    distinct = rows.select("case_id", "side", "vals").distinct()
+    """Subset grading: distinct generated rows must be expected rows, in the asked number.
+
+    Distinct rows are written once: read by all later steps, they are shuffled by each step's own key, where one stage
+    by case would hold the sorts and tables of all of them in a task.
+    """
+    distinct = cut(rows.select("case_id", "side", "vals").distinct(), "distinct")
     counts = distinct.groupBy("case_id").agg(
         F.count_if(F.col("side") == "e").alias("n_e"), F.count_if(F.col("side") == "g").alias("n_g")
     )
@@ -165,7 +169,7 @@ def match_subsets(rows: DataFrame, cases: DataFrame) -> DataFrame:
     none = F.lit(None).cast("array<int>")
     settled = gated.filter(F.col("reason").isNotNull()).select("case_id", "reason", none.alias("mapping"))
     open_cases = gated.filter(F.col("reason").isNull())
-    live = distinct.join(open_cases.select("case_id"), "case_id", "left_semi")
+    live = cut(distinct.join(open_cases.select("case_id"), "case_id", "left_semi"), "live")
     fits = containing_columns(live).select(
         "case_id", F.explode("expected_cols").alias("col"), F.col("generated_col").alias("g")
     )

@@ -267,3 +267,20 @@ def test_case_without_cells(spark):
     assert {k: (r["matched"], r["reason"]) for k, r in got.items()} == {
         "bare": (True, None), "kept": (True, None), "lost": (False, "expected_column_not_found_in_generated"),
     }
+
+
+def test_subset_grading_reads_the_rows_once(spark):
+    cases, rows = pairs(spark, [
+        dict(id=f"c{i}", e=[[1, "x"], [2, "y"], [2, "y"]], g=[["y", 2]] if i % 2 else [["y", 3]], grading="subset") for i in range(20)
+    ])
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(side):
+        read.add(1)
+        return side
+
+    rows = rows.withColumn("side", seen.asNondeterministic()("side"))
+    got = {r.case_id: r.matched for r in compare(cases, rows, modes=("subset",)).collect()}
+    assert got == {f"c{i}": i % 2 == 1 for i in range(20)}
+    assert read.value == 80
