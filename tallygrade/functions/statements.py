@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tallygrade.functions.cells import strip
 
-LITERAL_OR_COMMENT = r"(?s)'(?:[^']++|'')*+'|--[^\n]*+|/\*.*?\*/"
+# A lookahead for the first character keeps a pattern from trying all its branches at every place.
+LITERAL_OR_COMMENT = r"(?s)(?=['/-])(?:'(?:[^']++|'')*+'|--[^\n]*+|/\*.*?\*/)"
 BRACKET = r"\([^()]*+\)"
 CASE = r"\bcase\b(?:(?!\bcase\b|\bend\b).)*+\bend\b"
 MARK = r"‹[a-z]\d+›"
@@ -22,8 +23,8 @@ LEVELS = "abcdef"
 BETWEEN_AND = "\x01"
 
 NOT_FLAT = (
-    r"\b(union|intersect|except|minus|with|over|window|lateral|unnest|values|pivot|qualify"
-    r"|fetch|within|tablesample|into|top|distinct on|grouping|rollup|cube)\b|[\"`\[\];]"
+    r"(?=[cdefgilmopqrtuvw\"`\[\];])(?:\b(union|intersect|except|minus|with|over|window|lateral|unnest|values|pivot|qualify"
+    r"|fetch|within|tablesample|into|top|distinct on|grouping|rollup|cube)\b|[\"`\[\];])"
 )
 # Clauses after the select list, in the order they must come.
 KEYWORDS = ("from", "where", "group by", "having", "order by", "limit", "offset")
@@ -55,9 +56,11 @@ def normalise_sql(sql: Column) -> Column:
     return strip(F.regexp_replace(text, ";+$", ""))
 
 
-def _swap(text: Column, pattern: str, value) -> Column:
-    """text with each match of pattern replaced by value(match, index)."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), value)
+def _swap(text: Column, pattern: str, value, pieces: Column | None = None) -> Column:
+    """text with each match of pattern replaced by value(match, index). pieces: the matches, where they are known."""
+    if pieces is None:
+        pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.transform(pieces, value)
     parts = F.zip_with(
         F.split(text, pattern), found, lambda t, v: F.concat(t, F.coalesce(v, F.lit("")))
     )
@@ -68,12 +71,20 @@ def _mark(letter: str, i: Column) -> Column:
     return F.concat(F.lit(f"‹{letter}"), i.cast("string"), F.lit("›"))
 
 
-def _marked(text: Column, pattern: str, letter: str) -> tuple[Column, Column]:
-    """(text with marks, MAP mark -> what it stands for)."""
-    pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return _swap(text, pattern, lambda _, i: _mark(letter, i)), F.map_from_arrays(
-        F.transform(pieces, lambda _, i: _mark(letter, i)), pieces
-    )
+def _marked(df: DataFrame, text: str, pattern: str, sign: str, letter: str, out: str) -> DataFrame:
+    """Replace column text by the text with marks; out: MAP mark -> what it stands for.
+
+    Matches are found once, and only in texts that hold `sign`, which is in every match.
+    """
+    held = F.col(text).contains(sign)
+    none = F.expr("cast(array() as array<string>)")
+    df = df.withColumn("_found", F.when(held, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    some, marks = F.size("_found") > 0, F.transform("_found", lambda _, i: _mark(letter, i))
+    swapped = _swap(F.col(text), pattern, lambda _, i: _mark(letter, i), F.col("_found"))
+    return df.withColumns({
+        out: F.when(some, F.map_from_arrays(marks, F.col("_found"))).otherwise(F.expr("cast(map() as map<string,string>)")),
+        text: F.when(some, swapped).otherwise(F.col(text)),
+    }).drop("_found")
 
 
 def tidy(text: Column) -> Column:
@@ -81,13 +92,13 @@ def tidy(text: Column) -> Column:
     rules = (
         (r"!=", "<>"),
         (r"==", "="),
-        (r"\s*(<=|>=|<>|\|\||=|<(?![>=])|(?<![<])>(?!=))\s*", " $1 "),
+        (r"\s*+(?=[<>=|])(<=|>=|<>|\|\||=|<(?![>=])|(?<![<])>(?!=))\s*+", " $1 "),
         (r"\s*([+/%])\s*", " $1 "),
-        (r"(?<=[\w›)])\s?([*-])\s?(?=[\w‹(])", " $1 "),
+        (r"(?=[\s*-])(?<=[\w›)])\s?([*-])\s?(?=[\w‹(])", " $1 "),
         (r"\s*,\s*", ", "),
         (r"\(\s+", "("),
         (r"\s+\)", ")"),
-        (rf"\b(?!(?:{BEFORE_BRACKET})\b)([a-z_]\w*) \(", "$1("),
+        (rf"(?=[a-z_])\b(?=\w++ \()(?!(?:{BEFORE_BRACKET})\b)(\w++) \(", "$1("),
         (r"\s+", " "),
     )
     for pattern, new in rules:
@@ -100,7 +111,9 @@ def _unmark(text: Column, pieces: Column, depth: Column) -> Column:
     return F.aggregate(
         F.sequence(F.lit(1), depth),
         text,
-        lambda acc, _: _swap(acc, MARK, lambda m, i: F.coalesce(F.try_element_at(pieces, m), m)),
+        lambda acc, _: F.when(
+            acc.contains("‹"), _swap(acc, MARK, lambda m, i: F.coalesce(F.try_element_at(pieces, m), m))
+        ).otherwise(acc),
     )
 
 
@@ -135,13 +148,14 @@ def take_apart(df: DataFrame, sql: str, out: str) -> DataFrame:
     """Add `out`, a struct of the statement's parts; `out.flat` says if it could be taken apart."""
     t, lits, maps = "_text", "_literals", [f"_{c}" for c in LEVELS]
     df = df.withColumn("_raw", F.lower(F.coalesce(F.col(sql), F.lit(""))))
-    pieces = F.regexp_extract_all("_raw", F.lit(LITERAL_OR_COMMENT), F.lit(0))
+    df = df.withColumn("_found", F.regexp_extract_all("_raw", F.lit(LITERAL_OR_COMMENT), F.lit(0)))
+    pieces = F.col("_found")
     df = df.withColumns(
         {
             lits: F.map_from_arrays(F.transform(pieces, lambda _, i: _mark("l", i)), pieces),
             t: _swap(
                 F.col("_raw"), LITERAL_OR_COMMENT,
-                lambda p, i: F.when(p.startswith("'"), _mark("l", i)).otherwise(" "),
+                lambda p, i: F.when(p.startswith("'"), _mark("l", i)).otherwise(" "), pieces,
             ),
         }
     )
@@ -149,10 +163,8 @@ def take_apart(df: DataFrame, sql: str, out: str) -> DataFrame:
     df = df.withColumn(t, tidy(F.regexp_replace(strip(plain), r"[; ]+$", "")))
     df = df.withColumn("_whole", F.col(t))
     for level, name in zip(LEVELS, maps):
-        text, pieces = _marked(F.col(t), BRACKET, level)
-        df = df.withColumns({name: pieces, "_next": text}).withColumn(t, F.col("_next"))
-    text, pieces = _marked(F.col(t), CASE, "k")
-    df = df.withColumns({"_k": pieces, "_next": text}).withColumn(t, F.col("_next"))
+        df = _marked(df, t, BRACKET, "(", level, name)
+    df = _marked(df, t, CASE, "case", "k", "_k")
     df = df.withColumn("_pieces", F.map_concat(*maps, "_k"))
     depth = sum((F.when(F.size(m) > 0, 1).otherwise(0) for m in maps), F.lit(1))
 
@@ -191,10 +203,10 @@ def take_apart(df: DataFrame, sql: str, out: str) -> DataFrame:
         ),
     )
     items = F.transform(
-        F.split("_select", r",\s"),
-        lambda s: F.struct(
-            F.when(_aliased(s), F.regexp_extract(s, r"^(.*?)\s(?:as\s)?(\w+)$", 1)).otherwise(s).alias("expr"),
-            F.when(_aliased(s), F.regexp_extract(s, r"^(.*?)\s(?:as\s)?(\w+)$", 2)).otherwise("").alias("alias"),
+        F.transform(F.split("_select", r",\s"), lambda s: F.struct(s.alias("s"), _aliased(s).alias("named"))),
+        lambda x: F.struct(
+            F.when(x["named"], F.regexp_extract(x["s"], r"^(.*?)\s(?:as\s)?(\w+)$", 1)).otherwise(x["s"]).alias("expr"),
+            F.when(x["named"], F.regexp_extract(x["s"], r"^(.*?)\s(?:as\s)?(\w+)$", 2)).otherwise("").alias("alias"),
         ),
     )
     df = df.withColumns(
@@ -222,7 +234,7 @@ def take_apart(df: DataFrame, sql: str, out: str) -> DataFrame:
         F.col("_order").alias("order"), F.col("_limit").alias("limit"),
         F.col("_pieces").alias("pieces"), F.col(lits).alias("literals"), F.col("_depth").alias("depth"),
     ]
-    drop = ["_raw", t, lits, *maps, "_k", "_next", "_whole", "_pieces", "_depth", "_distinct", "_select", "_parts", "_in_order",
+    drop = ["_raw", t, lits, *maps, "_k", "_found", "_whole", "_pieces", "_depth", "_distinct", "_select", "_parts", "_in_order",
             "_from", "_where", "_group", "_having", "_order", "_limit", "_sources", "_items", "_joiners"]
     return df.withColumn(out, F.struct(*keep)).drop(*drop)
 
@@ -244,7 +256,7 @@ def _named(text: Column, s: Column, literals: bool = True) -> Column:
         s["sources"],
         open_text,
         lambda acc, x: F.when(
-            x["alias"] != "",
+            (x["alias"] != "") & acc.contains(F.concat(x["alias"], F.lit("."))),
             F.regexp_replace(
                 acc,
                 F.concat(F.lit(r"(?<![\w.])"), F.when(x["alias"] != "", x["alias"]).otherwise("-"), F.lit(r"\.")),
@@ -252,7 +264,7 @@ def _named(text: Column, s: Column, literals: bool = True) -> Column:
             ),
         ).otherwise(acc),
     )
-    short = F.regexp_replace(named, r"(?<![\w.])(?:[a-z_]\w*\.)+([a-z_]\w*\.(?:\w+|\*))", "$1")
+    short = F.regexp_replace(named, r"(?=[a-z_])(?<![\w.])(?:[a-z_]\w*\.)+([a-z_]\w*\.(?:\w+|\*))", "$1")
     return _unmark(short, s["literals"], F.lit(1)) if literals else short
 
 

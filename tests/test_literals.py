@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallygrade.functions import classify, figures, names, replies
 from tallygrade.functions.grading import parse_grading
-from tallygrade.functions.statements import order_keys, take_apart
+from tallygrade.functions.statements import BRACKET, order_keys, take_apart
 from tallygrade.operators import judge, metrics, shift, sqlscore
 from tallygrade.plans.evaluators import Evaluators, QuestionSource
 from tallygrade.plans.runs import case_results
@@ -284,3 +284,11 @@ def test_shared_folder_without_the_setting(spark, monkeypatch):
 
     folder = session.shared_folder(Bare)
     assert folder == session.shared_folder(Bare) and spark.range(3).write.parquet(f"{folder}/t") is None
+
+
+def test_brackets_of_a_level_are_looked_for_once(spark):
+    df = spark.createDataFrame([("select f(g(a)) from t where (b in (1, 2)) and c = 3",), ("select a from t",), (None,)], "s string")
+    taken = take_apart(df, "s", "p")
+    assert taken._jdf.queryExecution().optimizedPlan().toString().count(f", {BRACKET}, 0)") == 6
+    got = taken.select("p.flat", "p.where", F.size("p.pieces").alias("n"), "p.depth").collect()
+    assert [tuple(r) for r in got] == [(True, "‹b1› and c = 3", 4, 3), (True, "", 0, 1), (False, "", 0, 1)]
