@@ -23,6 +23,8 @@ from tallygrade.operators.columns import containing_columns, fingerprints, value
 from tallygrade.operators.positions import with_order_bucket
 from tallygrade.session import cut
 
+#: Cells of results that a task puts together by case; more cells make more tasks.
+CELLS = 1 << 19
 OUT = ["case_id", "matched", "order_matched", "reason", "inconclusive", "empty_result", "mapping"]
 
 
@@ -75,6 +77,24 @@ def _with_defaults(cases: DataFrame) -> DataFrame:
     return cases
 
 
+def _cells(side: str) -> Column:
+    """Cells of a case's result on one side, as its shape tells."""
+    return F.coalesce(F.col(f"{side}.n_rows").cast("long") * F.greatest(F.col(f"{side}.n_cols"), F.lit(1)), F.lit(0).cast("long"))
+
+
+def by_case(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows in partitions by case, as many as the cells of sizes (case_id, cells) ask for, so that a task holds no more of larger inputs.
+
+    Few rows stay as they are, and so do those with a case that is more than a task's share: a partition by case
+    would hold it whole, where joins can split it.
+    """
+    found = sizes.agg(F.sum("cells").alias("all"), F.max("cells").alias("most")).first()
+    tasks = -(-(found["all"] or 0) // CELLS)
+    if tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) or found["most"] > CELLS:
+        return rows
+    return rows.repartition(tasks, "case_id")
+
+
 def _direct(classes: Column) -> Column:
     """The mapping when every class is one column, or copies of one, on each side."""
     pairs = F.flatten(
@@ -245,13 +265,16 @@ def compare(cases: DataFrame, rows: DataFrame, allow_extra: bool = False,
         (F.col("gate") == "empty").alias("empty_result"),
     )
     live = cases.filter(F.col("gate").isNull())
+    # Written and read again, the cases have no partitions of their own that a join would bring the rows to.
+    sizes = cut(live.select("case_id", mode.alias("mode"), (_cells("expected") + _cells("generated")).alias("cells")), "cases")
+    rows = by_case(rows, sizes)
     flags = [F.lit(False).alias("inconclusive"), F.lit(False).alias("empty_result")]
 
     by_bag = [m for m in modes if m != "subset"]
     parts = [settled]
     if by_bag:
-        bag_cases = live.filter(mode != "subset") if "subset" in modes else live
-        bag_rows = rows.join(bag_cases.select("case_id", mode.alias("mode")), "case_id")
+        bag_cases = sizes.filter(F.col("mode") != "subset") if "subset" in modes else sizes
+        bag_rows = rows.join(bag_cases.select("case_id", "mode"), "case_id")
         if "set" in modes:
             as_set = bag_rows.filter(F.col("mode") == "set")
             distinct = as_set.groupBy("case_id", "side", "vals").agg(F.min("row_id").alias("row_id"))
@@ -259,7 +282,7 @@ def compare(cases: DataFrame, rows: DataFrame, allow_extra: bool = False,
                 F.count_if(F.col("side") == "e").alias("n_e"),
                 F.count_if(F.col("side") == "g").alias("n_g"),
             )
-            set_cases = bag_cases.filter(mode == "set").join(counts, "case_id", "left")
+            set_cases = bag_cases.filter(F.col("mode") == "set").join(counts, "case_id", "left")
             same = F.coalesce(F.col("n_e") == F.col("n_g"), F.lit(True))
             hollow = F.col("n_e").isNull()
             parts.append(
@@ -283,7 +306,7 @@ def compare(cases: DataFrame, rows: DataFrame, allow_extra: bool = False,
         parts.append(bags.select("case_id", "reason", "mapping", *flags))
     if "subset" in modes:
         sub_cases = live.filter(mode == "subset")
-        sub_rows = rows.join(sub_cases.select("case_id"), "case_id")
+        sub_rows = rows.join(sizes.filter(F.col("mode") == "subset").select("case_id"), "case_id")
         subs = match_subsets(sub_rows, sub_cases)
         parts.append(subs.select("case_id", "reason", "mapping", *flags))
 

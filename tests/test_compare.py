@@ -284,3 +284,27 @@ def test_subset_grading_reads_the_rows_once(spark):
     got = {r.case_id: r.matched for r in compare(cases, rows, modes=("subset",)).collect()}
     assert got == {f"c{i}": i % 2 == 1 for i in range(20)}
     assert read.value == 80
+
+
+def test_more_cells_are_put_together_by_more_tasks(spark, monkeypatch):
+    from tallygrade.operators import compare as C
+
+    cases = [dict(id=f"c{i}", e=[[i, "x"], [2, "y"], [3, "z"]], g=[["x", i], ["y", 2], ["z", 3 + i % 2]], order=i % 3 == 0) for i in range(60)]
+    whole = run(spark, cases)
+    tasks, plain = [], C.match_rows
+
+    def seen(rows, **kw):
+        tasks.append(rows.rdd.getNumPartitions())
+        return plain(rows, **kw)
+
+    monkeypatch.setattr(C, "match_rows", seen)
+    monkeypatch.setattr(C, "CELLS", 12)  # a case
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run(spark, cases) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert tasks[0] == 60
+    monkeypatch.setattr(C, "CELLS", 11)  # less than a case: nothing is brought together
+    assert run(spark, cases) == whole
