@@ -383,3 +383,35 @@ def test_decontamination(spark, odd, odd_texts, none):
     assert left.columns == odd.columns and by(left.collect(), "doc_id") == sorted(((e[0],) for e in expected if not e[-1]), key=repr)
     assert not any(r.contaminated for r in decontamination.contamination(odd, bench.limit(0)).collect())
     assert decontamination.contamination(none, bench).collect() == []
+
+
+def test_maxent_in_stretches_is_that_of_whole_batches():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n = 3 * maxent.STRETCH + 7
+    table = rng.normal(size=(maxent.ROWS, maxent.WIDE)).astype(np.float32)
+    rows = np.minimum(rng.zipf(1.3, (4, n)), maxent.ROWS) - 1
+    rows[0] = rng.integers(0, 3, n)
+    target = rng.integers(0, maxent.WIDE, n)
+    z = table[rows[0]] + table[rows[1]] + table[rows[2]] + table[rows[3]]
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    assert np.allclose(maxent.log_shares(table, rows), z, atol=1e-5)
+    tracemalloc.start()
+    got = maxent.log_share_of(table, rows, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, z[np.arange(n), target], atol=1e-5) and peak < z.nbytes
+    g = np.exp(z)
+    g[np.arange(n), target] -= 1
+    sums, often = np.zeros(table.shape), np.bincount(rows.ravel(), minlength=maxent.ROWS)
+    for r in rows:
+        np.add.at(sums, r, g)
+    sums /= np.maximum(often[:, None] ** 0.5, 1)
+    squares = (sums * sums).mean(axis=1)
+    moved, seen = table.copy(), np.zeros(maxent.ROWS, np.float32)
+    maxent.step(moved, seen, rows, target)
+    assert np.allclose(seen, squares, rtol=1e-3, atol=1e-6)
+    assert np.allclose(moved, table - maxent.RATE * sums / np.sqrt(squares + 1)[:, None], atol=1e-3)
+    assert np.array_equal(moved[often == 0], table[often == 0])
