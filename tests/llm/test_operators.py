@@ -415,3 +415,30 @@ def test_maxent_in_stretches_is_that_of_whole_batches():
     assert np.allclose(seen, squares, rtol=1e-3, atol=1e-6)
     assert np.allclose(moved, table - maxent.RATE * sums / np.sqrt(squares + 1)[:, None], atol=1e-3)
     assert np.array_equal(moved[often == 0], table[often == 0])
+
+
+def test_slices_give_back_what_a_task_freed():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    # a fresh process, as what this one holds depends on the tests before
+    source = """if True:
+        import pyarrow as pa
+        from tallygrade.llm.texts import filled, slices, split_words
+
+        def held():
+            return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon"))
+
+        texts = pa.array([" ".join(str(i * 7919 % 1000003) for i in range(k, k + 4000)) for k in range(0, 800000, 4000)])
+        given = [pa.record_batch([texts], ["text"])]
+        before = held()
+        for part in slices(given, "text", 2 << 20):
+            words = split_words(filled(part.column("text")))
+            lists = words.uniques.to_pylist()
+            del words, lists
+        print(held() - before)
+    """
+    root = Path(__file__).resolve().parents[2]
+    kept = int(subprocess.run([sys.executable, "-c", source], cwd=root, capture_output=True, text=True, check=True).stdout)
+    assert kept < 2 << 10
