@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Pairs that are worked on at a time.
+STRETCH = 1 << 18
+
 
 @dataclass
 class Sparse:
@@ -16,14 +20,27 @@ class Sparse:
     value: np.ndarray
 
     def rows(self, which: np.ndarray) -> Sparse:
-        lengths = np.diff(self.starts)[which]
-        ends = np.cumsum(lengths)
-        take = np.repeat(self.starts[:-1][which] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return Sparse(np.concatenate([[0], ends]), self.index[take], self.value[take])
+        begins, ends = self.starts[:-1][which], self.starts[1:][which]
+        own = [slice(a, z) for a, z in zip(begins.tolist(), ends.tolist())]
+        index, value = (np.concatenate([v[:0], *(v[o] for o in own)]) for v in (self.index, self.value))
+        return Sparse(np.concatenate([[0], np.cumsum(ends - begins)]), index, value)
+
+    def stretches(self) -> Iterator[tuple[int, int]]:
+        """From which row to which there are about `STRETCH` pairs; a larger row stands alone."""
+        at = 0
+        while at < len(self.starts) - 1:
+            to = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + STRETCH, "right")) - 1)
+            yield at, to
+            at = to
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(weights[self.index] * self.value)])
-        return sums[self.starts[1:]] - sums[self.starts[:-1]]
+        out, before = np.zeros(len(self.starts) - 1), 0.0
+        for at, to in self.stretches():
+            here = self.starts[at : to + 1]
+            sums = np.cumsum(np.concatenate([[before], weights[self.index[here[0] : here[-1]]] * self.value[here[0] : here[-1]]]))
+            out[at:to] = sums[here[1:] - here[0]] - sums[here[:-1] - here[0]]
+            before = sums[-1]
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -41,13 +58,25 @@ def fit(x: Sparse, y: np.ndarray, size: int, rounds: int = 60, rate: float = 0.3
     b = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return w, b
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(x.starts))
+    lengths = np.diff(x.starts)
     squares, square = np.full(size, 1e-8), 1e-8
+    grad, scratch = np.zeros(size), np.zeros(size)
     for _ in range(rounds):
         error = (sigmoid(x.times(w) + b) - y) * weight / weight.sum()
-        grad = np.bincount(x.index, weights=x.value * error[owner], minlength=size) + shrink * w / len(y)
-        squares += grad * grad
-        w -= rate * grad / np.sqrt(squares)
+        grad[:] = 0
+        for at, to in x.stretches():
+            own = slice(int(x.starts[at]), int(x.starts[to]))
+            np.add.at(grad, x.index[own], x.value[own] * np.repeat(error[at:to], lengths[at:to]))
+        # in place, as a table of weights is large
+        np.multiply(w, shrink, out=scratch)
+        scratch /= len(y)
+        grad += scratch
+        np.multiply(grad, grad, out=scratch)
+        squares += scratch
+        grad *= rate
+        np.sqrt(squares, out=scratch)
+        grad /= scratch
+        w -= grad
         bias = float(error.sum())
         square += bias * bias
         b -= rate * bias / np.sqrt(square)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallygrade.llm import linear
 from tallygrade.llm.linear import Sparse
-from tallygrade.llm.texts import Words, bytes_of, filled, hashed, mixed, slices, split_words, windows
+from tallygrade.llm.texts import Words, bytes_of, filled, give_back, hashed, mixed, slices, split_words, windows
 
 #: Rows of labels that the model is fitted on at most, chosen by a hash of doc_id; every fifth only calibrates.
 SAMPLE = 2000
@@ -185,7 +185,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Qualit
     w, b = linear.fit(fitted, y[order[~late]], FAMILIES * SIZE)
     slope, shift = linear.calibrate(held.times(w) + b, y[order[late]])
     del held, fitted
-    pa.default_memory_pool().release_unused()
+    give_back()
     return QualityModel(w.astype(np.float32), b, slope, shift)
 
 

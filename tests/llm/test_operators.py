@@ -442,3 +442,37 @@ def test_slices_give_back_what_a_task_freed():
     root = Path(__file__).resolve().parents[2]
     kept = int(subprocess.run([sys.executable, "-c", source], cwd=root, capture_output=True, text=True, check=True).stdout)
     assert kept < 2 << 10
+
+
+def test_fit_holds_a_stretch_beside_its_rows():
+    import tracemalloc
+
+    from tallygrade.llm import linear
+
+    r = np.random.default_rng(5)
+    sizes = np.concatenate([r.integers(0, 2000, 900), [(1 << 18) + 9, 0]])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    given = linear.Sparse(starts, r.integers(0, 1000, starts[-1]).astype(np.int32), r.random(starts[-1]).astype(np.float32))
+    y, order = (r.random(len(sizes)) < 0.6).astype(float), r.permutation(len(sizes))
+    tracemalloc.start()
+    x = given.rows(order)
+    own = x.index.nbytes + x.value.nbytes
+    w, b = linear.fit(x, y, 1000, rounds=3)
+    z = x.times(w)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < own + (48 << 18) < own + 20 * len(x.index)
+    # the same, with all pairs at a time
+    take = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in order])
+    assert np.array_equal(x.index, given.index[take]) and np.array_equal(x.value, given.value[take])
+    owner = np.repeat(np.arange(len(y)), sizes[order])
+    plain, bias, squares, square = np.zeros(1000), float(np.log(y.mean() / (1 - y.mean()))), np.full(1000, 1e-8), 1e-8
+    for _ in range(3):
+        error = (linear.sigmoid(np.bincount(owner, plain[x.index] * x.value, len(y)) + bias) - y) / len(y)
+        grad = np.bincount(x.index, x.value * error[owner], 1000) + 1e-4 * plain / len(y)
+        squares += grad * grad
+        plain -= 0.3 * grad / np.sqrt(squares)
+        square += error.sum() ** 2
+        bias -= 0.3 * error.sum() / np.sqrt(square)
+    assert np.allclose(w, plain) and np.isclose(b, bias)
+    assert np.allclose(z, np.bincount(owner, plain[x.index] * x.value, len(y)))
