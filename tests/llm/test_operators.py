@@ -216,6 +216,40 @@ def test_lm_learns_from_every_place(spark):
     assert held and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("listed", [18, 3])
+def test_lm_knows_all_words_apart(monkeypatch, listed):
+    """All words after the heads have probability one together after any context, and their counted shares before anything is learned."""
+    monkeypatch.setattr(maxent, "LISTED", listed)
+    heads = maxent.CLASSES * maxent.WIDE
+    counts, often = np.array([900, 41, 40, 7, 3, 2, 1]), np.array([heads - 5, 9, 1, 60, 130, 700, 1500])
+    order = maxent.Order(counts, often)
+    ranks = np.arange(heads, often.sum())
+    mass = np.repeat(counts, often)[heads:] + 0.5
+    one, two, steep = np.full(len(ranks), 5, np.uint64), np.full(len(ranks), 9, np.uint64), order.steep(ranks)
+    deep = np.zeros(maxent.DEEP, np.float32)
+    logs = lambda: maxent.deep_logs(deep, order, ranks, steep, one, two)
+    assert np.allclose(np.exp(logs()), mass / mass.sum(), rtol=1e-3)
+    some = slice(1000, 1001)
+    before = logs()[some]
+    for _ in range(20):
+        maxent.deep_step(deep, np.zeros(maxent.DEEP, np.float32), order, ranks[some], steep[:, some], one[some], two[some])
+    assert logs()[some] > before + 3 and abs(np.exp(logs()).sum() - 1) < 1e-3
+    deep += np.random.default_rng(0).normal(size=len(deep)).astype(np.float32)
+    assert abs(np.exp(logs()).sum() - 1) < 1e-3
+
+
+def test_lm_learns_contexts_of_rare_words(spark):
+    """Words after the 2048 most frequent ones are told apart by the word before them."""
+    heads = " ".join(f"h{i}" for i in range(2048))
+    rows = [(i, heads) for i in range(100)]
+    pair = lambda i, shift: f"a{i % 150} b{(i + shift) % 150}"
+    held = [i for i in range(1000, 8000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows += [(i, pair(i, 0)) for i in range(1000, 8000) if i not in set(held)] + [(i, pair(i, i % 2)) for i in held]
+    got = {r.doc_id: r.score for r in maxent.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    mean = [np.mean([got[i] for i in held if i % 2 == odd]) for odd in (0, 1)]
+    assert mean[0] > mean[1] + 0.5
+
+
 # 6
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
